@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quern.llm import sentencepieces
+from quern.llm import language, sentencepieces, toxicity
 
 QUERIES = {
     "op4_sentencepiece": sentencepieces.op4_sentencepiece,
+    "op6_language_id": language.op6_language_id,
+    "op7_toxicity": toxicity.op7_toxicity,
 }
 
 ORACLES: dict[str, str] = {}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import language, sentencepieces, toxicity
+from quern.llm import language, sentencepieces, tokenshards, toxicity
 
 QUERIES = {
     "op4_sentencepiece": sentencepieces.op4_sentencepiece,
     "op6_language_id": language.op6_language_id,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_token_shards": tokenshards.op8_token_shards,
 }
 
 ORACLES: dict[str, str] = {}

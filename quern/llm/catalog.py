@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quern.llm import language, sentencepieces, tokenshards, toxicity
+from quern.llm import language, sentencepieces, tokenshards, toxicity, warc
 
 QUERIES = {
     "op4_sentencepiece": sentencepieces.op4_sentencepiece,
     "op6_language_id": language.op6_language_id,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_shards": tokenshards.op8_token_shards,
+    "op9_warc": warc.op9_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_warc": warc.ORACLE,
+}

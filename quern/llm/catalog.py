@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quern.llm import language, sentencepieces, tokenshards, toxicity, warc
+from quern.llm import language, sentencepieces, tokenshards, toxicity, urlblocks, warc
 
 QUERIES = {
+    "op1_url_redirects": urlblocks.op1_url_redirects,
     "op4_sentencepiece": sentencepieces.op4_sentencepiece,
     "op6_language_id": language.op6_language_id,
     "op7_toxicity": toxicity.op7_toxicity,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_url_redirects": urlblocks.ORACLE,
     "op9_warc": warc.ORACLE,
 }

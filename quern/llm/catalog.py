@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quern.llm import language, sentencepieces, tokenshards, toxicity, urlblocks, warc
+from quern.llm import language, secretscan, sentencepieces, tokenshards, toxicity, urlblocks, warc
 
 QUERIES = {
     "op1_url_redirects": urlblocks.op1_url_redirects,
+    "op3_secret_scan": secretscan.op3_secret_scan,
     "op4_sentencepiece": sentencepieces.op4_sentencepiece,
     "op6_language_id": language.op6_language_id,
     "op7_toxicity": toxicity.op7_toxicity,
@@ -15,5 +16,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_url_redirects": urlblocks.ORACLE,
+    "op3_secret_scan": secretscan.ORACLE,
     "op9_warc": warc.ORACLE,
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quern.llm import language, secretscan, sentencepieces, tokenshards, toxicity, urlblocks, warc
+from quern.llm import imatch, language, secretscan, sentencepieces, tokenshards, toxicity, urlblocks, warc
 
 QUERIES = {
     "op1_url_redirects": urlblocks.op1_url_redirects,
+    "op2_imatch": imatch.op2_imatch,
     "op3_secret_scan": secretscan.op3_secret_scan,
     "op4_sentencepiece": sentencepieces.op4_sentencepiece,
     "op6_language_id": language.op6_language_id,

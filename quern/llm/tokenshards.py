@@ -39,16 +39,14 @@ SHARD_IDS = 1_000_000
 ROUNDS = 6
 PAIRS_A_ROUND = 2048
 LEAST_COUNT = 24
-CACHE_WORDS = 400_000
 CHUNK_CHARS = 1_000_000
-#: What ``odd`` lets pass: printable ASCII, spaces, line ends, and the UTF-8 bytes of Latin letters up to U+024F.
+#: What ``odd`` lets pass: line ends, printable ASCII, and the UTF-8 bytes of characters from U+00C0 to U+024F.
 _PLAIN = bytes([10, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xCA)])
-_NOT_PLAIN = ("  ", "\n\n", " \n", "\n ", "×", "÷")
 
 
 def odd(text: str) -> bool:
-    """Whether single spaces and line ends don't tell this text's words apart safely."""
-    return bool(text.encode("utf-8", "replace").translate(None, _PLAIN)) or text[-1:] in (" ", "\n") or any(x in text for x in _NOT_PLAIN)
+    """Whether a text has characters on whose class the two libraries' Unicode versions might differ."""
+    return bool(text.encode("utf-8", "replace").translate(None, _PLAIN))
 
 
 def default_tokenizer() -> str:
@@ -57,28 +55,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Words(dict):
-    """Ids per word; the first ``CACHE_WORDS`` words stay, later ones are encoded each time they come."""
-
-    def __init__(self, ranks) -> None:
-        self.encode = ranks.encode_ordinary
-
-    def __missing__(self, word: str) -> bytes:
-        # "\r" begins a text's first word, "\n" is a line end and no space stands before it; all others follow a space
-        ids = self.encode(word[1:] if word[0:1] == "\r" else word if word[0:1] == "\n" else " " + word)
-        found = np.array(ids, np.int32).tobytes()
-        if len(self) < CACHE_WORDS:
-            self[word] = found
-        return found
-
-
 class Encoder:
     """Ids as the tokenizers library gives them.
 
-    Byte-level pre-tokenisation never joins what a single space or line end
-    separates, so the words of most texts can be encoded apart and each frequent
-    word once: the library's own vocabulary then runs as a rank table. Any other
-    text, and one with a special token's string, goes to the library whole.
+    Texts of plain characters run through the same vocabulary as a rank table,
+    several times as fast and with the same ids; any other text, and one with a
+    special token's string, goes to the tokenizers library itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -90,17 +72,11 @@ class Encoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
         ranks = {bytes(map(byte_of.__getitem__, w)): i for w, i in self.library.get_vocab(with_added_tokens=False).items() if w not in self.special}
-        self.words = Words(tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}))
+        self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        get = self.words.__getitem__
-        out = []
-        for t in texts:
-            if not t or odd(t) or any(s in t for s in self.special):
-                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, np.int32))
-            else:
-                out.append(np.frombuffer(b"".join(map(get, ("\r" + t).replace("\n", " \n").split(" "))), np.int32))
-        return out
+        plain = lambda t: not odd(t) and not any(s in t for s in self.special)
+        return [np.array(self.ranks.encode_ordinary(t) if plain(t) else self.library.encode(t, add_special_tokens=False).ids, np.int32) for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}

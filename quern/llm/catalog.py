@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import imatch, language, secretscan, sentencepieces, tokenshards, toxicity, urlblocks, warc
+from quern.llm import imatch, language, ngramjoin, secretscan, sentencepieces, tokenshards, toxicity, urlblocks, warc
 
 QUERIES = {
     "op1_url_redirects": urlblocks.op1_url_redirects,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_shards": tokenshards.op8_token_shards,
     "op9_warc": warc.op9_warc,
+    "op10_ngram_join": ngramjoin.op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = {

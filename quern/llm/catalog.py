@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quern.llm import imatch, language, ngramjoin, secretscan, sentencepieces, tokenshards, toxicity, urlblocks, warc
+from quern.llm import decontaminate, imatch, language, ngramjoin, secretscan, sentencepieces, tokenshards, toxicity, urlblocks, warc
 
 QUERIES = {
     "op1_url_redirects": urlblocks.op1_url_redirects,
     "op2_imatch": imatch.op2_imatch,
     "op3_secret_scan": secretscan.op3_secret_scan,
     "op4_sentencepiece": sentencepieces.op4_sentencepiece,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_language_id": language.op6_language_id,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_shards": tokenshards.op8_token_shards,

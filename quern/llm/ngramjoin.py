@@ -205,5 +205,17 @@ def link(docs: DataFrame) -> DataFrame:
     return told.join(of_class, "h", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) whose id names their component, one row per id.
+
+    Rows without an id are not told apart from each other and stay.
+    """
+    kept = materialize(link(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "join-kept")
+    rows = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if not docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
+        rows = rows.dropDuplicates(["doc_id"])
+    return rows.unionByName(docs.where("doc_id is null"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(read_table(spark, sf_dir, "documents"))

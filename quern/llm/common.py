@@ -6,7 +6,11 @@ executor sees, so a lost executor never takes the only copy of anything.
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +18,19 @@ from pyspark.sql import functions as F
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver found it: once per session, as a zip file."""
+    root, sc = Path(__file__).resolve().parents[2], spark.sparkContext
+    if getattr(sc, "_quern_shipped", False) or any(p and Path(p).resolve() == root for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)):
+        return
+    path = Path(tempfile.mkdtemp()) / "quern.zip"  # the driver serves this file to the executors
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "quern").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(path))
+    sc._quern_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the session names; a local one only where none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder. Every operator asks for one or reads a table first, so the package is shipped here."""
+    ship(spark)
     return f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
 
 
@@ -42,6 +61,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

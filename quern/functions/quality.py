@@ -23,9 +23,8 @@ def lengths(source: Column, target: Column) -> Column:
 
 def runs(c: Column, n: int = S.REPEAT_SIZE) -> Column:
     """Every run of n words, in order."""
-    w = X.words(c)
-    last = F.size(w) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return X.let(X.words(c), lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(none))
 
 
 def worst_run(c: Column, n: int = S.REPEAT_SIZE, least: int = S.REPEAT_LEAST) -> Column:
@@ -44,9 +43,8 @@ def worst_run(c: Column, n: int = S.REPEAT_SIZE, least: int = S.REPEAT_LEAST) ->
         now = F.struct(count.alias("n"), (-first).alias("i"), x["r"].alias("r"))
         return F.struct(x["r"].alias("r"), count.alias("n"), first.alias("i"), F.greatest(acc["best"], now).alias("best"))
 
-    best = F.aggregate(numbered, start, step)["best"]
-    detail = F.struct(best["r"].alias("ngram"), best["n"].alias("count"))
-    return F.when((X.word_count(c) >= n * least) & (best["n"] >= least), detail)
+    told = lambda best: F.when(best["n"] >= least, F.struct(best["r"].alias("ngram"), best["n"].alias("count")))
+    return F.when(X.word_count(c) >= n * least, X.let(F.aggregate(numbered, start, step)["best"], told))
 
 
 def degenerate(source: Column, target: Column) -> Column:

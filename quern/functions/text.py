@@ -17,6 +17,11 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿"
 ESSENTIAL_VERBS = ("ser", "estar", "tener", "haver", "fer", "hacer")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, also where the body uses it in a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space, Unicode's included, at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -139,8 +144,8 @@ def topic_tokens(c: Column) -> Column:
 
 def with_bigrams(tokens: Column) -> Column:
     """Each token, and after it the pair that it begins."""
-    pairs = F.transform(tokens, lambda t, i: F.when(i < F.size(tokens) - 1, F.array(t, F.concat_ws("_", t, F.get(tokens, i + 1)))).otherwise(F.array(t)))
-    return F.flatten(pairs)
+    pairs = lambda ts: F.transform(ts, lambda t, i: F.when(i < F.size(ts) - 1, F.array(t, F.concat_ws("_", t, F.get(ts, i + 1)))).otherwise(F.array(t)))
+    return F.flatten(let(tokens, pairs))
 
 
 def bigrams(tokens: Column, by: str = " ") -> Column:

@@ -34,8 +34,8 @@ def pack_words(c: Column, most: int = S.SENTENCE_CHARS) -> Column:
 
 def split_or_pack(c: Column, most: int = S.SENTENCE_CHARS) -> Column:
     """Sentences, unless there is none, or one that is too long: then packed words."""
-    found = split_sentences(c)
-    return F.when((F.size(found) == 0) | ((F.size(found) == 1) & (F.length(F.get(found, F.lit(0))) > most)), pack_words(c, most)).otherwise(found)
+    poor = lambda found: (F.size(found) == 0) | ((F.size(found) == 1) & (F.length(F.get(found, F.lit(0))) > most))
+    return X.let(split_sentences(c), lambda found: F.when(poor(found), pack_words(c, most)).otherwise(found))
 
 
 def chunks(sentences: Column, most: int = S.CHUNK_WORDS) -> Column:
@@ -44,7 +44,9 @@ def chunks(sentences: Column, most: int = S.CHUNK_WORDS) -> Column:
     start = F.struct(empty.alias("out"), empty.alias("now"), F.lit(0).alias("n"), F.lit(0).alias("hard"))
 
     def step(acc: Column, s: Column) -> Column:
-        w = X.words(s)
+        return X.let(F.struct(X.words(s).alias("w"), s.alias("s")), lambda x: take(acc, x["w"], x["s"]))
+
+    def take(acc: Column, w: Column, s: Column) -> Column:
         n = F.size(w)
         flushed = F.when(F.size(acc["now"]) > 0, F.array_append(acc["out"], F.array_join(acc["now"], " "))).otherwise(acc["out"])
         cuts = F.transform(F.sequence(F.lit(0), F.ceil(n / most).cast("int") - 1), lambda i: F.array_join(F.slice(w, i * most + 1, most), " "))

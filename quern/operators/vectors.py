@@ -38,7 +38,7 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 5, block: int = BLO
                 size = np.linalg.norm(m, axis=1)
                 frame, m = frame[size > 0], m[size > 0] / size[size > 0, None]
                 own = frame[key].to_numpy()
-                scores = np.round(matrix @ m.T, 9)
+                scores = np.round(matrix @ m.T, 12)
                 scores[np.equal.outer(np.array(names, object), own.astype(object))] = -np.inf
                 for i in range(len(names)):
                     s, o = np.r_[top_s[i], scores[i]], np.r_[top_k[i], own]

@@ -218,3 +218,14 @@ def score_label(score: Column) -> Column:
 
 def half_even(c: Column, places: int = 0) -> Column:
     return F.bround(c, places)
+
+
+def drop_stopwords(tokens: Column, stopwords: tuple[str, ...], keep: tuple[str, ...] = ESSENTIAL_VERBS) -> Column:
+    """Without the stop words, verbs of ``keep`` excepted."""
+    return F.filter(tokens, lambda t: ~F.lower(t).isin(*stopwords) | F.lower(t).isin(*keep)) if stopwords else tokens
+
+
+def legacy_topic_text(c: Column, lemmas, stopwords: tuple[str, ...] = ()) -> Column:
+    """The older cleaning: clean, lemmatise, drop stop words, punctuation and numbers. ``lemmas``: array to array."""
+    kept = drop_stopwords(lemmas(words(clean(c))), stopwords)
+    return drop_numbers(drop_punctuation(F.array_join(kept, " ")))

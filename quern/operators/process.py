@@ -133,3 +133,13 @@ def evenly_spaced(rows: DataFrame, key: str, k: int | None, *by: str) -> DataFra
     i = F.floor((F.col("_p") * k + F.col("_n") - 1) / F.col("_n"))
     chosen = place.where((F.col("_n") <= k) | ((F.floor(i * F.col("_n") / k) == F.col("_p")) & (i < k)))
     return rows.join(chosen.select(*by, key), [*by, key], "left_semi")
+
+
+def round_trip(responses: DataFrame, memory: DataFrame, back: Translator, embedder: Embedder | None = None, k: int | None = S.ROUND_TRIP_SAMPLE) -> DataFrame:
+    """The distribution of similarities between responses and their translations translated back, on an evenly spaced sample."""
+    usable_ones = responses.where(usable(F.col("text_es_status")) & F.col("translation_required") & F.col("text_es").isNotNull())
+    sample = evenly_spaced(usable_ones.select("response_id", "original_text", "text_es", F.lit(S.TARGET_LANGUAGE).alias("source_language")), "response_id", k)
+    returned = translate.translate(sample, memory, back, text="text_es")
+    embed = (embedder or HashedEmbedder()).embed
+    scored = returned.withColumn("similarity", X.dot(embed(F.col("original_text")), embed(F.col("translated_text"))))
+    return Q.distribution(scored, "similarity")

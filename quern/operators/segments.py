@@ -64,6 +64,18 @@ def chunks(sentences: Column, most: int = S.CHUNK_WORDS) -> Column:
     return F.aggregate(tidy, start, step, end)
 
 
+def within_tokens(parts: Column, count_tokens, limit: int = S.CHUNK_TOKENS, rounds: int = 10) -> Column:
+    """Parts halved by words until each has at most ``limit`` tokens by ``count_tokens``; one word is never cut. ``rounds`` halvings suffice for 2**rounds words over."""
+
+    def halve(part: Column) -> Column:
+        cut = lambda w: F.when((count_tokens(part) > limit) & (F.size(w) > 1), F.array(F.array_join(F.slice(w, F.lit(1), F.floor(F.size(w) / 2).cast("int")), " "), F.array_join(F.slice(w, F.floor(F.size(w) / 2).cast("int") + 1, F.size(w)), " "))).otherwise(F.array(part))
+        return X.let(X.words(part), cut)
+
+    for _ in range(rounds):
+        parts = F.flatten(F.transform(parts, halve))
+    return parts
+
+
 def explode_sentences(responses: DataFrame, sentences: Column) -> DataFrame:
     """``responses`` with a row per sentence: sentence_index from 0 and text_source."""
     return responses.select("*", F.posexplode(sentences).alias("sentence_index", "text_source"))

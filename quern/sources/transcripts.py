@@ -151,3 +151,8 @@ def topic_result_rows(df: DataFrame) -> DataFrame:
 def newest_first(df: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Rows numbered within their key, newest first."""
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(at))))
+
+
+def without_words(tokens: DataFrame, listed: DataFrame, word: str = "word") -> DataFrame:
+    """Rows whose word is not on the list."""
+    return tokens.join(listed.select(F.col("word").alias(word)), word, "left_anti")

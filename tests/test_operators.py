@@ -185,3 +185,38 @@ def test_key_difference(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(2,), (3,), (4,)], "k int")
     got = {r.side: (r.n, r.first) for r in report.key_difference(a, b, ["k"]).collect()}
     assert got == {"left": (1, ["1"]), "right": (2, ["3", "4"])}
+
+
+def test_token_limit(spark):
+    from quern.functions import text as X
+
+    got = spark.createDataFrame([("a b c d e f g",)], "t string").select(segments.within_tokens(F.array("t"), X.word_count, 2).alias("p")).first().p
+    assert all(len(x.split()) <= 2 for x in got) and " ".join(got) == "a b c d e f g"
+
+
+def test_round_trip(spark):
+    done = process.process(corpus(spark), spark.createDataFrame([], MEMORY), translator=Failing())
+    got = process.round_trip(done.responses, spark.createDataFrame([], MEMORY), CopyTranslator()).first()
+    assert got.n == 2 and got.p05 > 0.99
+
+
+def test_stopwords(spark):
+    from quern.functions import text as X
+
+    rows = spark.createDataFrame([("El ser de la casa 12!",)], "t string")
+    kept = X.legacy_topic_text(F.col("t"), lambda w: F.transform(w, F.lower), ("el", "de", "la", "ser"))
+    assert rows.select(kept).first()[0] == "ser casa"
+
+
+def test_command_line_and_request(spark, tmp_path):
+    from quern import api
+
+    (tmp_path / "c.json").write_text('{"i1": {"1": "%s", "2": "No."}, "i2": {"1": "%s"}}' % (LONG_CA, LONG_ES))
+    args = ["process", str(tmp_path / "c.json"), str(tmp_path / "out"), "--memory", str(tmp_path / "m")]
+    code = api.main(args)
+    report_row = spark.read.json(str(tmp_path / "out" / "report")).first()
+    assert code == (0 if report_row.valid else 1) and report_row.structurally_valid and report_row.responses == 3
+    told = api.analyse(spark, {"type": "sentiment", "texts": ["bueno", "malo"]})
+    assert [r["sentiment"] for r in told] == ["POSITIVE", "NEGATIVE"]
+    with pytest.raises(ValueError):
+        api.analyse(spark, {"type": "other"})

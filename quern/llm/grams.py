@@ -34,5 +34,12 @@ def codes(raw: bytes, sizes: tuple[int, ...], bits: int) -> Iterator[np.ndarray]
                 yield (((own + np.uint64(n << 56)) * _GOLDEN) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows, fewer at a time: what is in work as Python objects stays small whatever the batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()

@@ -3,7 +3,8 @@
 1. Every text's shingle set, its hash, its whole-set parity sketch and its join
    keys (bucket sketches per size band, see ``shingles``). Texts with equal sets
    are one class; a class's keys go out about once per task, not per copy.
-2. Classes with an equal key form a group; groups with equal members count once.
+2. Classes with an equal key form a group; groups with equal members count once,
+   and each class leaves out its largest groups, as far as the keys' bound allows.
 3. In each group every member is paired with one pivot. Pairs whose sizes or
    sketch distance rule similarity out go; the rest is verified on whole texts,
    a pivot's members dealt over tasks in slices.
@@ -30,16 +31,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm import shingles as S
-from quern.llm.common import fresh_path, materialize, read_table, remove
+from quern.llm.common import fresh_path, materialize, read_table, release, remove, ship
 from quern.llm.graph import components
+from quern.llm.grams import slices
 
 #: Members of a group that are compared with each other in one piece, and of a pivot that one task verifies.
 BLOCK = 1024
 SLICE = 256
+#: Groups of more classes than this may be left out, the largest first.
+HOT = 2
 #: Sets whose keys a task has sent are remembered, so many at most; forgetting one only sends keys again.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
-_SETS = "doc_id long, n int, h long, sketch binary, keys array<long>"
+_SETS = "doc_id long, n int, h long, sketch binary"
+_KEYS = "h long, n int, keys array<long>"
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -50,31 +55,45 @@ def set_hash(s: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(S.mix(s, 11)).view(np.int64) ^ np.int64(len(s))) if len(s) else 0
 
 
+class _Seen:
+    """Sets that one task has met; forgetting some only repeats work."""
+
+    def __init__(self) -> None:
+        self.held: set[int] = set()
+
+    def new(self, h: int) -> bool:
+        if h in self.held:
+            return False
+        if len(self.held) >= REMEMBERED:
+            self.held.clear()
+        self.held.add(h)
+        return True
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sent: set[int] = set()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            n, h, sketches, keys = [], [], [], []
-            for text in part.column(1).to_pylist():
-                s = S.shingle_set(text)
-                n.append(len(s))
-                h.append(set_hash(s))
-                new = len(s) and h[-1] not in sent
-                if new:
-                    if len(sent) >= REMEMBERED:
-                        sent.clear()
-                    sent.add(h[-1])
-                sketches.append(S.sketch(s) if new else None)
-                keys.append(_signed(S.parts(s)) if new else np.zeros(0, np.int64))
-            offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array(sketches, pa.binary()), lists], ["doc_id", "n", "h", "sketch", "keys"])
+    """(doc_id, text) -> every row's set size and hash; the sketch of each set once per task."""
+    seen = _Seen()
+    for part in slices(batches):
+        sets = [S.shingle_set(t) for t in part.column(1).to_pylist()]
+        hashes = [set_hash(s) for s in sets]
+        sketches = [S.sketch(s) if len(s) and seen.new(h) else None for s, h in zip(sets, hashes)]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, sets), pa.int32()), pa.array(hashes, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "n", "h", "sketch"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> every non-empty set's join keys, once per task. Made anew rather than stored: there are hundreds for each text."""
+    seen = _Seen()
+    for part in slices(batches):
+        sets = [(h, s) for s in map(S.shingle_set, part.column(0).to_pylist()) if len(s) and seen.new(h := set_hash(s))]
+        keys = [_signed(S.parts(s)) for _, s in sets]
+        offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in sets], pa.int64()), pa.array([len(s) for _, s in sets], pa.int32()), lists], ["h", "n", "keys"])
 
 
 def _near(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(x, y, nx, ny, sx, sy) -> the pairs that sizes and sketches leave."""
-    for batch in rows:
+    for batch in slices(rows, 2000):
         x, y, nx, ny, sx, sy = (batch.column(k) for k in range(6))
         keep = [S.distance(a.as_py(), b.as_py()) <= S.may_differ(p, q) for a, b, p, q in zip(sx, sy, nx.to_pylist(), ny.to_pylist())]
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (x, y)], ["x", "y"])
@@ -88,7 +107,7 @@ def _sizes_fit(a: str, b: str) -> Column:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (pivot, slice, first, h, text), a slice's pivot ahead of its members -> (src, dst) of similar sets."""
     own, at = None, None
-    for batch in batches:
+    for batch in slices(batches):
         src, dst = [], []
         for pivot, part, first, h, text in zip(*(batch.column(k).to_pylist() for k in range(5))):
             s = S.shingle_set(text)
@@ -126,26 +145,35 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now = None
 
     def compare() -> pa.RecordBatch | None:
-        left = [r for r in held if r[0] in (0, 2)]
-        right = [r for r in held if r[0] in (1, 2)]
-        if not left or not right:
-            return None
+        """Each left member with the right members of every sketch length, both brought to the shorter of the two."""
+        whole = held[0][0] == 2
+        right: dict[int, list[tuple]] = {}
+        for r in held:
+            if r[0] in (1, 2):
+                right.setdefault(len(r[4]), []).append(r)
+        facts = {k: tuple(np.array([r[x] for r in rs]) for x in (1, 2, 3)) for k, rs in right.items()}
+        tables: dict[tuple[int, int], np.ndarray] = {}
         out_x, out_y = [], []
-        size = min(len(r[4]) for r in held)
-        table = {r[1]: S.folded(r[4], size) for r in held}
-        mine = np.stack([table[r[1]] for r in right]).view(np.uint64)
-        hr, cr, nr = (np.array([r[k] for r in right]) for k in (1, 2, 3))
-        for r in left:
-            most = (S.NEED[1] - S.NEED[0]) * (r[3] + nr) // (S.NEED[1] + S.NEED[0])
-            fits = (cr != r[2]) & (hr < r[1] if held[0][0] == 2 else True) & (np.abs(nr - r[3]) <= most)
-            if fits.any():
-                away = np.bitwise_count(mine[fits] ^ table[r[1]].view(np.uint64)).sum(axis=1)
+        for side, h, component, n, sketch in held:
+            if side == 1:
+                continue
+            for k, (hr, cr, nr) in facts.items():
+                most = (S.NEED[1] - S.NEED[0]) * (n + nr) // (S.NEED[1] + S.NEED[0])
+                fits = (cr != component) & (np.abs(nr - n) <= most)
+                if whole:
+                    fits &= hr < h
+                if not fits.any():
+                    continue
+                size = min(k, len(sketch))
+                if (k, size) not in tables:
+                    tables[k, size] = np.stack([S.folded(r[4], size) for r in right[k]]).view(np.uint64)
+                away = np.bitwise_count(tables[k, size][fits] ^ S.folded(sketch, size).view(np.uint64)).sum(axis=1)
                 for y in hr[fits][away <= most[fits]].tolist():
-                    out_x.append(max(r[1], y))
-                    out_y.append(min(r[1], y))
+                    out_x.append(max(h, y))
+                    out_y.append(min(h, y))
         return pa.RecordBatch.from_arrays([pa.array(out_x, pa.int64()), pa.array(out_y, pa.int64())], ["x", "y"]) if out_x else None
 
-    for batch in batches:
+    for batch in slices(batches, 2000):
         for gid, i, j, side, h, component, n, sketch in zip(*(batch.column(k).to_pylist() for k in range(8))):
             if (gid, i, j) != now:
                 if held and (found := compare()):
@@ -157,12 +185,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rest(groups: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct pairs (x, y) that stars left untested: members of one group, in different components, that sketches leave."""
+    """Distinct pairs (x, y) that stars left untested: members of one group, in different components, that sketches leave.
+
+    Groups with one pivot are taken as one: their members overlap widely, and each is then sent there once.
+    """
     spark = groups.sparkSession
-    members = groups.where("size > 2 and h <> pivot").join(labels.select(F.col("node").alias("h"), "component"), "h", "left").select("gid", "h", F.coalesce("component", "h").alias("component"))
+    several = groups.where("size > 2 and h <> pivot").select(F.col("pivot").alias("gid"), "h").distinct()
+    members = several.join(labels.select(F.col("node").alias("h"), "component"), "h", "left").select("gid", "h", F.coalesce("component", "h").alias("component"))
     split = members.groupBy("gid").agg((F.min("component") < F.max("component")).alias("several"), F.count(F.lit(1)).alias("m"))
     split = materialize(split.where("several").select("gid", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "join-split")
-    open_ones = materialize(members.join(split, "gid").join(classes.select("h", "n", "sketch"), "h"), "join-open")
+    open_ones = members.join(split, "gid").join(classes.select("h", "n", "sketch"), "h")
     block = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
     spot = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
     spots = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: spot(F.least(k, F.col("b")), F.greatest(k, F.col("b")), F.when(k == F.col("b"), 2).when(F.col("b") < k, 0).otherwise(1)))
@@ -172,29 +204,51 @@ def _rest(groups: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame
     return materialize(ordered.mapInArrow(_blocks, "x long, y long").distinct(), "join-rest")
 
 
+def _groups(docs: DataFrame) -> DataFrame:
+    """(gid, h, pivot, size): classes with an equal key, equal groups once.
+
+    Every class leaves out the keys that most others share, as many as it may
+    (``shingles.spare``): a passage that many documents hold gives large groups
+    and says little, and similar sets still meet under their other keys.
+    """
+    same = W.partitionBy("key")
+    keyed = docs.select("text").mapInArrow(_keys, _KEYS).select("h", "n", F.explode("keys").alias("key"))
+    met = keyed.select("h", "n", "key", F.count(F.lit(1)).over(same).alias("size"), F.expr("bit_xor(xxhash64(h, 1))").over(same).alias("g1"), F.expr("bit_xor(xxhash64(h, 2))").over(same).alias("g2"))
+    firm = (F.col("key") % 2 != 0).alias("firm")
+    once = met.where("size > 1").groupBy(F.xxhash64("g1", "g2").alias("gid"), "h", firm).agg(F.max("n").alias("n"), F.max("size").alias("size"), F.count(F.lit(1)).alias("keys"))
+    largest = W.partitionBy("h").orderBy(F.desc("size"), "gid").rowsBetween(W.unboundedPreceding, 0)
+    counts = ~F.col("firm") & (F.col("size") > HOT)
+    left_out = counts & (F.sum(F.when(counts, F.col("keys")).otherwise(0)).over(largest) <= F.floor(F.col("n") / S.SPARE))
+    kept = once.withColumn("_out", left_out).where("not _out")
+    group = W.partitionBy("gid")
+    told = kept.groupBy("gid", "h").agg(F.max("n").alias("n")).select("gid", "h", "n", F.count(F.lit(1)).over(group).alias("size"), F.min(F.struct("h", "n")).over(group).alias("p"))
+    return told.where("size > 1").select("gid", "h", "n", "size", F.col("p.h").alias("pivot"), F.col("p.n").alias("pivot_n"))
+
+
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
+    ship(spark)
     docs = docs.select("doc_id", "text")
     at = fresh_path(spark, "join-sets")
     sets = materialize(docs.mapInArrow(_sets, _SETS), "join-sets", at)
     classes = materialize(sets.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.max("sketch").alias("sketch")), "join-classes")
     told = materialize(sets.select("doc_id", "n", "h"), "join-told")
 
-    same = W.partitionBy("key")
-    keyed = sets.where("n > 0").select("h", F.explode("keys").alias("key"))
-    grouped = keyed.select("h", F.count(F.lit(1)).over(same).alias("size"), F.min("h").over(same).alias("pivot"), F.expr("bit_xor(xxhash64(h, 1))").over(same).alias("g1"), F.expr("bit_xor(xxhash64(h, 2))").over(same).alias("g2"))
-    groups = grouped.where("size > 1").groupBy(F.xxhash64("g1", "g2").alias("gid"), "h", "pivot").agg(F.max("size").alias("size"))
-    groups = materialize(groups, "join-groups")
     remove(spark, at)
+    groups = materialize(_groups(docs), "join-groups")
+    release(spark)
 
     sides = lambda side: classes.select(F.col("h").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
-    stars = materialize(groups.where("h <> pivot").select(F.col("h").alias("x"), F.col("pivot").alias("y")).distinct().join(sides("x"), "x"), "join-stars")
-    near = stars.join(sides("y"), "y").where(_sizes_fit("nx", "ny")).select("x", "y", "nx", "ny", "sx", "sy")
+    stars = groups.where((F.col("h") != F.col("pivot")) & _sizes_fit("n", "pivot_n")).select(F.col("h").alias("x"), F.col("pivot").alias("y")).distinct()
+    stars = materialize(stars.join(sides("x"), "x"), "join-stars")
+    near = stars.join(sides("y"), "y").select("x", "y", "nx", "ny", "sx", "sy")
     near = materialize(near.mapInArrow(_near, "x long, y long"), "join-near")
+    release(spark)
     links = verified(near, classes, docs)
     labels = materialize(components(links), "join-labels")
     rest = _rest(groups, labels, classes)
+    release(spark)
     if not rest.isEmpty():
         links = links.unionByName(verified(rest, classes, docs))
         labels = materialize(components(links), "join-labels")

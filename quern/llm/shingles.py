@@ -20,6 +20,8 @@ import numpy as np
 WORDS = 5
 #: Two sets are similar if NEED[1] * intersection >= NEED[0] * union.
 NEED = (3, 4)
+#: A set may leave out one join key for so many shingles.
+SPARE = 20
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -100,21 +102,22 @@ def band(n: int) -> int:
 
 
 def buckets(j: int) -> int:
-    return 256 if j == 3 else int(4**j / 2.5)
+    return 256 if j == 3 else int(4**j / 1.6)
 
 
-def bits(j: int) -> int:
-    return 2 * 4**j
+def bits(n: int) -> int:
+    """Bits of the sketch of a set of n: a power of two, six to twelve for each shingle, so that few differences hide each other."""
+    return max(256, 1 << (6 * n - 1).bit_length())
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity bits of the whole set, as many as its band has."""
-    at = (mix(s, 3) & U(bits(band(len(s))) - 1)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=bits(band(len(s)))) & 1).tobytes()
+    """Parity bits of the whole set."""
+    at = (mix(s, 3) & U(bits(len(s)) - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits(len(s))) & 1).tobytes()
 
 
 def folded(a: bytes, size: int) -> np.ndarray:
-    """A longer band's sketch brought to ``size`` bytes: shingles fall to the same bits modulo the shorter size."""
+    """A longer sketch brought to ``size`` bytes: shingles fall to the same bits modulo the shorter size."""
     x = np.frombuffer(a, np.uint8)
     # bit k of a sketch is bit k modulo the shorter length of the shorter one, so equal stretches are XORed
     return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) if len(x) > size else x
@@ -125,26 +128,33 @@ def distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
 
 
+def spare(n: int) -> int:
+    """Join keys that a set of n may leave out, by its own choice, without losing a similar set."""
+    return n // SPARE
+
+
 def parts(s: np.ndarray) -> np.ndarray:
-    """Join keys of a non-empty set: two similar sets share at least one.
+    """Join keys of a non-empty set: two similar sets share one, also after each left out ``spare`` of its even keys.
 
     In the set's band, and in the next one if a similar set may lie there, the
-    sketches of its first buckets that hold a shingle, one more than the set can
-    differ in. For two similar sets take the one whose buckets end first: at
-    least one of its buckets has an equal twin, which the other emits too. A set
-    with too few such buckets emits them all, and for others like it the
-    prefix of its shingles in another order, by the prefix-filter bound.
+    sketches of its first buckets that hold a shingle: as many as the set can
+    differ in, and one, and those that the two sets may leave out. For two
+    similar sets take the one whose buckets end first: enough of its buckets
+    have an equal twin, which the other emits too. A set with too few such
+    buckets emits them all, and, for others like it, the prefix of its shingles
+    in another order by the prefix-filter bound; these keys are odd.
     """
     n = len(s)
-    need, out, short = most_different(n) + 1, [], False
+    most = n * NEED[1] // NEED[0]
+    need, out, short = most_different(n) + 1 + spare(n) + spare(most), [], False
     j = band(n)
-    for k in (j, j + 1) if n * NEED[1] // NEED[0] > 4**j else (j,):
+    for k in (j, j + 1) if most > 4**j else (j,):
         bucket = ((s >> U(32)) * U(buckets(k))) >> U(32)
         first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         value = np.bitwise_xor.reduceat(mix(s, 4), first)[:need]
         short |= len(first) < need
-        out.append(mix(value ^ mix(bucket[first[:need]] + U(k << 40), 5), 6))
+        out.append(mix(value ^ mix(bucket[first[:need]] + U(k << 40), 5), 6) & ~U(1))
     if short:
         overlap = -(-NEED[0] * n // NEED[1])
-        out.append(mix(np.sort(mix(s, 7))[: n - overlap + 1], 8))
+        out.append(mix(np.sort(mix(s, 7))[: n - overlap + 1], 8) | U(1))
     return np.concatenate(out)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import read_table
+from quern.llm.common import read_table, ship
 from quern.llm.shingles import mix
 
 LEAST_WORDS = 5
@@ -315,6 +315,7 @@ def blocks(benchmark: DataFrame) -> Iterator[Items]:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, begin, end, edits: every item found in every whole text of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
+    ship(spark)
     found = [docs.select("doc_id", "text").mapInArrow(partial(_find, spark.sparkContext.broadcast(items)), _SCHEMA) for items in blocks(benchmark)]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _SCHEMA)
 
@@ -327,6 +328,7 @@ def _keep(items, text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, in whose texts no item is found; nothing is shuffled."""
+    ship(docs.sparkSession)
     for items in blocks(benchmark):
         docs = docs.mapInArrow(partial(_keep, docs.sparkSession.sparkContext.broadcast(items), text), docs.schema)
     return docs

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh_path, read_table
+from quern.llm.common import fresh_path, read_table, ship
 
 END_ID = 0
 #: Fixed value: the pattern by which byte-level pre-tokenisation splits a text.
@@ -239,6 +239,7 @@ def vocabulary(path: str) -> int:
 
 def write(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", tokenizer: str | None = None) -> None:
     """Encode ``text`` and write the shards of all rows, in ascending ``key`` order, to ``path``."""
+    ship(df.sparkSession)
     tokenizer = tokenizer or default_tokenizer()
     ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     dealt = df.select(F.col(key).alias("k"), F.col(text).alias("t")).repartitionByRange(ranges, F.col("k").asc_nulls_first())
@@ -269,6 +270,7 @@ def _read_ids(first_rule: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
 def placed(spark: SparkSession, path: str) -> DataFrame:
     """The shards with ``start``, the ids in all shards before: sums within a range, then over the ranges' totals."""
+    ship(spark)
     shards = spark.read.schema(SCHEMA).parquet(path)
     before = F.coalesce(F.sum("n_ids").over(W.partitionBy("range").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     inside = shards.select("range", "shard", "n_ids").withColumn("inside", before).drop("n_ids")

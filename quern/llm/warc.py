@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh_path, materialize, read_table
+from quern.llm.common import fresh_path, materialize, read_table, ship
 
 LEAST_REVISIT = 100
 #: Records in a file; a file is read into memory whole.
@@ -200,6 +200,7 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", compress: bool = False) -> None:
     """Write a WARC record per row to files in ``path``; with ``compress`` a gzip member each."""
+    ship(df.sparkSession)
     df = df.select(*dict.fromkeys([key, url, payload]))
     records = with_origins(df, key, payload).select(record_text(key, url, payload).alias("value"))
     writer = lambda rows, **options: rows.write.mode("overwrite").options(maxRecordsPerFile=FILE_RECORDS, **options).text(path)
@@ -238,6 +239,7 @@ def _read(with_payload: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """A row per record, and one per quarantined gap (kind ``gap``: its offset, length and problem)."""
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(partial(_read, with_payload), _SCHEMA)
 

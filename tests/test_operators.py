@@ -220,3 +220,23 @@ def test_command_line_and_request(spark, tmp_path):
     assert [r["sentiment"] for r in told] == ["POSITIVE", "NEGATIVE"]
     with pytest.raises(ValueError):
         api.analyse(spark, {"type": "other"})
+
+
+def test_streams_of_events(spark, tmp_path):
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string"
+    stamp = lambda m: f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00"
+    rows = [(1, 0, 7, "error"), (2, 10, 7, "error"), (3, 50, 7, "error"), (4, 51, 8, "view"), (5, 300, 8, "view")]
+    df = spark.createDataFrame([(i, stamp(m), u, k) for i, m, u, k in rows], "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    df.coalesce(1).write.parquet(str(tmp_path / "events"))
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "events"))
+
+    def run(out, mode, name):
+        out.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start().awaitTermination()
+        return spark.table(name)
+
+    streaks = run(incremental.failure_streaks(stream()), "update", "streaks")
+    assert {(r.user_id, r.streak, r.aborts) for r in streaks.collect()} == {(7, 3, True), (8, 0, False)}
+    closed = run(incremental.sessions(stream()), "append", "closed")  # what the watermark has not passed stays open
+    assert {(r.user_id, r.n) for r in closed.collect()} == {(7, 2), (7, 1), (8, 1)}
+    hours = run(incremental.windowed_counts(stream()), "append", "hours")
+    assert {(r.event_type, r.n) for r in hours.collect()} == {("error", 3), ("view", 1)}

@@ -22,7 +22,8 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package, wherever the driver found it: once per session, as a zip file."""
     root, sc = Path(__file__).resolve().parents[2], spark.sparkContext
-    if getattr(sc, "_quern_shipped", False) or any(p and Path(p).resolve() == root for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)):
+    found = any(p and Path(p).resolve() == root for p in os.environ.get("PYTHONPATH", "").split(os.pathsep))
+    if getattr(sc, "_quern_shipped", False) or (found and sc.master.startswith("local")):  # workers of this machine inherit the path
         return
     path = Path(tempfile.mkdtemp()) / "quern.zip"  # the driver serves this file to the executors
     with zipfile.ZipFile(path, "w") as z:

@@ -93,6 +93,14 @@ def test_imatch(spark, tmp_path):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+def test_imatch_with_a_shuffled_lexicon(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in fixtures.documents() if i is not None], "doc_id long, text string")
+    told = lambda: fixtures.bag(map(tuple, imatch.fingerprints(docs).collect()))
+    first = told()
+    monkeypatch.setattr(imatch, "BROADCAST_TERMS", 1)
+    assert told() == first
+
+
 def test_imatch_odd_tables(spark):
     schema = "doc_id long, text string"
     assert imatch.fingerprints(spark.createDataFrame([], schema)).count() == 0

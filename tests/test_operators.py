@@ -164,6 +164,20 @@ def test_topic_models(spark, algorithm):
         assert len({r.topic for r in found.documents.collect()}) == 2
 
 
+@pytest.mark.parametrize("algorithm", ["nmf", "svd"])
+def test_spread_and_gathered_agree(spark, algorithm, monkeypatch):
+    texts = [f"granja vaca llet camp pastura {k % 3}" for k in range(15)] + [f"sensor dada xarxa robot mesura {'xarxa' if k % 2 else 'robot'}" for k in range(15)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+
+    def run():
+        found = topics.extract_topics(docs, algorithm, 2, n_words=4)
+        return {r.topic: [round(x, 3) for x in r.scores] for r in found.topics.collect()}, sorted(map(tuple, found.documents.collect()))
+
+    first = run()
+    monkeypatch.setattr(topics, "GATHERED", 0)
+    assert run() == first
+
+
 def test_topic_guards(spark):
     few = spark.createDataFrame([(1, "a b")], "doc long, text string")
     with pytest.raises(ValueError):

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import bounded_sample, crc_mod, fresh_path, materialize, read_table, remove
-from quern.llm.grams import codes, text_bytes, texts_of
+from quern.llm.common import bounded_sample, crc_mod, fresh_path, materialize, read_table, remove, ship
+from quern.llm.grams import codes, slices, text_bytes, texts_of
 
 FIT_ROWS = 20_000
 SIZES = (2, 3)
@@ -86,7 +86,7 @@ class Model:
 def _counts(languages: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task and language: sums of the texts' n-gram shares, so that a long text counts as one."""
     sums, place = np.zeros((len(languages), 1 << BITS)), {x: i for i, x in enumerate(languages)}
-    for batch in batches:
+    for batch in slices(batches):
         for text, lang in zip(texts_of(batch, "text"), texts_of(batch, "lang")):
             if text and (found := list(codes(text_bytes(text), SIZES, BITS))):
                 n = sum(map(len, found))
@@ -96,7 +96,7 @@ def _counts(languages: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator
 
 
 def _margins(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [model.value.margins(t).astype("<f8").tobytes() if t else None for t in texts_of(batch, "text")]
         yield pa.RecordBatch.from_arrays([pa.array(texts_of(batch, "lang"), pa.string()), pa.array(found, pa.binary())], ["lang", "margins"])
 
@@ -133,7 +133,7 @@ def fit(df: DataFrame, rows: int = FIT_ROWS) -> Model:
 
 
 def _predict(model, text: str, keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [model.value.predict(t) for t in texts_of(batch, text)]
         told = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())]
         yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *told], [*keep, "lang_pred", "score", "ambiguous"])
@@ -141,6 +141,7 @@ def _predict(model, text: str, keep: list[str], batches: Iterator[pa.RecordBatch
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``df`` (or its columns ``keep``) with lang_pred, score and ambiguous; columns of these names are replaced."""
+    ship(df.sparkSession)
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
     keep = [c for c in keep or df.columns if c not in {f.name for f in new}]
     sent = df.sparkSession.sparkContext.broadcast(model)

@@ -20,7 +20,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import read_table
+from quern.llm.common import read_table, ship
+from quern.llm.grams import slices, texts_of
 
 SPACE = "▁"
 LONG_WORD = 256
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 CHUNK_CHARS = 1_000_000
 NO_PAIR = np.int64(2**62)
 _WORDS = re.compile(" *[^ \n]+| +|\n")
@@ -44,6 +45,10 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _slot(codes: np.ndarray, shift: np.uint64) -> np.ndarray:
+    return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
+
+
 class PieceModel:
     """Pieces, pair ranks and byte ids of a BPE model with byte fallback and no normalisation."""
 
@@ -69,33 +74,54 @@ class PieceModel:
             else:
                 surface.append(sp.id_to_piece(i).replace(SPACE, " ").encode())
         self.surface = surface
-        symbols = dict(pieces)
-        for piece in pieces:
+        self.pieces = pieces
+        self.score = {i: sp.get_score(i) for i in pieces.values()}
+
+    @cached_property
+    def symbols(self) -> dict[str, int]:
+        """Pieces and, above their ids, the single characters that only occur within pieces."""
+        symbols = dict(self.pieces)
+        for piece in self.pieces:
             for c in piece:
-                symbols.setdefault(c, len(symbols) + n)
-        self.symbol_of = np.full(0x110000, -1, np.int32)
-        for s, i in symbols.items():
+                symbols.setdefault(c, len(symbols) + self.size)
+        return symbols
+
+    @cached_property
+    def symbol_of(self) -> np.ndarray:
+        out = np.full(0x110000, -1, np.int32)
+        for s, i in self.symbols.items():
             if len(s) == 1:
-                self.symbol_of[ord(s)] = i
-        rank = {i: r for r, i in enumerate(sorted(pieces.values(), key=lambda i: (-sp.get_score(i), i)))}
+                out[ord(s)] = i
+        return out
+
+    @cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        """(left << 20) | right -> rank and id of the piece that they spell; for long words only."""
+        return self._pairs()
+
+    def _pairs(self) -> dict[int, tuple[int, int]]:
+        rank = {i: r for r, i in enumerate(sorted(self.pieces.values(), key=lambda i: (-self.score[i], i)))}
         pairs: dict[int, tuple[int, int]] = {}
-        for piece, i in pieces.items():
+        for piece, i in self.pieces.items():
             for k in range(1, len(piece)):
-                a, b = symbols.get(piece[:k]), symbols.get(piece[k:])
+                a, b = self.symbols.get(piece[:k]), self.symbols.get(piece[k:])
                 if a is not None and b is not None:
                     pairs[(a << 20) | b] = (rank[i], i)
-        self.pairs = pairs
-        self._tables(pairs)
+        return pairs
 
-    def _tables(self, pairs: dict[int, tuple[int, int]]) -> None:
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.uint64]:
         """Open-addressing table of the pairs, for vectorised look-ups."""
+        return self._table(self._pairs())
+
+    def _table(self, pairs: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.uint64]:
         bits = max(4, int(len(pairs) * 4).bit_length())
-        self.shift = np.uint64(64 - bits)
+        shift = np.uint64(64 - bits)
         keys = np.full(1 << bits, -1, np.int64)
         values = np.full(1 << bits, -1, np.int64)
         todo = np.fromiter(pairs, np.int64, len(pairs))
         value = np.array([(r << 20) | i for r, i in pairs.values()], np.int64).reshape(-1)
-        slot = self._slot(todo)
+        slot = _slot(todo, shift)
         while len(todo):
             free = keys[slot] == -1
             first = np.zeros(len(todo), bool)
@@ -103,23 +129,21 @@ class PieceModel:
             first[index[np.unique(slot[index], return_index=True)[1]]] = True
             keys[slot[first]], values[slot[first]] = todo[first], value[first]
             todo, value, slot = todo[~first], value[~first], (slot[~first] + 1) & (len(keys) - 1)
-        self.keys, self.values = keys, values
-
-    def _slot(self, codes: np.ndarray) -> np.ndarray:
-        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        return keys, values, shift
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """(rank << 20) | piece id for each pair, -1 where there is none."""
         codes = (left.astype(np.int64) << 20) | right
         out = np.full(len(codes), -1, np.int64)
+        keys, values, shift = self.table
         todo = np.flatnonzero((left >= 0) & (right >= 0))
-        slot = self._slot(codes[todo])
+        slot = _slot(codes[todo], shift)
         while len(todo):
-            key = self.keys[slot]
+            key = keys[slot]
             hit = key == codes[todo]
-            out[todo[hit]] = self.values[slot[hit]]
+            out[todo[hit]] = values[slot[hit]]
             more = ~hit & (key != -1)
-            todo, slot = todo[more], (slot[more] + 1) & (len(self.keys) - 1)
+            todo, slot = todo[more], (slot[more] + 1) & (len(keys) - 1)
         return out
 
     def ids_of_char(self, c: str, symbol: int) -> list[int]:
@@ -264,41 +288,36 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", model: str | None = None) -> DataFrame:
-    """``df`` with ``ids``: array of int, the pieces of ``text``."""
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", model: str | None = None, decoded: str | None = None) -> DataFrame:
+    """``df`` with ``ids``: array of int, the pieces of ``text``; with ``decoded`` also what those ids spell, in the same pass."""
+    ship(df.sparkSession)
     path = model or default_model()
-    keep = [c for c in df.columns if c != ids]
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return df.select(*keep).mapInArrow(partial(_encode_batches, path, text, ids, keep), schema)
+    keep = [c for c in df.columns if c not in (ids, decoded)]
+    new = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    return df.select(*keep).mapInArrow(partial(_encode_batches, path, text, ids, decoded, keep), T.StructType([*(df.schema[c] for c in keep), *new]))
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", model: str | None = None) -> DataFrame:
     """``df`` with ``text``: what the pieces in ``ids`` spell; null ids count as none."""
+    ship(df.sparkSession)
     path = model or default_model()
     keep = [c for c in df.columns if c != text]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(text, T.StringType())])
     return df.select(*keep).mapInArrow(partial(_decode_batches, path, ids, text, keep), schema)
 
 
-def _encode_batches(path: str, text: str, ids: str, keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(text))
-        for a in _chunks([len(t) for t in _strings(texts)], 4 * CHUNK_CHARS):
-            part = batch.slice(a.start, a.stop - a.start)
-            arrays = codec(path).encode(_strings(part.column(part.schema.get_field_index(text))))
-            offsets = np.zeros(len(arrays) + 1, np.int32)
-            np.cumsum([len(x) for x in arrays], out=offsets[1:])
-            flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + [lists], [*keep, ids])
-
-
-def _strings(column: pa.Array) -> list[str]:
-    return [x or "" for x in column.to_pylist()]
+def _encode_batches(path: str, text: str, ids: str, decoded: str | None, keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches):
+        arrays = codec(path).encode([x or "" for x in texts_of(part, text)])
+        offsets = np.zeros(len(arrays) + 1, np.int32)
+        np.cumsum([len(x) for x in arrays], out=offsets[1:])
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(np.int32)))
+        spelled = [pa.array([codec(path).decode(x) for x in arrays], pa.string())] if decoded else []
+        yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + [lists, *spelled], [*keep, ids, *([decoded] if decoded else [])])
 
 
 def _decode_batches(path: str, ids: str, text: str, keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         lists = batch.column(batch.schema.get_field_index(ids))
         flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
         texts = [codec(path).decode(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
@@ -307,10 +326,9 @@ def _decode_batches(path: str, ids: str, text: str, keep: list[str], batches: It
 
 def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, from the operator's ids and decoded texts."""
-    ids = encode(docs.select("doc_id", "text"), model=model).select("doc_id", "ids")
+    told = encode(docs.select("doc_id", "text"), model=model, decoded="decoded")
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-    told = ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"))
-    return decode(told, model=model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import bounded_sample, crc_mod, fresh_path, materialize, read_table, remove
-from quern.llm.grams import codes, text_bytes, texts_of
+from quern.llm.common import bounded_sample, crc_mod, fresh_path, materialize, read_table, remove, ship
+from quern.llm.grams import codes, slices, text_bytes, texts_of
 
 FIT_ROWS = 12_000
 SIZES = (3, 4, 5)
@@ -64,7 +64,7 @@ def present(text: str | None, place: np.ndarray | None = None) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task and class: the n-grams it saw and in how many texts."""
     counts, rows = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         for text, label in zip(texts_of(batch, "text"), texts_of(batch, "toxic")):
             counts[label][present(text)] += 1
             rows[label] += 1
@@ -74,7 +74,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _features(place, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [present(t, place.value).astype("<i4").tobytes() for t in texts_of(batch, "text")]
         yield pa.RecordBatch.from_arrays([pa.array(texts_of(batch, "toxic"), pa.int32()), pa.array(found, pa.binary())], ["toxic", "features"])
 
@@ -132,13 +132,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
 
 def _score(model, text: str, keep: list[str], name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         scores = pa.array([model.value.score(t) for t in texts_of(batch, text)], pa.float64())
         yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), scores], [*keep, name])
 
 
 def score(df: DataFrame, model: Model, text: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:
     """``df`` (or its columns ``keep``) with the score of every whole text."""
+    ship(df.sparkSession)
     keep = [c for c in keep or df.columns if c != name]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
     sent = df.sparkSession.sparkContext.broadcast(model)

@@ -1,7 +1,7 @@
 """Corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input.
 
 toxicity        documents scored toxic go; the model learns from the stage's own input and the labels of training rows
-near_duplicates one document of each group of n-gram neighbours stays, the one with the smallest id
+near_duplicates one document of each group of n-gram neighbours stays, the one with the smallest id; a repeated id stands for no text but its own row's
 decontamination documents that hold a benchmark item, near copies included, go
 secrets         secrets in the texts are replaced by their kind in brackets; n_chars follows
 sentencepieces  every text as piece ids and back: doc_id, n_tokens, ids_sha256, decoded_sha256

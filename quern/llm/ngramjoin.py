@@ -43,7 +43,7 @@ HOT = 2
 #: Sets whose keys a task has sent are remembered, so many at most; forgetting one only sends keys again.
 REMEMBERED = 200_000
 
-_SETS = "doc_id long, n int, h long, sketch binary"
+_SETS = "doc_id long, t long, n int, h long, sketch binary"
 _KEYS = "h long, n int, keys array<long>"
 
 
@@ -71,13 +71,13 @@ class _Seen:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> every row's set size and hash; the sketch of each set once per task."""
+    """(doc_id, text, t) -> every row's set size and hash; the sketch of each set once per task."""
     seen = _Seen()
     for part in slices(batches):
         sets = [S.shingle_set(t) for t in part.column(1).to_pylist()]
         hashes = [set_hash(s) for s in sets]
         sketches = [S.sketch(s) if len(s) and seen.new(h) else None for s, h in zip(sets, hashes)]
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, sets), pa.int32()), pa.array(hashes, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "n", "h", "sketch"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(map(len, sets), pa.int32()), pa.array(hashes, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "t", "n", "h", "sketch"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,15 +225,15 @@ def _groups(docs: DataFrame) -> DataFrame:
     return told.where("size > 1").select("gid", "h", "n", "size", F.col("p.h").alias("pivot"), F.col("p.n").alias("pivot_n"))
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+def _linked(docs: DataFrame) -> DataFrame:
+    """doc_id, t (the text's hash), n, h, component (null for an empty set) and component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text")
     at = fresh_path(spark, "join-sets")
-    sets = materialize(docs.mapInArrow(_sets, _SETS), "join-sets", at)
+    sets = materialize(docs.withColumn("t", F.xxhash64("text")).mapInArrow(_sets, _SETS), "join-sets", at)
     classes = materialize(sets.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.max("sketch").alias("sketch")), "join-classes")
-    told = materialize(sets.select("doc_id", "n", "h"), "join-told")
+    told = materialize(sets.select("doc_id", "t", "n", "h"), "join-told")
 
     remove(spark, at)
     groups = materialize(_groups(docs), "join-groups")
@@ -255,20 +255,37 @@ def link(docs: DataFrame) -> DataFrame:
 
     named = classes.select("h", "rep").join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     least = materialize(named.groupBy("component").agg(F.min("rep").alias("component_id")), "join-least")
-    of_class = materialize(materialize(named.select("h", "component"), "join-named").join(least, "component").select("h", "component_id"), "join-of-class")
-    return told.join(of_class, "h", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of_class = materialize(materialize(named.select("h", "component"), "join-named").join(least, "component").select("h", "component", "component_id"), "join-of-class")
+    component_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return told.join(of_class, "h", "left").select("doc_id", "t", "n", "h", F.when(F.col("n") > 0, F.col("component")).alias("component"), component_id.alias("component_id"))
+
+
+def link(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    return _linked(docs).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others) whose id names their component, one row per id.
+    """One row of ``docs`` (doc_id, text and any others) for each component: the smallest id, null last, then the smallest set and text hash.
 
-    Rows without an id are not told apart from each other and stay.
+    An id may repeat with unrelated texts; each row goes by its own text. Empty
+    sets link with nothing: their rows stay, one for each id and text, and all
+    that have no id.
     """
-    kept = materialize(link(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "join-kept")
-    rows = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
-        rows = rows.dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id is null"))
+    linked = materialize(_linked(docs).select("doc_id", "t", "n", "h", "component"), "join-linked")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "t")).alias("x")
+    chosen = linked.where("n > 0").groupBy("component").agg(first).select("x.doc_id", "x.t")
+    alone = linked.where("n = 0 and doc_id is not null").select("doc_id", "t").distinct()
+    blank = linked.where("n = 0 and doc_id is null").select("t").distinct()
+    kept = materialize(chosen.unionByName(alone).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")), "join-kept")
+    blank = materialize(blank.select(F.col("t").alias("_t")), "join-blank")
+
+    hashed = lambda df: df.withColumn("_t", F.xxhash64("text"))
+    own = hashed(docs).alias("d").join(kept.alias("k"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("d._t") == F.col("k._t")), "left_semi").select(*docs.columns)
+    if not linked.groupBy("doc_id", "t").count().where("count > 1").isEmpty():
+        # rows of one id and text: the one whose columns have the smallest hash
+        own = hashed(own).groupBy("doc_id", "_t").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("x")).select("x.*")
+    return own.unionByName(hashed(docs.where("doc_id is null")).join(blank, "_t", "left_semi").select(*docs.columns))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

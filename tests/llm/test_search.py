@@ -234,3 +234,17 @@ def test_join(spark, tmp_path, monkeypatch, block):
     got = ngramjoin.op10_ngram_join(spark, fixtures.write(spark, tmp_path, rows)).collect()
     assert fixtures.bag(map(tuple, got)) == fixtures.bag(want)
     assert ngramjoin.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_of_each_with_repeated_ids(spark):
+    rng = random.Random(21)
+    x, y, z, w = (fixtures.prose(rng, 60) for _ in range(4))
+    rows = [(5, x), (5, y), (8, x + " canvi"), (9, x), (3, z), (5, z + " canvi"), (7, w), (7, w), (7, w + " canvi"), (5, ""), (5, None), (None, x), (None, w), (None, ""), (None, ""), (4, "")]
+    rows += [(6, fixtures.prose(rng, 60)) for _ in range(20)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, place int")
+    for parts in (1, 5):
+        got = [tuple(r) for r in ngramjoin.one_of_each(docs.repartition(parts)).select("doc_id", "text").collect()]
+        first = [r for r in got if r[0] == 7]
+        assert len(first) == 1 and first[0][1] in (w, w + " canvi")
+        want = [(5, x), (5, y), (3, z), *first, (5, ""), (5, None), (None, ""), (None, ""), (4, ""), *rows[16:]]
+        assert fixtures.bag(got) == fixtures.bag(want)

@@ -178,6 +178,17 @@ def test_spread_and_gathered_agree(spark, algorithm, monkeypatch):
     assert run() == first
 
 
+def test_terms_are_all_kept(spark):
+    """Two documents share each of 21,000 words, in an order of their own: every word is a term, and no pair of words."""
+    words = [f"w{''.join(chr(97 + int(c)) for c in f'{i:05d}')}" for i in range(21_000)]
+    texts = [" ".join(words[k::10]) for k in range(10)] + [" ".join(reversed(words[k::10])) for k in range(10)] + ["sol unic"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    weighed, named = topics.tfidf(topics.prepared(docs))
+    assert named.count() == 21_000 and {r.word for r in named.collect()} == set(words)
+    told = weighed.groupBy("doc").agg(F.count("w").alias("n"), F.sum(F.col("w") * F.col("w")).alias("length")).collect()
+    assert {r.doc: r.n for r in told} == {k: 2100 for k in range(20)} and all(abs(r.length - 1) < 1e-9 for r in told)
+
+
 def test_topic_guards(spark):
     few = spark.createDataFrame([(1, "a b")], "doc long, text string")
     with pytest.raises(ValueError):

@@ -8,10 +8,12 @@ canonical, are aliases: connected components over ``<link rel="canonical">`` and
 over its component's decisions, and an explicit allow among them outweighs any
 block; without decisions there it is allowed. A URL's own rule always stands.
 
-A URL is a node by its text up to ``#``. Redirect targets that are no page of
-the table are nodes too, and judged by the rules like pages. Relative targets
-are resolved against the page's scheme and host where they begin with ``/``;
-other relative targets make no edge. Defined results: a null URL, or one without
+A URL is a node by its text up to ``#``, with scheme and host in lower case.
+Every canonical link and refresh of a page counts, whether its attributes are
+quoted or not. Redirect targets that are no page of the table are nodes too, and
+judged by the rules like pages. Relative targets are resolved against the page's
+URL (RFC 3986, dot segments included); targets of schemes without ``://``, such
+as ``mailto:``, and targets in the page itself make no edge. Defined results: a null URL, or one without
 ``://``, has empty host and path, fits no rule, has no aliases and is allowed;
 null html has no edges; repeated rows are judged each; an empty table gives none.
 """
@@ -39,8 +41,10 @@ INLINE_RULES = 200
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _AUTHORITY = r"(?s)^.*?://([^/?#]*)"
 _PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
-_TAG = r"(?is)<{0}\b[^>]*>"
-_ATTRIBUTE = r"(?is)\b{0}\s*=\s*[\"']([^\"']*)[\"']"
+#: A tag's end is the first ``>`` outside quotes; a quote that never closes counts as any other character.
+_TAG = r"""(?is)<{0}(?=[\s/])(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+>"""
+#: An attribute's value: double-quoted, single-quoted or unquoted, each in a group of its own. Attributes before it are stepped over.
+_ATTRIBUTE = r"""(?is)^<\w+(?:[\s/]+(?!{0}[\s=])[^\s=>/"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?)*+[\s/]+{0}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
 
 
 def host(url: Column) -> Column:
@@ -74,27 +78,57 @@ def judge(df: DataFrame, rules=RULES) -> DataFrame:
     return keyed.join(best, ["_row", "host", "path"], "left").select(*df.columns, F.col("best.rule").alias("rule"), F.col("best.own").alias("own"))
 
 
-def _target(tags: Column, wanted: str, attribute: str, inner: str | None) -> Column:
-    tag = F.try_element_at(F.filter(tags, lambda t: t.rlike(wanted)), F.lit(1))
-    value = F.regexp_extract(tag, _ATTRIBUTE.format(attribute), 1)
-    return F.trim(F.regexp_extract(value, inner, 1) if inner else value)
+def _attribute(tag: Column, name: str) -> Column:
+    return F.concat(*(F.regexp_extract(tag, _ATTRIBUTE.format(name), k) for k in (1, 2, 3)))
+
+
+def _targets(html: str, tag: str, by: str, wanted: str, attribute: str, inner: str | None) -> Column:
+    """The values of ``attribute`` in all tags whose attribute ``by`` is as ``wanted``."""
+    tags = F.regexp_extract_all(html, F.lit(_TAG.format(tag)), F.lit(0))
+    values = F.transform(F.filter(tags, lambda t: _attribute(t, by).rlike(wanted)), lambda t: _attribute(t, attribute))
+    urls = F.transform(values, lambda v: F.concat(*(F.regexp_extract(v, inner, k) for k in (1, 2, 3)))) if inner else values
+    plain = lambda u: F.replace(F.regexp_replace(u, r"^\s+|\s+$", ""), F.lit("&amp;"), F.lit("&"))
+    return F.filter(F.transform(urls, plain), lambda u: u != "")
+
+
+def _folded(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    step = lambda kept, p: F.when(p == "..", F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)).when(p == ".", kept).otherwise(F.array_append(kept, p))
+    whole = F.aggregate(parts, F.array().cast("array<string>"), step)
+    open_end = F.element_at(parts, -1).isin(".", "..")
+    return F.array_join(F.when(open_end, F.array_append(whole, F.lit(""))).otherwise(whole), "/")
+
+
+def resolved(to: Column, src: Column) -> Column:
+    """The URL that a page at ``src`` means by ``to``; null where it is none."""
+    base = F.regexp_extract(src, r"(?s)^.*?://[^/?#]*", 0)
+    own, folder = path(src), F.regexp_extract(path(src), r"(?s)^(.*/)[^/]*$", 1)
+    at, tail = F.regexp_extract(to, r"(?s)^[^?#]*", 0), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    joined = F.when(at.startswith("/"), at).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), at))
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.startswith("//"), F.concat(F.regexp_extract(src, r"(?s)^(.*?:)//", 1), to))
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | to.startswith("#"), None)
+        .when(to.startswith("?"), F.concat(base, own, to))
+        .otherwise(F.concat(base, _folded(joined), tail))
+    )
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst): node of a page's URL, node of a URL it redirects to or names as canonical."""
-    marked = pages.where(F.col(url).contains("://") & (F.col(html).rlike(r"(?i)rel\s*=\s*[\"']?canonical") | F.col(html).rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh")))
-    links = F.regexp_extract_all(html, F.lit(_TAG.format("link")), F.lit(0))
-    metas = F.regexp_extract_all(html, F.lit(_TAG.format("meta")), F.lit(0))
-    canonical = _target(links, r"(?i)\brel\s*=\s*[\"']?canonical", "href", None)
-    refresh = _target(metas, r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh", "content", r"(?is)url\s*=\s*['\"]?([^'\"\s]+)")
-    found = marked.select(F.col(url).alias("src"), F.explode(F.array(canonical, refresh)).alias("to"))
-    base = F.regexp_extract("src", r"(?s)^.*?://[^/?#]*", 0)
-    dst = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.regexp_extract("src", r"(?s)^(.*?:)//", 1), "to")).when(F.col("to").startswith("/"), F.concat(base, "to"))
-    return found.select(node(F.col("src")).alias("src"), node(dst).alias("dst")).where("dst is not null and src <> dst").distinct()
+    marked = pages.where(F.col(url).contains("://") & F.col(html).rlike(r"(?i)canonical|refresh"))
+    canonical = _targets(html, "link", "rel", r"(?i)(^|\s)canonical(\s|$)", "href", None)
+    refresh = _targets(html, "meta", "http-equiv", r"(?i)^\s*refresh\s*$", "content", r"""(?is)url\s*=\s*(?:"([^"]*)|'([^']*)|([^"'\s][^\s]*))""")
+    found = marked.select(F.col(url).alias("src"), F.explode(F.concat(canonical, refresh)).alias("to"))
+    return found.select(node(F.col("src")).alias("src"), node(resolved(F.col("to"), F.col("src"))).alias("dst")).where("dst is not null and src <> dst").distinct()
 
 
 def node(url: Column) -> Column:
-    return F.regexp_extract(url, r"(?s)^[^#]*", 0)
+    """A URL up to ``#``, its scheme and host in lower case."""
+    text = F.regexp_extract(url, r"(?s)^[^#]*", 0)
+    head = F.regexp_extract(text, r"^[^:/?#]*://[^/?#]*", 0)
+    return F.concat(F.translate(head, _UPPER, _LOWER), F.substring(text, F.length(head) + 1, F.length(text)))
 
 
 def verdicts(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", edges: DataFrame | None = None) -> DataFrame:

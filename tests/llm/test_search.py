@@ -63,6 +63,27 @@ def test_urls(spark, tmp_path):
     assert fixtures.bag(tuple(r[n] for n in names) for r in rows) == fixtures.bag(con.sql(urlblocks.ORACLE).project(", ".join(names)).fetchall())
 
 
+def test_edges_of_ordinary_html(spark):
+    cases = [
+        ("https://a.org/d/e/p?q", """<meta http-equiv="refresh" content="0;url='https://b.org/1'">""", ["https://b.org/1"]),
+        ("https://a.org/d/e/p", """<META content='5; URL="https://b.org/2"' HTTP-EQUIV=Refresh>""", ["https://b.org/2"]),
+        ("https://a.org/d/e/p", "<link rel=canonical href=https://b.org/3>", ["https://b.org/3"]),
+        ("https://a.org/d/e/p", """<link rel="canonical"><link href="https://b.org/it's" rel="x canonical">""", ["https://b.org/it's"]),
+        ("https://a.org/d/e/p", """<link rel="canonical" href="/1"><link rel='canonical' href='/2?x=1&amp;y=2'>""", ["https://a.org/1", "https://a.org/2?x=1&y=2"]),
+        ("https://a.org/d/e/p", '<link data-href="/no" title="a > b" rel="canonical" href="HTTPS://B.Org/X">', ["https://b.org/X"]),
+        ("HTTP://A.org/d/e/p", '<link rel="canonical" href="f.html#z"><link rel="canonical" href="../g?h"><link rel="canonical" href="./">', ["http://a.org/d/e/f.html", "http://a.org/d/g?h", "http://a.org/d/e/"]),
+        ("https://a.org", '<link rel="canonical" href="f"><link rel="canonical" href="?s">', ["https://a.org/f", "https://a.org?s"]),
+        ("https://a.org/d/e/p", '<link rel="canonical" href="//C.org/y"><link rel="canonical" href="mailto:x@y"><link rel="canonical" href="#t">', ["https://c.org/y"]),
+        ("https://a.org/d/e/p", '<link rel="stylesheet canonicals" href="/no"><meta name="refresh" content="0;url=/no"><linker rel="canonical" href="/no">', []),
+    ]
+    for url, html, want in cases:
+        got = urlblocks.alias_edges(spark.createDataFrame([(url, html)], "url string, html string")).collect()
+        assert sorted(r.dst for r in got) == sorted(want), html
+    pages = [(1, "https://EXAMPLE.com/en/1", ""), (2, "https://q.net/a", "<link rel=canonical href=https://example.com/en/1>")]
+    told = urlblocks.verdicts(spark.createDataFrame(pages, "page_id long, url string, html string"), (("example.com/en/", "block"),)).collect()
+    assert [r.verdict for r in told] == ["block", "block"] and len({r.alias_of for r in told}) == 1
+
+
 def test_many_rules_agree_with_few(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     more = [*urlblocks.RULES, *((f"h{i}.org/", "block") for i in range(urlblocks.INLINE_RULES))]

@@ -3,8 +3,8 @@
 Documents are dealt to ranges of ascending id; each range becomes a row of
 shards. A shard's ids are compressed by Re-Pair: in each round the most
 frequent pairs of neighbouring ids get nonterminals and their occurrences, left
-to right and never across a document's end, are replaced, until no pair is
-frequent enough. A shard stores its rules, each symbol's expansion length, and
+to right and never across a document's end, are replaced, until no pair occurs
+``LEAST_COUNT`` times or the symbols' 16 bits are used up. A shard stores its rules, each symbol's expansion length, and
 where each document starts among the symbols, so one document, or a stretch of
 its ids, is decoded without the rest.
 
@@ -36,9 +36,9 @@ END_ID = 0
 #: Fixed value: the pattern by which byte-level pre-tokenisation splits a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHARD_IDS = 1_000_000
-ROUNDS = 6
 PAIRS_A_ROUND = 2048
-LEAST_COUNT = 24
+#: A rule takes 8 bytes of a shard (its pair and its length) and each use spares 2, so fewer uses don't pay.
+LEAST_COUNT = 5
 CHUNK_CHARS = 1_000_000
 #: What ``odd`` lets pass: line ends, printable ASCII, and the UTF-8 bytes of characters from U+00C0 to U+024F.
 _PLAIN = bytes([10, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xCA)])
@@ -90,14 +90,15 @@ def encoder(path: str) -> Encoder:
 
 def compress(ids: np.ndarray, last: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, rules as pairs, for each symbol whether it ends a document). ``last`` marks documents' ends."""
-    symbols, last, rules, base = ids.astype(np.uint32), last.copy(), [], first_rule
+    bits, code_type, factor, top = 16, np.uint32, 0x9E3779B1, 12
+    symbols, last, rules, base = ids.astype(code_type), last.copy(), [], first_rule
     mark = np.zeros(1 << 20, bool)
-    h = lambda x: (x * np.uint32(0x9E3779B1)) >> np.uint32(12)
-    for _ in range(ROUNDS):
-        most = min(PAIRS_A_ROUND, 65536 - base)
+    h = lambda x: (x * code_type(factor)) >> code_type(top)
+    while True:
+        most = min(PAIRS_A_ROUND, (1 << bits) - base)
         if len(symbols) < 2 or most <= 0:
             break
-        code = (symbols[:-1] << np.uint32(16)) | symbols[1:]
+        code = (symbols[:-1] << code_type(bits)) | symbols[1:]
         inside = code[~last[:-1]]
         if not len(inside):
             break
@@ -121,13 +122,16 @@ def compress(ids: np.ndarray, last: np.ndarray, first_rule: int) -> tuple[np.nda
         run = np.flatnonzero(np.r_[True, np.diff(at) != 1])  # overlapping occurrences: every other one, from the left
         odd_ones = (np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0
         at, number = at[odd_ones], number[odd_ones]
-        rules.append(np.stack([pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)], axis=1))
-        symbols[at] = (base + number).astype(np.uint32)
+        used = np.zeros(len(pairs), bool)  # pairs that overlap others may have no occurrence left, and get no rule
+        used[number] = True
+        number, pairs = (np.cumsum(used) - 1)[number], pairs[used]
+        rules.append(np.stack([pairs >> code_type(bits), pairs & code_type((1 << bits) - 1)], axis=1))
+        symbols[at] = (base + number).astype(code_type)
         last[at] = last[at + 1]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols, last, base = symbols[keep], last[keep], base + len(pairs)
-    return symbols, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), last
+    return symbols, np.concatenate(rules) if rules else np.zeros((0, 2), code_type), last
 
 
 def expansions(rules: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

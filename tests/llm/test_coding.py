@@ -88,6 +88,24 @@ def test_grammar_round_trip():
         assert shard.document(k).tolist() == d.tolist() and shard.document(k, a, b).tolist() == d[a:b].tolist()
 
 
+def packed(docs, first_rule):
+    sizes, ids = [len(d) for d in docs], np.concatenate(docs).astype(np.int32)
+    blobs = tokenshards.pack(list(range(len(docs))), sizes, ids, first_rule)
+    shard = tokenshards.Shard(blobs["docs"], blobs["rules"], blobs["symbols"], first_rule)
+    assert (shard.all_ids() == ids).all() and all((shard.document(k) == d).all() for k, d in enumerate(docs))
+    return shard
+
+
+def test_grammar_of_copies():
+    """Copies of a long text become a few symbols each, however long it is; pairs seen a few times are replaced too."""
+    rng = np.random.default_rng(3)
+    text = rng.integers(0, 50000, 6000)
+    shard = packed([text] * 40, 50257)
+    assert len(shard.symbols) == 40
+    shard = packed([rng.integers(0, 50000, 50) for _ in range(20)] + [text[:100]] * 8, 50257)
+    assert len(shard.symbols) <= 20 * 50 + 8
+
+
 def pages():
     long = "<p>é</p>" * 20
     return [(i, f"http://a/{i}", long if i % 3 == 0 else f"<p>{i}</p>" * 30) for i in range(40)] + [(40, None, None), (41, "http://a/\r\nX: y", ""), (42, "u", "short"), (43, "u", "short"), (None, "u", long), (3, "u", long), (3, "u", long)]

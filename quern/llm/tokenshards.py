@@ -4,7 +4,8 @@ Documents are dealt to ranges of ascending id; each range becomes a row of
 shards. A shard's ids are compressed by Re-Pair: in each round the most
 frequent pairs of neighbouring ids get nonterminals and their occurrences, left
 to right and never across a document's end, are replaced, until no pair occurs
-``LEAST_COUNT`` times or the symbols' 16 bits are used up. A shard stores its rules, each symbol's expansion length, and
+``LEAST_COUNT`` times or the symbols' 16 bits are used up (32 bits for a
+tokenizer whose ids leave no room in 16). A shard stores its rules, each symbol's expansion length, and
 where each document starts among the symbols, so one document, or a stretch of
 its ids, is decoded without the rest.
 
@@ -88,9 +89,14 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def wide(first_rule: int) -> bool:
+    """Whether symbols take 32 bits: where 16 leave a round's rules no room."""
+    return first_rule > 65536 - PAIRS_A_ROUND
+
+
 def compress(ids: np.ndarray, last: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, rules as pairs, for each symbol whether it ends a document). ``last`` marks documents' ends."""
-    bits, code_type, factor, top = 16, np.uint32, 0x9E3779B1, 12
+    bits, code_type, factor, top = (32, np.uint64, 0x9E3779B97F4A7C15, 44) if wide(first_rule) else (16, np.uint32, 0x9E3779B1, 12)
     symbols, last, rules, base = ids.astype(code_type), last.copy(), [], first_rule
     mark = np.zeros(1 << 20, bool)
     h = lambda x: (x * code_type(factor)) >> code_type(top)
@@ -157,17 +163,18 @@ def _open(symbols: np.ndarray, length: np.ndarray, start: np.ndarray, flat: np.n
 
 def pack(docs: list[int | None], sizes: list[int], ids: np.ndarray, first_rule: int) -> dict[str, bytes]:
     """docs: per document its id (int64), id count and symbol count (int64 each), null flag (1 byte); rules: uint16 pairs,
-    then uint32 expansion lengths; symbols: uint16. All little-endian."""
+    then uint32 expansion lengths; symbols: uint16. Pairs and symbols are uint32 where ``wide``. All little-endian."""
     last = np.zeros(len(ids), bool)
     last[np.cumsum(sizes) - 1] = True
     symbols, rules, last = compress(ids, last, first_rule)
     ends = np.flatnonzero(last) + 1
     table = np.stack([np.array([d or 0 for d in docs], np.int64), np.array(sizes, np.int64), np.diff(np.r_[0, ends])], axis=1)
     lengths = expansions(rules, first_rule)[0][first_rule:]
+    kind = "<u4" if wide(first_rule) else "<u2"
     return {
         "docs": table.astype("<i8").tobytes() + bytes(d is None for d in docs),
-        "rules": rules.astype("<u2").tobytes() + lengths.astype("<u4").tobytes(),
-        "symbols": symbols.astype("<u2").tobytes(),
+        "rules": rules.astype(kind).tobytes() + lengths.astype("<u4").tobytes(),
+        "symbols": symbols.astype(kind).tobytes(),
     }
 
 
@@ -178,8 +185,9 @@ class Shard:
         n = len(docs) // 25
         self.table = np.frombuffer(docs[: 24 * n], "<i8").reshape(n, 3)
         self.ids = [None if null else int(d) for d, null in zip(self.table[:, 0], docs[24 * n :])]
-        pairs = np.frombuffer(rules[: len(rules) // 2], "<u2").reshape(-1, 2).astype(np.int64)
-        self.symbols = np.frombuffer(symbols, "<u2").astype(np.int64)
+        kind, size = ("<u4", 8) if wide(first_rule) else ("<u2", 4)
+        pairs = np.frombuffer(rules[: len(rules) // (size + 4) * size], kind).reshape(-1, 2).astype(np.int64)
+        self.symbols = np.frombuffer(symbols, kind).astype(np.int64)
         self.bounds = np.r_[0, np.cumsum(self.table[:, 2])]
         self.length, self.start, self.flat = expansions(pairs, first_rule)
 

@@ -106,6 +106,14 @@ def test_grammar_of_copies():
     assert len(shard.symbols) <= 20 * 50 + 8
 
 
+def test_grammar_of_a_large_vocabulary():
+    rng = np.random.default_rng(4)
+    docs = [np.r_[text, 119_999] for text in [rng.integers(60_000, 120_000, 300)] * 30]
+    for first_rule in (120_000, 65_000):
+        shard = packed([d % first_rule for d in docs], first_rule)
+        assert len(shard.symbols) == 30
+
+
 def pages():
     long = "<p>é</p>" * 20
     return [(i, f"http://a/{i}", long if i % 3 == 0 else f"<p>{i}</p>" * 30) for i in range(40)] + [(40, None, None), (41, "http://a/\r\nX: y", ""), (42, "u", "short"), (43, "u", "short"), (None, "u", long), (3, "u", long), (3, "u", long)]

@@ -180,6 +180,23 @@ SELECT conv_id, turn, sha256(array_to_string(list_filter({_words('c')}, lambda w
   sha256(regexp_replace(array_to_string(list_filter({_words('text')}, lambda w: NOT regexp_full_match(w, '\\d+')), ' '), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g')) AS topic,
   sha256(regexp_replace(text, '[!-/:-@\\[-`{{-~¡¿]', '', 'g')) AS bare FROM x""",
     "q40_diversity": f"WITH {_TOPIC_WORDS} SELECT round(count(DISTINCT w) / count(*)::DOUBLE, 9) AS diversity FROM (SELECT unnest(words) AS w FROM topic_words)",
+    "q41_document_continuations": f"""
+WITH s AS (SELECT source || '::' || doc_id AS response_id, {_sentences('text')} AS l FROM documents),
+f AS (SELECT response_id, unnest(range(len(l))) AS i, unnest(l) AS t FROM s),
+j AS (SELECT *, coalesce(regexp_matches(lag(t) OVER w, '(\\.\\.\\.|…)\\s*$') AND regexp_matches(regexp_replace(regexp_replace(t, '^[-–—]\\s*', ''), '^(\\.\\.\\.|…)\\s*', ''), '^[^\\p{{L}}\\d"''‘’“”(¿¡]*\\p{{Ll}}'), false) AS joins FROM f WINDOW w AS (PARTITION BY response_id ORDER BY i)),
+k AS (SELECT *, sum((NOT joins)::INT) OVER (PARTITION BY response_id ORDER BY i) AS island FROM j),
+p AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY response_id, island) AS n FROM k WINDOW w AS (PARTITION BY response_id, island ORDER BY i)),
+c AS (SELECT *, CASE WHEN place < n THEN rtrim(regexp_replace(t, '(\\.\\.\\.|…)\\s*$', '')) ELSE t END AS h FROM p)
+SELECT response_id, sentence_index, sha256(text_source) AS sha256, fragments FROM (
+SELECT response_id, (island - 1)::INT AS sentence_index, string_agg(CASE WHEN place > 1 THEN ltrim(regexp_replace(regexp_replace(h, '^[-–—]\\s*', ''), '^(\\.\\.\\.|…)\\s*', '')) ELSE h END, ' ' ORDER BY i) AS text_source, count(*)::INT AS fragments
+FROM c GROUP BY response_id, island)""",
+    "q42_document_transcripts": f"""
+WITH s AS (SELECT doc_id::VARCHAR AS interview_id, {_sentences('text')} AS l FROM documents),
+f AS (SELECT interview_id, unnest(range(len(l)))::INT AS i, unnest(l) AS t FROM s)
+SELECT interview_id, i AS position, (i + 1)::VARCHAR AS question_id, sha256({_strip("replace(regexp_replace('   ' || t, '\\[\\d{2}:\\d{2}:\\d{2}\\.\\d{3} --> \\d{2}:\\d{2}:\\d{2}\\.\\d{3}\\]', '', 'g'), '  ', ' ')")}) AS sha256 FROM f""",
+    "q43_document_question_order": """
+WITH v AS (SELECT DISTINCT (doc_id % 100)::VARCHAR || '.' || (n_chars % 25)::VARCHAR || CASE WHEN lang = 'en' THEN '' ELSE lang[1] END AS question_id FROM documents)
+SELECT question_id, row_number() OVER (ORDER BY list_transform(list_filter(string_split(question_id, '.'), lambda p: regexp_full_match(p, '[0-9]+')), lambda p: p::INT), question_id)::INT AS place FROM v""",
     "q00_flagship": f"""
 WITH s AS (SELECT source AS interview_id, doc_id, unnest({_sentences('text')}) AS t FROM documents),
 c AS (SELECT interview_id, count(DISTINCT doc_id) AS responses, count(*) AS sentences FROM s GROUP BY 1),

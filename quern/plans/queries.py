@@ -277,6 +277,27 @@ def q40_diversity(s, d):
     return evaluation.diversity(_topic_words(s, d)).select(F.round("diversity", 9).alias("diversity"))
 
 
+def q41_document_continuations(s, d):
+    """As q11, on the sentences of all documents."""
+    rows = _docs(s, d).select(X.response_id(F.col("source"), F.col("doc_id").cast("string")).alias("response_id"), "text")
+    cut = segments.explode_sentences(rows, segments.split_sentences(F.col("text"))).drop("text")
+    merged = segments.merge_continuations(cut)
+    return merged.select("response_id", "sentence_index", X.digest(F.col("text_source")).alias("sha256"), F.size("fragments").alias("fragments"))
+
+
+def q42_document_transcripts(s, d):
+    """As q33, on all documents made into transcripts: each sentence is the answer to a question of its own."""
+    marked = F.transform(segments.split_sentences(F.col("text")), lambda t, i: F.concat(F.lit("-.Pregunta "), (i + 1).cast("string"), F.lit(".-\n[00:00:01.000 --> 00:00:05.000]   "), t))
+    rows = _docs(s, d).select(F.col("doc_id").cast("string").alias("interview_id"), F.array_join(marked, "\n").alias("content"))
+    return transcripts.parse_list(rows).select("interview_id", "position", "question_id", X.digest(F.col("original_text")).alias("sha256"))
+
+
+def q43_document_question_order(s, d):
+    """As q37, on the distinct ids that all documents give: at most 10,000."""
+    ids = _docs(s, d).select(F.concat_ws(".", (F.col("doc_id") % 100).cast("string"), F.concat((F.col("n_chars") % 25).cast("string"), F.when(F.col("lang") == "en", "").otherwise(F.substring("lang", 1, 1)))).alias("question_id"))
+    return ids.distinct().select("question_id", F.row_number().over(W.orderBy(X.question_parts(F.col("question_id")), "question_id")).alias("place"))
+
+
 def flagship(s: SparkSession, sf_dir: str) -> DataFrame:
     """Interviews, their responses and sentences, and how far each one's most widespread short phrase reaches."""
     docs = _docs(s, sf_dir)

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import struct
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, graph, imatch, ngramjoin, secretscan, shingles, urlblocks
@@ -92,26 +97,61 @@ def test_many_rules_agree_with_few(spark):
     assert urlblocks.verdicts(pages.limit(0)).count() == 0
 
 
-def test_imatch(spark, tmp_path):
-    rows = [r for r in fixtures.documents() if r[0] is not None]
-    rows = list({r[0]: r for r in rows}.values())
-    folder = fixtures.write(spark, tmp_path, rows)
-    got = {r.doc_id: r for r in imatch.op2_imatch(spark, folder).collect()}
+def imatch_print(text, band):
+    """A fingerprint by brute force: Spark's xxhash64 chains 64-bit hashes, seeded with 42."""
+    h = lambda x, seed: xxhash.xxh64(x, seed=seed).intdigest()
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    found = [[] for _ in imatch.KEEP]
+    for term in {t for t in regex.split(imatch.NOT_A_TERM, (text or "").lower()) if t in band}:
+        own = h(term.encode(), 42)
+        mask = sum(1 << k for k, share in enumerate(imatch.KEEP) if signed(h(struct.pack("<i", k), own)) % 256 < share)
+        for k in range(len(imatch.KEEP)):
+            if mask >> k & 1:
+                found[k].append(signed((own << 16 | mask) & (2**64 - 1)))
+    out = []
+    for codes in found:
+        seed = 42
+        for c in sorted(codes):
+            seed = h(struct.pack("<q", c), seed)
+        out.append(f"{seed:016x}" if codes else "-")
+    return out if set(out) != {"-"} else [f"{h((text or '').encode(), 42):016x}"] * len(out)
+
+
+def imatch_likeness(a, b):
+    told = [(x, y) for x, y in zip(a, b) if (x, y) != ("-", "-")]
+    return sum(x == y for x, y in told) / len(told)
+
+
+def imatch_rows(rows):
+    """Every column by brute force, of rows with distinct ids."""
+    n, texts = len(rows), [r[1] or "" for r in rows]
+    df = Counter(t for text in texts for t in set(regex.split(imatch.NOT_A_TERM, text.lower())) if t)
+    least, most = max(2, math.ceil(imatch.LEAST_SHARE * n)), max(2, math.floor(imatch.MOST_SHARE * n))
+    band = {t for t, c in df.items() if least <= c <= most}
     order = sorted(rows, key=lambda r: -r[0])
-    assert len(got) == len(rows)
     for k, r in enumerate(order):
-        text, after = r[1] or "", order[(k + 1) % len(order)][1] or ""
-        half = len(text) // 2
-        edited = text[: len(text) - half] + after[:half]
-        g = got[r[0]]
-        assert (g.n_chars, g.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        a, b = set(g.fingerprint.split()), set(got[order[(k + 1) % len(order)][0]].fingerprint.split())
-        assert g.near_next == pytest.approx(len(a & b) / len(a | b)) and 0 <= g.near_edited <= 1
-        assert (edited != text) or g.near_edited == 1
-    by_text = {}
-    for r in rows:
-        by_text.setdefault(r[1] or "", set()).add(got[r[0]].fingerprint)
-    assert all(len(x) == 1 for x in by_text.values())
+        text, after = r[1] or "", order[(k + 1) % n][1] or ""
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        own, other, following = (imatch_print(t, band) for t in (text, edited, after))
+        yield (r[0], len(text), hashlib.sha256(edited.encode()).hexdigest(), " ".join(own), " ".join(other), imatch_likeness(own, other), imatch_likeness(own, following))
+
+
+@pytest.mark.parametrize("inline", [1024, 3])
+def test_imatch(spark, tmp_path, monkeypatch, inline):
+    monkeypatch.setattr(imatch, "RANGES_INLINE", inline)
+    rows = list({r[0]: r for r in fixtures.documents() if r[0] is not None}.values())
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    got = imatch.op2_imatch(spark, fixtures.write(spark, tmp_path, rows))
+    assert got.columns == names and fixtures.bag(map(tuple, got.collect())) == fixtures.bag(imatch_rows(rows))
+
+
+def test_imatch_tells_edits_from_others(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(120)) for _ in range(200)]
+    docs = spark.createDataFrame([(2 * i + j, t + (" extra" if j else "")) for i, t in enumerate(texts) for j in (0, 1)], "doc_id long, text string")
+    told = imatch.fingerprints(docs).selectExpr("avg(near_next) filter (where doc_id % 2 = 1) same", "avg(near_next) filter (where doc_id % 2 = 0) other", "avg(near_edited) half").first()
+    assert told.same > 0.4 and told.other < 0.02 and told.half > told.other
 
 
 def test_imatch_with_a_shuffled_lexicon(spark, monkeypatch):

@@ -15,10 +15,12 @@ QUERIES = {
     "op8_token_shards": tokenshards.op8_token_shards,
     "op9_warc": warc.op9_warc,
     "op10_ngram_join": ngramjoin.op10_ngram_join,
+    "ledger_increments": secretscan.ledger_increments,
 }
 
 ORACLES: dict[str, str] = {
     "op1_url_redirects": urlblocks.ORACLE,
     "op3_secret_scan": secretscan.ORACLE,
     "op9_warc": warc.ORACLE,
+    "ledger_increments": secretscan.INCREMENTS_ORACLE,
 }

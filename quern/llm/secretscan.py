@@ -4,22 +4,28 @@ Every version of every path is a blob, addressed by the SHA-256 of its text. The
 ledger (Parquet, appended to by each run) has a row per blob and rule version
 that has been scanned, with the spans found, none included. A run scans only
 pairs that the ledger lacks, each blob's text once, and joins the findings back
-to every path that holds the blob. Another rule version scans all blobs anew
-and leaves the old rows as they are.
+to every path that holds the blob. The rule version is a hash of the rules, so
+changed rules scan all blobs anew and leave the old rows as they are. A pair that
+two concurrent runs both appended counts once.
 
 Rules are regular expressions run by Spark's own functions; a span's place comes
-from the lengths of the pieces that ``split`` leaves between the matches.
+from running sums over the lengths of the matches and of the pieces between
+them, a row each, so the work grows in proportion to a text's length.
 Defined results: a null text counts as empty and has no span; equal rows are
 scanned once and reported each; a null key is kept; an empty table scans
-nothing and leaves the ledger as it is.
+nothing and leaves the ledger as it is; columns ``blob`` and ``spans`` of the
+input are replaced by the findings'.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh_path, read_table
+from quern.llm.common import fresh_path, materialize, read_table
 
 #: Fixed values: (kind, pattern, group whose length counts, least length), in the order that breaks ties of start.
 RULES = (
@@ -27,43 +33,42 @@ RULES = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
 )
-RULES_VERSION = "1"
-SPANS = "array<struct<start:int,kind_no:int,end:int>>"
+#: A span, and the furthest end of the spans before it.
+SPANS = "array<struct<start:int,kind_no:int,end:int,covered:int>>"
 LEDGER = f"blob string, rules_version string, spans {SPANS}"
-_FOUND = [f"_found{k}" for k in range(len(RULES))]
 
 
-def _long_enough(k: int) -> str:
-    """The rule's pattern, narrowed to long matches where that leaves the matches' places as they are."""
-    kind, pattern, group, least = RULES[k]
-    # a run of one character class is either long enough as a whole or not at all
-    return {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}.get(kind, pattern)
+def version_of(rules=RULES) -> str:
+    return hashlib.sha256(repr(tuple(map(tuple, rules))).encode()).hexdigest()[:16]
 
 
-def _spans(text: Column, found: Column, k: int) -> Column:
-    """Spans of rule ``k`` from its matches, in code points, end exclusive."""
-    _, pattern, group, least = RULES[k]
-    pieces = F.split(text, _long_enough(k), -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+def _long_enough(rule: tuple) -> str:
+    """The rule's pattern, narrowed to long matches where that leaves the matches' places as they are."""
+    # a run of one character class is either long enough as a whole or not at all
+    return {RULES[1]: r"AKIA[A-Z0-9]{16,}", RULES[2]: r"[0-9a-f]{24,}"}.get(tuple(rule), rule[1])
 
-    def step(acc: Column, i: Column) -> Column:
-        match = F.get(found, i)
-        begin = acc["at"] + F.length(F.get(pieces, i))
-        end = begin + F.length(match)
-        counts = F.length(F.regexp_extract(match, pattern, group)) >= least
-        span = F.struct(begin.cast("int").alias("start"), F.lit(k).alias("kind_no"), end.cast("int").alias("end"))
-        return F.struct(end.cast("int").alias("at"), F.when(counts, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["out"]).otherwise(F.array().cast(SPANS))
+def _matches(text: Column, rule: tuple) -> Column:
+    """(gap, size, counts) of every match of a rule: characters since the last one, its own, and whether it is long enough."""
+    _, pattern, group, least = rule
+    found, pieces = F.regexp_extract_all(text, F.lit(_long_enough(rule)), F.lit(0)), F.split(text, _long_enough(rule), -1)
+    told = lambda m, p: F.when(m.isNotNull(), F.struct(F.length(p).alias("gap"), F.length(m).alias("size"), (F.length(F.regexp_extract(m, pattern, group)) >= least).alias("counts")))
+    return F.filter(F.zip_with(found, pieces, told), lambda x: x.isNotNull())  # the piece after the last match has none
 
 
-def scan(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``spans``: (start, kind_no, end) of every secret, by start and then kind."""
+def scan(blobs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """(blob, spans) of ``blobs`` (blob, text; no blob twice): every secret's span, by start and then kind."""
     body = F.coalesce(F.col(text), F.lit(""))
-    matched = df.select(*(c for c in df.columns if c != "spans"), *(F.regexp_extract_all(body, F.lit(_long_enough(k)), F.lit(0)).alias(c) for k, c in enumerate(_FOUND)))
-    spans = F.array_sort(F.concat(*(_spans(body, F.col(c), k) for k, c in enumerate(_FOUND))))
-    some = F.greatest(*(F.size(c) for c in _FOUND)) > 0
-    return matched.withColumn("spans", F.when(some, spans).otherwise(F.array().cast(SPANS))).drop(*_FOUND)
+    of_kind = lambda k, r: F.transform(_matches(body, r), lambda m, i: F.struct(F.lit(k).alias("kind_no"), i.alias("place"), m.alias("m")))
+    # a blob without any match keeps a row of its own
+    rows = blobs.select("blob", F.explode_outer(F.concat(*(of_kind(k, r) for k, r in enumerate(rules)))).alias("x")).repartition("blob").select("blob", "x.*")
+    upto = W.partitionBy("blob", "kind_no").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    ended = rows.withColumn("end", F.sum(F.col("m.gap") + F.col("m.size")).over(upto).cast("int"))
+    told = ended.select("blob", "kind_no", (F.col("end") - F.col("m.size")).alias("start"), F.when(F.col("m.counts"), F.col("end")).alias("end"))
+    before = W.partitionBy("blob").orderBy("start", "kind_no").rowsBetween(W.unboundedPreceding, -1)
+    told = told.withColumn("covered", F.coalesce(F.max("end").over(before), F.lit(0)))
+    span = F.when(F.col("end").isNotNull(), F.struct("start", "kind_no", "end", "covered"))
+    return told.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -79,27 +84,26 @@ def _ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path)
 
 
-def update_ledger(versions: DataFrame, ledger: str, key: str, text: str = "text", rules_version: str = RULES_VERSION) -> None:
-    """Scan the blobs of ``versions`` that the ledger at path ``ledger`` lacks under ``rules_version``, and append them."""
+def update_ledger(versions: DataFrame, ledger: str, key: str, text: str = "text", rules=RULES) -> None:
+    """Scan the blobs of ``versions`` that the ledger at path ``ledger`` lacks under these rules, and append them."""
     spark = versions.sparkSession
     told = versions.select(F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"), F.xxhash64(F.col(key).cast("string")).alias("_row"), F.col(text).alias("_text"))
-    known = _ledger(spark, ledger).where(F.col("rules_version") == rules_version).select("blob").distinct()
-    # one row stands for each unseen blob; only that row's text is moved and scanned
+    known = _ledger(spark, ledger).where(F.col("rules_version") == version_of(rules)).select("blob").distinct()
+    # hashes only, until it is known which blobs are unseen; then each one's text, of one row that stands for it
     unseen = told.groupBy("blob").agg(F.min("_row").alias("_row")).join(known, "blob", "left_anti")
-    texts = told.join(unseen.hint("shuffle_hash"), ["blob", "_row"], "left_semi")
-    found = scan(texts.select("blob", "_text"), "_text").select("blob", "spans").groupBy("blob").agg(F.first("spans").alias("spans"))
-    found.select("blob", F.lit(rules_version).alias("rules_version"), "spans").write.mode("append").parquet(ledger)
+    texts = told.join(unseen, ["blob", "_row"], "left_semi").groupBy("blob").agg(F.first("_text").alias("_text"))
+    scan(texts, "_text", rules).select("blob", F.lit(version_of(rules)).alias("rules_version"), "spans").write.mode("append").parquet(ledger)
 
 
-def findings(versions: DataFrame, ledger: str, text: str = "text", rules_version: str = RULES_VERSION) -> DataFrame:
+def findings(versions: DataFrame, ledger: str, text: str = "text", rules=RULES) -> DataFrame:
     """``versions`` with blob and spans, from the ledger; other columns of these names are replaced.
 
-    A blob that very many paths hold makes a large join partition, which Spark splits: both sides are plain tables.
+    A blob that very many paths hold makes a large join partition, which Spark splits.
     """
-    spark = versions.sparkSession
-    rows = _ledger(spark, ledger).where((F.col("rules_version") == rules_version) & (F.size("spans") > 0)).select("blob", "spans")
+    rows = _ledger(versions.sparkSession, ledger).where((F.col("rules_version") == version_of(rules)) & (F.size("spans") > 0))
+    once = rows.groupBy("blob").agg(F.max("spans").alias("spans"))  # concurrent runs may have appended one pair twice
     told = versions.drop("blob", "spans").withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    joined = told.join(rows, "blob", "left")
+    joined = told.join(once, "blob", "left")
     return joined.withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
 
 
@@ -118,28 +122,43 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def masked(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by its kind in brackets; overlapping spans become one, named for the first."""
     kinds = F.array(*(F.lit(f"[{r[0]}]") for r in RULES))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.get(kinds, s["kind_no"]))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate(spans, start, step)
-    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
-
-
-def _oracle() -> str:
+    parts = F.transform(F.filter(spans, lambda s: s["start"] >= s["covered"]), lambda s: F.concat(F.substring(text, s["covered"] + 1, s["start"] - s["covered"]), F.get(kinds, s["kind_no"])))
+    end = F.array_max(F.transform(spans, lambda s: s["end"]))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), F.substring(text, end + 1, F.length(text)))).otherwise(text)
+
+
+def ledger_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over one ledger, turns of conversations and then documents: per run, its versions, the blobs it scanned, and the spans of its versions."""
+    ledger = fresh_path(spark, "blob-ledger")
+    turns = read_table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("key"), "text")
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), "text")
+    out, before = [], 0
+    for run, versions in enumerate((turns, docs.unionByName(turns))):
+        update_ledger(versions, ledger, "key")
+        scanned = _ledger(spark, ledger).count()
+        told = findings(versions, ledger).agg(F.count(F.lit(1)).alias("versions"), F.sum(F.size("spans")).cast("long").alias("n_spans"))
+        # written at once: in one plan Spark would take both readings of the ledger's folder for the same
+        out.append(materialize(told.select(F.lit(run).alias("run"), "versions", F.lit(scanned - before).cast("long").alias("scanned"), "n_spans"), "ledger-run"))
+        before = scanned
+    return out[0].unionByName(out[1])
+
+
+def _spans_sql(rows: str) -> str:
+    """rn, kind_no, kind, s and hit of every base span, of ``rows`` (rn, t)."""
     quoted = [r[1].replace("'", "''") for r in RULES]
     per_kind = " UNION ALL ".join(
         f"""SELECT rn, {k} AS kind_no, '{RULES[k][0]}' AS kind, coalesce(list_aggregate(list_transform(p[1:i], lambda x: length(x)), 'sum'), 0) + coalesce(list_aggregate(list_transform(m[1:i-1], lambda x: length(x)), 'sum'), 0) AS s, m[i] AS hit
-        FROM (SELECT rn, p, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rn, regexp_split_to_array(t, '{quoted[k]}') AS p, regexp_extract_all(t, '{quoted[k]}') AS m FROM d))
+        FROM (SELECT rn, p, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rn, regexp_split_to_array(t, '{quoted[k]}') AS p, regexp_extract_all(t, '{quoted[k]}') AS m FROM {rows}))
         WHERE length({"regexp_extract(m[i], '" + quoted[k] + "', 2)" if RULES[k][2] else "m[i]"}) >= {RULES[k][3]}"""
         for k in range(len(RULES))
     )
+    return per_kind
+
+
+def _oracle() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t FROM documents),
-span AS ({per_kind}),
+span AS ({_spans_sql('d')}),
 g AS (SELECT rn, count(*) FILTER (kind_no = 0) AS n0, count(*) FILTER (kind_no = 1) AS n1, count(*) FILTER (kind_no = 2) AS n2,
       string_agg(kind || ':' || s::BIGINT || ':' || (s + length(hit))::BIGINT, ',' ORDER BY s, kind_no) AS listed FROM span GROUP BY rn)
 SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex,
@@ -149,3 +168,10 @@ FROM d LEFT JOIN g USING (rn)
 
 
 ORACLE = _oracle()
+INCREMENTS_ORACLE = f"""
+WITH first AS (SELECT coalesce(text, '') AS t FROM conversations), second AS (SELECT coalesce(text, '') AS t FROM documents UNION ALL SELECT t FROM first),
+d AS (SELECT row_number() OVER () AS rn, run, t FROM (SELECT 0 AS run, t FROM first UNION ALL SELECT 1, t FROM second)),
+span AS ({_spans_sql('d')}), hits AS (SELECT run, count(*) AS n FROM span JOIN d USING (rn) GROUP BY 1)
+SELECT run, count(*) AS versions, CASE WHEN run = 0 THEN (SELECT count(DISTINCT t) FROM first) ELSE (SELECT count(DISTINCT t) FROM second WHERE t NOT IN (SELECT t FROM first)) END AS scanned, coalesce(any_value(n), 0) AS n_spans
+FROM d LEFT JOIN hits USING (run) GROUP BY run
+"""

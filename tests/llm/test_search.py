@@ -198,15 +198,48 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
     secretscan.update_ledger(docs.unionByName(spark.createDataFrame([(4, "x")], docs.schema)), path, "doc_id")
     assert spark.read.parquet(path).count() == 3
-    secretscan.update_ledger(docs, path, "doc_id", rules_version="2")
-    assert spark.read.parquet(path).count() == 5
-    assert [len(r.spans) for r in secretscan.findings(docs, path).orderBy("doc_id").collect()] == [1, 1, 0]
-    secretscan.update_ledger(docs.limit(0), path, "doc_id", rules_version="3")
+    other = (("assign", "token=[a-z]+", 0, 3),)
+    secretscan.update_ledger(docs, path, "doc_id", rules=other)
+    assert spark.read.parquet(path).count() == 5 and secretscan.version_of(other) != secretscan.version_of()
+    told = lambda **k: [len(r.spans) for r in secretscan.findings(docs, path, **k).orderBy("doc_id").collect()]
+    assert told() == told(rules=other) == [1, 1, 0]
+    secretscan.update_ledger(docs.limit(0), path, "doc_id", rules=other[:0] + (("hex", "x", 0, 1),))
+    spark.read.parquet(path).coalesce(1).write.mode("append").parquet(path)  # as two concurrent runs would leave it
+    assert told() == [1, 1, 0]
+
+
+def test_increments(spark, tmp_path):
+    turns = [(1, 0, "user", "token=abcdefgh"), (1, 1, "user", None), (1, 2, "user", ""), (2, 0, "user", "hola")]
+    rows = [(1, "token=abcdefgh"), (2, "hola"), (3, "AKIA" + "A" * 20), (4, "AKIA" + "A" * 20)]
+    folder = fixtures.write(spark, tmp_path, [(i, t, None, None, 0, "x", 0.0) for i, t in rows], conversations=(turns, "conv_id long, turn long, role string, text string"))
+    got = sorted(map(tuple, secretscan.ledger_increments(spark, folder).collect()))
+    assert got == [(0, 4, 3, 1), (1, 8, 1, 4)]
+    con = duckdb.connect()
+    for name in ("documents", "conversations"):
+        con.execute(f"create view {name} as select * from '{folder}/{name}.parquet/*.parquet'")
+    assert sorted(con.sql(secretscan.INCREMENTS_ORACLE).fetchall()) == got
+
+
+def test_very_many_secrets_in_one_text(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([("b", "é token=abcdefgh1 " * n)], "blob string, text string")
+        began = time.time()
+        row = secretscan.scan(df).first()
+        assert len(row.spans) == n and row.spans[-1].end == 18 * n - 1
+        return time.time() - began
+
+    seconds(10)
+    assert seconds(40_000) < 20 + 30 * seconds(4000)
 
 
 def test_masking(spark):
-    df = secretscan.scan(spark.createDataFrame([("😀 token=abcdefgh end",), ("none",), (None,)], "text string"))
-    assert [r[0] for r in df.select(secretscan.masked(F.col("text"), F.col("spans"))).collect()] == ["😀 [assign] end", "none", None]
+    texts = ["😀 token=abcdefgh end", "none", "token=" + "ab12" * 8 + " token: AKIA" + "A" * 30 + " deadbeefdeadbeefdeadbeef", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "blob int, text string")
+    told = secretscan.scan(df).join(df, "blob").orderBy("blob")
+    got = [r[0] for r in told.select(secretscan.masked(F.col("text"), F.col("spans"))).collect()]
+    assert got == ["😀 [assign] end", "none", "[assign] [assign] [hex]", None]
 
 
 def edits(a, b):

@@ -1,4 +1,4 @@
-"""Hashed byte n-grams of whole texts, for the linear classifiers."""
+"""Hashed character n-grams of whole texts, for the linear classifiers."""
 
 from __future__ import annotations
 
@@ -7,31 +7,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of one text that are in work at a time; longer texts go through in overlapping pieces, whole.
-PIECE_BYTES = 1_000_000
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Characters of one text that are in work at a time; longer texts go through in overlapping pieces, whole.
+PIECE_CHARS = 1_000_000
+_GOLDEN, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def text_bytes(text: str | None) -> bytes:
-    """Lower-cased UTF-8 with a space on either side, so that n-grams see the text's ends as word ends."""
-    return b" " + text.lower().encode("utf-8", "replace") + b" " if text else b""
+def code_points(text: str | None) -> np.ndarray:
+    """Lower-cased code points with a space on either side, so that n-grams see the text's ends as word ends."""
+    return np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4") if text else np.zeros(0, "<u4")
 
 
-def codes(raw: bytes, sizes: tuple[int, ...], bits: int) -> Iterator[np.ndarray]:
+def codes(points: np.ndarray, sizes: tuple[int, ...], bits: int) -> Iterator[np.ndarray]:
     """Hashes, below 2**bits, of every n-gram of each size."""
     top = max(sizes)
-    for at in range(0, max(1, len(raw)), PIECE_BYTES):
-        piece = np.frombuffer(raw[at : at + PIECE_BYTES + top - 1], np.uint8)
-        last = at + PIECE_BYTES >= len(raw)
-        grown = piece.astype(np.uint64)
-        run = grown
+    for at in range(0, max(1, len(points)), PIECE_CHARS):
+        piece = points[at : at + PIECE_CHARS + top - 1].astype(np.uint64)
+        last = at + PIECE_CHARS >= len(points)
+        run = piece
         for n in range(2, top + 1):
             if len(piece) < n:
                 break
-            run = (run[:-1] << np.uint64(8)) | grown[n - 1 :]
+            run = run[:-1] * _STEP + piece[n - 1 :]
             if n in sizes:
-                own = run if last else run[:PIECE_BYTES]
-                yield (((own + np.uint64(n << 56)) * _GOLDEN) >> np.uint64(64 - bits)).astype(np.int64)
+                own = run if last else run[:PIECE_CHARS]
+                mixed = (own ^ (own >> np.uint64(32))) * _GOLDEN + np.uint64(n << 56)
+                yield ((mixed ^ (mixed >> np.uint64(29))) * _GOLDEN >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:

@@ -9,8 +9,9 @@ with the smallest hash of their id); scoring reads every whole text.
 Defined results: a null or empty text has no n-gram and gets the score of the
 intercept; of several labels of one document the largest counts; a null label
 counts as none; with no labels, or one class only, each score is the share of
-label 1 (0 without labels). Repeated rows are scored each;
-equal texts count once in fitting.
+label 1 (0 without labels). Repeated rows are scored each; equal texts count
+once in fitting, with the largest of their labels. Other columns pass through; a
+column of the score's name is replaced. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.common import bounded_sample, crc_mod, fresh_path, materialize, read_table, remove, ship
-from quern.llm.grams import codes, slices, text_bytes, texts_of
+from quern.llm.grams import codes, slices, code_points, texts_of
 
 FIT_ROWS = 12_000
 SIZES = (3, 4, 5)
@@ -53,7 +54,7 @@ class Model:
 def present(text: str | None, place: np.ndarray | None = None) -> np.ndarray:
     """The distinct n-gram hashes of a text, or with ``place`` its distinct features."""
     found = []
-    for code in codes(text_bytes(text), SIZES, BITS):
+    for code in codes(code_points(text), SIZES, BITS):
         if place is not None:
             code = place[code]
             code = code[code >= 0]
@@ -108,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     told = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     path = fresh_path(spark, "toxic-fit")
     picked = bounded_sample(told, "doc_id", rows)  # at most ``rows`` ids: small enough to broadcast whatever the input
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic"), "toxic-fit", path).dropDuplicates(["text"]).repartition(6)
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic-fit", path).repartition(6, "text")
     counts, total = np.zeros((2, 1 << BITS)), np.zeros(2)
     for r in sample.mapInArrow(_count, "toxic int, rows long, grams binary, texts binary").collect():
         counts[r.toxic][np.frombuffer(r.grams, "<i4")] += np.frombuffer(r.texts, "<i4")

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import language, sentencepieces, tokenshards, toxicity, warc
+from quern.llm import grams, language, sentencepieces, tokenshards, toxicity, warc
 from tests.llm import fixtures
 
 ODD = ["", " ", "  a b", "a\n b", "é中😀\0x", " a", "a ", "▁a", "a\tb\r\nc", "ﬁ Å", "<s> </s>", "1234 5.6", "a" * 1000, "\n\n  x", " " * 50 + "q", "ab" * 400 + " 中文字符" * 20, "x​▁ 　y", "<|endoftext|>x", "it's 'll I'm"]
@@ -177,9 +177,44 @@ def test_language(spark, tmp_path):
 
 
 def test_codewords_differ():
-    for k in (2, 3, 4, 6, 9, 20):
+    for k in (2, 3, 4, 6, 9, 20, 60):
         code = language.codewords(k)
         assert len({tuple(r) for r in code}) == k and all(len(set(c)) == 2 for c in code.T)
+        if k > 6:
+            assert min((a != b).sum() for i, a in enumerate(code) for b in code[:i]) >= 6
+
+
+def test_language_trust_is_out_of_fold(spark):
+    rows = [(i, r[1], "es" if i % 9 == 0 else r[2]) for i, r in enumerate(language_rows()) if r[2] and i < 300]  # some wrong labels
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(set(np.round(model.trust, 6))) == len(model.trust) and (model.trust > 0).all()
+
+
+def test_language_odd_rows(spark):
+    long = "the cows are in the fields " * 60_000
+    rows = [(i % 40, LANGS[k] + f" {i}", k, k, 0.5) for i in range(60) for k in LANGS] + [(1, long, "en", "x", 0.5), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    model = language.fit(df.select("doc_id", "text", "lang"))
+    told = language.predict(df, model)
+    assert told.columns == ["doc_id", "text", "lang", "lang_pred", "score", "ambiguous"] and told.count() == len(rows)
+    assert told.where("text is not null and lang_pred <> lang").count() == 0 and language.predict(df.limit(0), model).count() == 0
+
+
+def test_grams_are_of_characters():
+    def slow(text, n):
+        padded = f" {text.lower()} "
+        return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+
+    text = "Pluja é中😀 à"
+    found = list(grams.codes(grams.code_points(text), (3,), 40))[0]
+    assert len(found) == len(slow(text, 3)) and len(set(found.tolist())) == len(set(slow(text, 3)))
+    whole = [sorted(x.tolist()) for x in grams.codes(grams.code_points(text * 50), (2, 4), 30)]
+    grams.PIECE_CHARS, kept = 37, grams.PIECE_CHARS
+    try:
+        pieces = [x.tolist() for x in grams.codes(grams.code_points(text * 50), (2, 4), 30)]
+    finally:
+        grams.PIECE_CHARS = kept
+    assert sorted(sum(pieces, [])) == sorted(sum(whole, []))
 
 
 def toxic_rows():
@@ -209,3 +244,19 @@ def test_toxicity(spark, tmp_path):
         model = toxicity.fit(docs, spark.createDataFrame(some, "doc_id long, toxic int"))
         scores = [r.score for r in toxicity.score(docs, model, keep=["doc_id"]).collect()]
         assert len(scores) == len(rows) and len(set(scores)) == 1
+
+
+def test_toxicity_odd_rows(spark):
+    rows, labels = toxic_rows()
+    data = [(r[0], r[1], 0.1) for r in rows[:200]] * 2 + [(None, rows[0][1] * 3000, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, score double")
+    more = labels[:200] + [(d, q, 1) for d, q, _ in labels[:3]] + [(None, 1, 1)]
+    told = lambda parts: toxicity.fit(docs.repartition(parts), spark.createDataFrame(more, "doc_id long, quality int, toxic int"))
+    a, b = told(2), told(5)
+    assert (a.place == b.place).all() and np.allclose(a.weight, b.weight, atol=1e-6)
+    got = toxicity.score(docs, a)
+    assert got.columns == docs.columns and got.count() == len(data) and got.where("score is null").count() == 0
+    assert toxicity.score(docs.limit(0), a).count() == 0
+    clash = spark.createDataFrame([(1, "x y z"), (2, "x y z")], "doc_id long, text string")
+    both = toxicity.fit(clash, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int"))
+    assert toxicity.score(clash, both).first().score > 0.5  # equal texts take the largest of their labels

@@ -33,10 +33,10 @@ FIT_ROWS = 12_000
 SIZES = (3, 4, 5)
 BITS = 20
 #: An n-gram is kept if its log-count ratio is this many standard errors from 0 and it is in so many texts.
-LEAST_ERRORS = 4.0
+LEAST_ERRORS = 3.5
 LEAST_TEXTS = 3
 #: Weight of the quadratic penalty, for each training row.
-PENALTY = 3e-3
+PENALTY = 2e-3
 STEPS = 200
 
 
@@ -92,11 +92,15 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray) -> tuple
         probe = back(times(probe)) + 1e-9
         top = np.linalg.norm(probe)
         probe /= top
-    rate = 1 / (0.25 * (top + n) / n + PENALTY)
+    # the rarer class counts for more: rows weigh as if the classes stood at the square root of their real proportion
+    share = y.mean()
+    weight = np.where(y > 0, np.sqrt((1 - share) / share), 1.0)
+    weight *= n / weight.sum()
+    rate = 1 / (0.25 * weight.max() * (top + n) / n + PENALTY)
     w, b = np.zeros(m), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     w2, b2 = w, b
     for k in range(STEPS):
-        g = 1 / (1 + np.exp(-np.clip(times(w2) + b2, -30, 30))) - y
+        g = weight * (1 / (1 + np.exp(-np.clip(times(w2) + b2, -30, 30))) - y)
         w1, b1 = w2 - rate * (back(g) / n + PENALTY * w2), b2 - rate * g.mean()
         w2, b2 = w1 + k / (k + 3) * (w1 - w), b1 + k / (k + 3) * (b1 - b)
         w, b = w1, b1

@@ -34,9 +34,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a local one only where none is set."""
+    """The shared folder the session names. Where none is set, a local one serves a session of this machine; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = LOCAL_CHECKPOINTS
         spark.conf.set("spark.checkpoint.dir", path) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return path.rstrip("/")
@@ -62,6 +64,24 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Tables of one run of an operator, in a folder of their own that goes when the run is done."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder, self.made = spark, fresh_path(spark, name), 0
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and read it again."""
+        self.made += 1
+        return materialize(df, name, f"{self.folder}/{self.made:03d}-{name}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        remove(self.spark, self.folder)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps now, not when the driver next happens to collect garbage."""
     gc.collect()

@@ -1,26 +1,27 @@
 """Token ids in grammar-compressed shard files, with random access.
 
 Documents are dealt to ranges of ascending id; each range becomes a row of
-shards. A shard's ids are compressed by Re-Pair: in each round the most
-frequent pairs of neighbouring ids get nonterminals and their occurrences, left
-to right and never across a document's end, are replaced, until no pair occurs
-``LEAST_COUNT`` times or the symbols' 16 bits are used up (32 bits for a
-tokenizer whose ids leave no room in 16). A shard stores its rules, each symbol's expansion length, and
-where each document starts among the symbols, so one document, or a stretch of
-its ids, is decoded without the rest.
+shards. A shard's ids are compressed by Re-Pair: pairs of neighbouring ids get
+nonterminals, the most frequent first, and their occurrences, left to right and
+never across a document's end, are replaced, until no pair occurs ``LEAST_COUNT``
+times. A round takes all pairs that occur at least a ``CLASS``-th as often as the
+most frequent one, so there are few rounds however many rules. A shard stores its
+rules, each symbol's expansion length, and where each document starts among the
+symbols, so one document, or a stretch of its ids, is decoded without the rest.
 
 The files are Parquet; a row holds one shard: ``range``, ``shard`` (its place in
-the range), ``first_doc``, ``n_ids`` and the blobs ``docs``, ``rules`` and
-``symbols`` (see ``pack``). ``read`` gives the ids per document with ``start``,
+the range), ``first_doc``, ``before`` (the ids of the range's shards before it),
+``n_ids`` and the blobs ``docs``, ``rules`` and ``symbols`` (see ``pack``). ``read`` gives the ids per document with ``start``,
 the number of ids of all documents before it.
 
 Defined results: a null or empty text has the end id alone; repeated ids keep
-all their rows, ordered by text among themselves; an empty table makes no
+all their rows, ordered by their texts' hashes among themselves; an empty table makes no
 shards. A shard ends after the document that brings it to ``SHARD_IDS`` ids.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -31,22 +32,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh_path, read_table, ship
+from quern.llm.common import fresh_path, materialize, read_table, ship
 
 END_ID = 0
-#: Fixed value: the pattern by which byte-level pre-tokenisation splits a text.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: the pattern by which byte-level pre-tokenisation splits a text, for the characters that ``odd`` lets pass.
+PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\s0-9A-Za-zÀ-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+")
 SHARD_IDS = 1_000_000
-PAIRS_A_ROUND = 2048
-#: A rule takes 8 bytes of a shard (its pair and its length) and each use spares 2, so fewer uses don't pay.
-LEAST_COUNT = 5
+#: A rule takes 8 bytes of a shard (its pair and its length) and each use spares 2 or more, so much fewer uses don't pay.
+LEAST_COUNT = 8
+CLASS = 4
 CHUNK_CHARS = 1_000_000
+BROADCAST_RANGES = 1_000_000
+#: Words whose ids a Python worker remembers, and the longest of them.
+CACHE_WORDS, CACHE_CHARS = 500_000, 64
 #: What ``odd`` lets pass: line ends, printable ASCII, and the UTF-8 bytes of characters from U+00C0 to U+024F.
 _PLAIN = bytes([10, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xCA)])
 
 
 def odd(text: str) -> bool:
-    """Whether a text has characters on whose class the two libraries' Unicode versions might differ."""
+    """Whether a text has characters on whose class Python's and the library's Unicode versions might differ."""
     return bool(text.encode("utf-8", "replace").translate(None, _PLAIN))
 
 
@@ -56,28 +60,37 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Encoder:
+class Encoder(dict):
     """Ids as the tokenizers library gives them.
 
-    Texts of plain characters run through the same vocabulary as a rank table,
-    several times as fast and with the same ids; any other text, and one with a
-    special token's string, goes to the tokenizers library itself.
+    A text of plain characters is cut into words by the vocabulary's own pattern, and the library's model is asked
+    once for each distinct word; any other text, and one with a special token's string, goes to the library whole.
     """
 
     def __init__(self, path: str) -> None:
-        import tiktoken
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
-        ranks = {bytes(map(byte_of.__getitem__, w)): i for w, i in self.library.get_vocab(with_added_tokens=False).items() if w not in self.special}
-        self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        others = [b for b in range(256) if b not in set(printable)]
+        self.char_of = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+    def __missing__(self, word: str) -> bytes:
+        spelled = word.encode().decode("latin-1").translate(self.char_of)
+        ids = np.array([t.id for t in self.model.tokenize(spelled)], "<i4").tobytes()
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = lambda t: not odd(t) and not any(s in t for s in self.special)
-        return [np.array(self.ranks.encode_ordinary(t) if plain(t) else self.library.encode(t, add_special_tokens=False).ids, np.int32) for t in texts]
+        words = lambda t: np.frombuffer(b"".join(map(self.__getitem__, PATTERN.findall(t))), np.int32)
+        return [words(t) if plain(t) else np.array(self.library.encode(t, add_special_tokens=False).ids, np.int32) for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -89,35 +102,25 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def wide(first_rule: int) -> bool:
-    """Whether symbols take 32 bits: where 16 leave a round's rules no room."""
-    return first_rule > 65536 - PAIRS_A_ROUND
-
-
 def compress(ids: np.ndarray, last: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, rules as pairs, for each symbol whether it ends a document). ``last`` marks documents' ends."""
-    bits, code_type, factor, top = (32, np.uint64, 0x9E3779B97F4A7C15, 44) if wide(first_rule) else (16, np.uint32, 0x9E3779B1, 12)
-    symbols, last, rules, base = ids.astype(code_type), last.copy(), [], first_rule
+    symbols, last, rules, base = ids.astype(np.uint32), last.copy(), [], first_rule
     mark = np.zeros(1 << 20, bool)
-    h = lambda x: (x * code_type(factor)) >> code_type(top)
-    while True:
-        most = min(PAIRS_A_ROUND, (1 << bits) - base)
-        if len(symbols) < 2 or most <= 0:
-            break
-        code = (symbols[:-1] << code_type(bits)) | symbols[1:]
+    while len(symbols) > 1:
+        # a pair as one number: of 32 bits as long as all symbols take 16
+        bits, code_type, factor, top = (16, np.uint32, 0x9E3779B1, 12) if base <= 65536 else (32, np.uint64, 0x9E3779B97F4A7C15, 44)
+        h = lambda x: (x * code_type(factor)) >> code_type(top)  # noqa: B023, E731
+        code = (symbols[:-1].astype(code_type) << code_type(bits)) | symbols[1:]
         inside = code[~last[:-1]]
         if not len(inside):
             break
         inside.sort()
-        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        edge = np.r_[0, edge, len(inside)]
+        edge = np.r_[0, np.flatnonzero(inside[1:] != inside[:-1]) + 1, len(inside)]
         count = np.diff(edge)
-        often = np.flatnonzero(count >= LEAST_COUNT)
-        if not len(often):
+        most = int(count.max())
+        if most < LEAST_COUNT:
             break
-        if len(often) > most:
-            often = np.sort(often[np.argpartition(-count[often], most)[:most]])
-        pairs = inside[edge[often]]
+        pairs = inside[edge[np.flatnonzero(count >= max(LEAST_COUNT, -(-most // CLASS)))]]
         mark[h(pairs)] = True
         at = np.flatnonzero(mark[h(code)] & ~last[:-1])  # a hashed mark spares most searches
         mark[h(pairs)] = False
@@ -131,13 +134,13 @@ def compress(ids: np.ndarray, last: np.ndarray, first_rule: int) -> tuple[np.nda
         used = np.zeros(len(pairs), bool)  # pairs that overlap others may have no occurrence left, and get no rule
         used[number] = True
         number, pairs = (np.cumsum(used) - 1)[number], pairs[used]
-        rules.append(np.stack([pairs >> code_type(bits), pairs & code_type((1 << bits) - 1)], axis=1))
-        symbols[at] = (base + number).astype(code_type)
+        rules.append(np.stack([pairs >> code_type(bits), pairs & code_type((1 << bits) - 1)], axis=1).astype(np.uint32))
+        symbols[at] = (base + number).astype(np.uint32)
         last[at] = last[at + 1]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols, last, base = symbols[keep], last[keep], base + len(pairs)
-    return symbols, np.concatenate(rules) if rules else np.zeros((0, 2), code_type), last
+    return symbols, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), last
 
 
 def expansions(rules: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,19 +164,23 @@ def _open(symbols: np.ndarray, length: np.ndarray, start: np.ndarray, flat: np.n
     return flat[np.repeat(start[symbols] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))]
 
 
+def _kind(symbols: int) -> str:
+    return "<u2" if symbols <= 65536 else "<u4"
+
+
 def pack(docs: list[int | None], sizes: list[int], ids: np.ndarray, first_rule: int) -> dict[str, bytes]:
-    """docs: per document its id (int64), id count and symbol count (int64 each), null flag (1 byte); rules: uint16 pairs,
-    then uint32 expansion lengths; symbols: uint16. Pairs and symbols are uint32 where ``wide``. All little-endian."""
+    """docs: per document its id (int64), id count and symbol count (int64 each), null flag (1 byte); rules: their number (uint32),
+    pairs, then uint32 expansion lengths; symbols. Pairs and symbols are uint16, or uint32 where the shard has more of them. All little-endian."""
     last = np.zeros(len(ids), bool)
     last[np.cumsum(sizes) - 1] = True
     symbols, rules, last = compress(ids, last, first_rule)
     ends = np.flatnonzero(last) + 1
     table = np.stack([np.array([d or 0 for d in docs], np.int64), np.array(sizes, np.int64), np.diff(np.r_[0, ends])], axis=1)
     lengths = expansions(rules, first_rule)[0][first_rule:]
-    kind = "<u4" if wide(first_rule) else "<u2"
+    kind = _kind(first_rule + len(rules))
     return {
         "docs": table.astype("<i8").tobytes() + bytes(d is None for d in docs),
-        "rules": rules.astype(kind).tobytes() + lengths.astype("<u4").tobytes(),
+        "rules": len(rules).to_bytes(4, "little") + rules.astype(kind).tobytes() + lengths.astype("<u4").tobytes(),
         "symbols": symbols.astype(kind).tobytes(),
     }
 
@@ -182,11 +189,11 @@ class Shard:
     """One shard's blobs, opened for reading."""
 
     def __init__(self, docs: bytes, rules: bytes, symbols: bytes, first_rule: int) -> None:
-        n = len(docs) // 25
+        n, count = len(docs) // 25, int.from_bytes(rules[:4], "little")
         self.table = np.frombuffer(docs[: 24 * n], "<i8").reshape(n, 3)
         self.ids = [None if null else int(d) for d, null in zip(self.table[:, 0], docs[24 * n :])]
-        kind, size = ("<u4", 8) if wide(first_rule) else ("<u2", 4)
-        pairs = np.frombuffer(rules[: len(rules) // (size + 4) * size], kind).reshape(-1, 2).astype(np.int64)
+        kind = _kind(first_rule + count)
+        pairs = np.frombuffer(rules, kind, 2 * count, 4).reshape(-1, 2).astype(np.int64)
         self.symbols = np.frombuffer(symbols, kind).astype(np.int64)
         self.bounds = np.r_[0, np.cumsum(self.table[:, 2])]
         self.length, self.start, self.flat = expansions(pairs, first_rule)
@@ -211,11 +218,11 @@ def _write(path: str, first_rule: int, batches: Iterator[pa.RecordBatch]) -> Ite
     part, number = TaskContext.get().partitionId(), 0
     docs: list[int | None] = []
     pieces: list[np.ndarray] = []
-    total = 0
+    total = before = 0
 
     def shard() -> pa.RecordBatch:
         blobs = pack(docs, [len(x) for x in pieces], np.concatenate(pieces), first_rule)
-        row = {"range": pa.array([part], pa.int32()), "shard": pa.array([number], pa.int32()), "first_doc": pa.array([docs[0]], pa.int64()), "n_ids": pa.array([total], pa.int64())}
+        row = {"range": pa.array([part], pa.int32()), "shard": pa.array([number], pa.int32()), "first_doc": pa.array([docs[0]], pa.int64()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([total], pa.int64())}
         return pa.RecordBatch.from_pydict(row | {k: pa.array([v], pa.binary()) for k, v in blobs.items()})
 
     for batch in batches:
@@ -234,13 +241,14 @@ def _write(path: str, first_rule: int, batches: Iterator[pa.RecordBatch]) -> Ite
                 total += len(x) + 1
                 if total >= SHARD_IDS:
                     yield shard()
+                    before += total
                     docs, pieces, total, number = [], [], 0, number + 1
             at = upto
     if docs:
         yield shard()
 
 
-SCHEMA = "range int, shard int, first_doc long, n_ids long, docs binary, rules binary, symbols binary"
+SCHEMA = "range int, shard int, first_doc long, before long, n_ids long, docs binary, rules binary, symbols binary"
 
 
 def vocabulary(path: str) -> int:
@@ -254,8 +262,9 @@ def write(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", tok
     ship(df.sparkSession)
     tokenizer = tokenizer or default_tokenizer()
     ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
-    dealt = df.select(F.col(key).alias("k"), F.col(text).alias("t")).repartitionByRange(ranges, F.col("k").asc_nulls_first())
-    dealt = dealt.sortWithinPartitions(F.col("k").asc_nulls_first(), F.col("t").asc_nulls_first())
+    # the text's hash comes after the key, so that rows of one id (or of none) may fall to several ranges
+    dealt = df.select(F.col(key).alias("k"), F.col(text).alias("t")).repartitionByRange(ranges, F.col("k").asc_nulls_first(), F.xxhash64("t"))
+    dealt = dealt.sortWithinPartitions(F.col("k").asc_nulls_first(), F.xxhash64("t"), F.col("t").asc_nulls_first())
     dealt.mapInArrow(partial(_write, tokenizer, vocabulary(tokenizer)), SCHEMA).write.mode("overwrite").parquet(path)
 
 
@@ -281,16 +290,15 @@ def _read_ids(first_rule: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
 
 def placed(spark: SparkSession, path: str) -> DataFrame:
-    """The shards with ``start``, the ids in all shards before: sums within a range, then over the ranges' totals."""
+    """The shards with ``start``, the ids in all shards before: those of earlier ranges, and those before it in its own."""
     ship(spark)
     shards = spark.read.schema(SCHEMA).parquet(path)
-    before = F.coalesce(F.sum("n_ids").over(W.partitionBy("range").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    inside = shards.select("range", "shard", "n_ids").withColumn("inside", before).drop("n_ids")
     totals = shards.groupBy("range").agg(F.sum("n_ids").alias("all_ids"))
-    # a row per range, of which there are as many as the job had tasks
-    earlier = totals.select("range", F.coalesce(F.sum("all_ids").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
-    starts = inside.join(earlier, "range").select("range", "shard", (F.col("inside") + F.col("earlier")).alias("start"))
-    return shards.join(starts, ["range", "shard"]).select("start", "docs", "rules", "symbols")
+    # a row per range, of which there are as many as the writing job had tasks
+    earlier = materialize(totals.select("range", F.coalesce(F.sum("all_ids").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier")), "shard-ranges")
+    if earlier.count() <= BROADCAST_RANGES:  # no blob is moved
+        earlier = F.broadcast(earlier)
+    return shards.join(earlier, "range").select((F.col("before") + F.col("earlier")).alias("start"), "docs", "rules", "symbols")
 
 
 def read(spark: SparkSession, path: str, tokenizer: str | None = None) -> DataFrame:

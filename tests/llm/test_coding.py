@@ -11,6 +11,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quern.llm import grams, language, sentencepieces, tokenshards, toxicity, warc
@@ -65,7 +66,8 @@ def test_shards(spark, tmp_path, monkeypatch):
     folder = fixtures.write(spark, tmp_path, rows)
     got = tokenshards.op8_token_shards(spark, folder).collect()
     want, start = [], 0
-    for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    signed = lambda t: 42 if t is None else (h := xxhash.xxh64(t.encode(), seed=42).intdigest()) - (h >> 63 << 64)
+    for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]), (r[1] or "").encode())):
         ids = np.array(library.encode(r[1] or "", add_special_tokens=False).ids + [0], "<u4")
         want.append((r[0], start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
@@ -75,6 +77,16 @@ def test_shards(spark, tmp_path, monkeypatch):
     assert tokenshards.read(spark, path).count() == 0
 
 
+def test_shards_of_one_id(spark, tmp_path):
+    """Rows that share an id, or have none, are dealt to several ranges, and their starts still follow each other."""
+    docs = spark.createDataFrame([(5 if i % 2 else None, f"text {i} " * 9) for i in range(400)], "doc_id long, text string").repartition(4)
+    tokenshards.write(docs, str(tmp_path / "s"))
+    shards = spark.read.parquet(str(tmp_path / "s"))
+    assert shards.select("range").distinct().count() >= 3
+    rows = sorted(tokenshards.read(spark, str(tmp_path / "s")).collect(), key=lambda r: r.start)
+    assert [r.start for r in rows] == np.r_[0, np.cumsum([len(r.ids) for r in rows])[:-1]].tolist() and [r.doc_id for r in rows] == [None] * 200 + [5] * 200
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(0)
     docs = [rng.zipf(1.4, rng.integers(1, 400)) % 300 for _ in range(120)] + [np.zeros(1, int), np.full(5000, 7)]
@@ -114,6 +126,23 @@ def test_grammar_of_a_large_vocabulary():
         assert len(shard.symbols) == 30
 
 
+def test_grammar_with_more_rules_than_16_bits_number():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 50_000, 40) for _ in range(1500)]
+    shard = packed([t for t in texts for _ in range(8)], 50_257)
+    assert len(shard.symbols) == 8 * len(texts) and len(shard.length) > 65_536
+
+
+def test_encoder_cache(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenshards, "CACHE_WORDS", 20)
+    path = tokenshards.default_tokenizer()
+    library, own = Tokenizer.from_file(path), tokenshards.Encoder(path)
+    texts = ODD + random_texts(60) + ["Ça và déjà, naïve co-op × 3÷2 " + "ab" * 200, "it's  they'll\n\n 12 ab12 "]
+    assert [x.tolist() for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def pages():
     long = "<p>é</p>" * 20
     return [(i, f"http://a/{i}", long if i % 3 == 0 else f"<p>{i}</p>" * 30) for i in range(40)] + [(40, None, None), (41, "http://a/\r\nX: y", ""), (42, "u", "short"), (43, "u", "short"), (None, "u", long), (3, "u", long), (3, "u", long)]

@@ -36,11 +36,11 @@ from quern.llm.common import fresh_path, materialize, read_table, ship
 
 END_ID = 0
 #: Fixed value: the pattern by which byte-level pre-tokenisation splits a text, for the characters that ``odd`` lets pass.
-PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\s0-9A-Za-zÀ-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+")
+PATTERN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s0-9A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+|\s+(?!\S)|\s+")
 SHARD_IDS = 1_000_000
 #: A rule takes 8 bytes of a shard (its pair and its length) and each use spares 2 or more, so much fewer uses don't pay.
 LEAST_COUNT = 8
-CLASS = 4
+CLASS = 8
 CHUNK_CHARS = 1_000_000
 BROADCAST_RANGES = 1_000_000
 #: Words whose ids a Python worker remembers, and the longest of them.
@@ -76,11 +76,12 @@ class Encoder(dict):
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(printable)]
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.char_of = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
     def __missing__(self, word: str) -> bytes:
         spelled = word.encode().decode("latin-1").translate(self.char_of)
-        ids = np.array([t.id for t in self.model.tokenize(spelled)], "<i4").tobytes()
+        ids = b"".join([self.bytes_of[t.id] for t in self.model.tokenize(spelled)])
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.clear()

@@ -15,11 +15,14 @@ line inside a skipped stretch counts only if its record passes all checks.
 Defined results: a null payload is empty; a null key is written as ``null`` and
 read back as null, and is never the record that others refer to; payloads under
 ``LEAST_REVISIT`` bytes are always responses; of rows that share the smallest
-key and the payload each is a response; an empty table gives no record.
+key and the payload each is a response; an empty table gives no record. Columns
+besides key, URL and payload are left out. A file to be read must fit Spark's
+binary source, 2 GB; its records are taken one at a time.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -34,15 +37,21 @@ from pyspark.sql import functions as F
 from quern.llm.common import fresh_path, materialize, read_table, ship
 
 LEAST_REVISIT = 100
-#: Records in a file; a file is read into memory whole.
-FILE_RECORDS = 2_000
+#: Bytes of payload that a file holds at most, but for one larger payload alone: a file is brought into memory whole.
+FILE_BYTES = 64_000_000
+#: Rows are written by the size of their payload; up to each of these sizes, so many of them fill a file.
+SIZES = (16_384, 524_288, 16_000_000)
+#: Payload that the reader passes on at a time.
+BATCH_BYTES = 16_000_000
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A gzip member without content.
 EMPTY_MEMBER = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
-_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 _MEMBER = b"\x1f\x8b\x08"
+#: A header line that starts with white space goes on from the one before.
+_FOLD = re.compile(rb"\r\n[ \t]+")
 
 
 @dataclass
@@ -60,6 +69,15 @@ class Gap:
     reason: str
 
 
+def digest_fits(declared: str, content: bytes) -> bool | None:
+    """Whether a labelled digest (sha1 or sha256, in hex or base32) is the content's; None where the label is unknown or absent."""
+    label, _, value = declared.partition(":")
+    if label.lower() not in ("sha1", "sha256"):
+        return None
+    own = hashlib.new(label.lower(), content).digest()
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
 def parse_record(data: bytes, at: int) -> tuple[Record | None, int, str]:
     """The record at ``at``; where it ends; else why there is none."""
     if not (m := _VERSION.match(data, at)):
@@ -68,7 +86,7 @@ def parse_record(data: bytes, at: int) -> tuple[Record | None, int, str]:
     if ends < 0:
         return None, at, "unfinished header"
     headers: dict[str, str] = {}
-    for line in data[m.end() : ends].split(b"\r\n"):
+    for line in _FOLD.sub(b" ", data[m.end() : ends]).split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
             return None, at, "bad header line"
@@ -79,30 +97,26 @@ def parse_record(data: bytes, at: int) -> tuple[Record | None, int, str]:
     if data[end : end + 4] != b"\r\n\r\n":
         return None, at, "no blank line after the block"
     block = data[begin:end]
-    digest = headers.get("warc-block-digest", "")
-    if digest.startswith("sha256:") and digest[7:] != hashlib.sha256(block).hexdigest():
+    if digest_fits(headers.get("warc-block-digest", ""), block) is False:
         return None, at, "block digest differs"
     return Record(at, end + 4 - at, headers, block), end + 4, ""
 
 
-def salvage(data: bytes) -> tuple[list[Record], list[Gap]]:
-    """Every record that passes its checks, and the bytes that belong to none."""
-    packed = data[:2] == _MEMBER[:2] or (_MEMBER in data and not _VERSION.search(data))
-    return _members(data) if packed else _plain(data, 0)
+def salvage(data: bytes) -> Iterator[Record | Gap]:
+    """Every record that passes its checks, and the stretches of bytes that belong to none, in order and one at a time."""
+    packed = data[:2] == _MEMBER[:2] or (not _VERSION.search(data, 0, 1 << 20) and _MEMBER in data and not _VERSION.search(data))
+    return _members(data) if packed else _plain(data)
 
 
-def _plain(data: bytes, base: int) -> tuple[list[Record], list[Gap]]:
-    records: list[Record] = []
-    gaps: list[Gap] = []
+def _plain(data: bytes) -> Iterator[Record | Gap]:
     at, lost, reason = 0, -1, ""
     while at < len(data):
         record, end, why = parse_record(data, at)
         if record:
             if lost >= 0:
-                gaps.append(Gap(base + lost, at - lost, reason))
+                yield Gap(lost, at - lost, reason)
                 lost = -1
-            record.offset += base
-            records.append(record)
+            yield record
             at = end
         else:
             if lost < 0:
@@ -110,8 +124,7 @@ def _plain(data: bytes, base: int) -> tuple[list[Record], list[Gap]]:
             found = _VERSION.search(data, at + 1)
             at = found.start() if found else len(data)
     if lost >= 0:
-        gaps.append(Gap(base + lost, len(data) - lost, reason))
-    return records, gaps
+        yield Gap(lost, len(data) - lost, reason)
 
 
 def _inflate(data: bytes, at: int) -> tuple[bytes | None, int]:
@@ -128,20 +141,16 @@ def _inflate(data: bytes, at: int) -> tuple[bytes | None, int]:
     return (b"".join(out), at - len(inflate.unused_data)) if inflate.eof else (None, at)
 
 
-def _members(data: bytes) -> tuple[list[Record], list[Gap]]:
-    records: list[Record] = []
-    gaps: list[Gap] = []
+def _members(data: bytes) -> Iterator[Record | Gap]:
     at, lost, reason = 0, -1, ""
     while at < len(data):
         text, end = _inflate(data, at)
         if text is not None:
             if lost >= 0:
-                gaps.append(Gap(lost, at - lost, reason))
+                yield Gap(lost, at - lost, reason)
                 lost = -1
-            own, bad = _plain(text, 0)
-            for r in own:
-                records.append(Record(at, end - at, r.headers, r.block))
-            gaps += [Gap(at, end - at, f"in a member: {g.reason}") for g in bad]
+            for found in _plain(text):
+                yield Record(at, end - at, found.headers, found.block) if isinstance(found, Record) else Gap(at, end - at, f"in a member: {found.reason}")
             at = end
         else:
             if lost < 0:
@@ -149,8 +158,7 @@ def _members(data: bytes) -> tuple[list[Record], list[Gap]]:
             at = data.find(_MEMBER, at + 1)
             at = len(data) if at < 0 else at
     if lost >= 0:
-        gaps.append(Gap(lost, len(data) - lost, reason))
-    return records, gaps
+        yield Gap(lost, len(data) - lost, reason)
 
 
 def _text(column: Column) -> Column:
@@ -202,8 +210,18 @@ def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payl
     """Write a WARC record per row to files in ``path``; with ``compress`` a gzip member each."""
     ship(df.sparkSession)
     df = df.select(*dict.fromkeys([key, url, payload]))
-    records = with_origins(df, key, payload).select(record_text(key, url, payload).alias("value"))
-    writer = lambda rows, **options: rows.write.mode("overwrite").options(maxRecordsPerFile=FILE_RECORDS, **options).text(path)
+    rows = with_origins(df, key, payload)
+    largest = df.agg(F.max(F.octet_length(payload))).first()[0] or 0
+    low, mode = -1, "overwrite"
+    for top in (*SIZES, None):
+        own = rows.where((F.col("_bytes") > low) & (F.col("_bytes") <= top if top else F.lit(True)))
+        if mode == "overwrite" or low < largest:
+            _write_files(own.select(record_text(key, url, payload).alias("value")), path, mode, max(1, FILE_BYTES // top) if top else 1, compress)
+        low, mode = top, "append"
+
+
+def _write_files(records: DataFrame, path: str, mode: str, each: int, compress: bool) -> None:
+    writer = lambda rows, **options: rows.write.mode(mode).options(maxRecordsPerFile=each, **options).text(path)
     if compress:
         members = records.mapInArrow(_squeeze, "member binary").select(F.col("member").cast("string").alias("value"))
         writer(members, lineSep=EMPTY_MEMBER.decode("latin-1"), encoding="ISO-8859-1")
@@ -218,23 +236,33 @@ def _split(block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
 
 
+def _row(path: str, found: Record | Gap, with_payload: bool) -> dict:
+    if isinstance(found, Gap):
+        return {"path": path, "offset": found.offset, "length": found.length, "kind": "gap", "problem": found.reason}
+    name = lambda x: x[12:-1] if x and x.startswith("<urn:record:") else x
+    h, payload = found.headers, _split(found.block)
+    whole, declared, told = h.get("warc-type") != "revisit", h.get("warc-payload-digest", ""), h.get("warc-payload-length", "")
+    return {
+        "path": path, "offset": found.offset, "length": found.length, "kind": h.get("warc-type"), "record_id": name(h.get("warc-record-id")), "refers_to": name(h.get("warc-refers-to")),
+        "target_uri": h.get("warc-target-uri"), "payload_bytes": len(payload) if whole else int(told) if told.isdigit() else None,
+        "payload_digest": hashlib.sha256(payload).hexdigest() if whole else declared.removeprefix("sha256:"), "payload": payload if with_payload else None,
+        "problem": "payload digest differs" if whole and digest_fits(declared, payload) is False else None,
+    }
+
+
 def _read(with_payload: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(n, pa.binary() if k == "binary" else pa.int64() if k == "long" else pa.string()) for n, k in (x.split() for x in _SCHEMA.split(", "))])
-    name = lambda x: x[12:-1] if x and x.startswith("<urn:record:") else x
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            records, gaps = salvage(content.as_py() or b"")
-            rows = []
-            for r in records:
-                h, payload, kind = r.headers, _split(r.block), r.headers.get("warc-type")
-                whole = kind != "revisit"
-                declared = h.get("warc-payload-digest", "").removeprefix("sha256:")
-                digest = hashlib.sha256(payload).hexdigest() if whole else declared
-                told = h.get("warc-payload-length", "")
-                rows.append({"path": path, "offset": r.offset, "length": r.length, "kind": kind, "record_id": name(h.get("warc-record-id")), "refers_to": name(h.get("warc-refers-to")), "target_uri": h.get("warc-target-uri"), "payload_bytes": len(payload) if whole else int(told) if told.isdigit() else None, "payload_digest": digest, "payload": payload if with_payload else None, "problem": "payload digest differs" if whole and declared and declared != digest else None})
-            rows += [{"path": path, "offset": g.offset, "length": g.length, "kind": "gap", "problem": g.reason} for g in gaps]
-            for at in range(0, len(rows), 1000):
-                yield pa.RecordBatch.from_pylist(rows[at : at + 1000], schema)
+            rows, held = [], 0
+            for found in salvage(content.as_py() or b""):
+                rows.append(_row(path, found, with_payload))
+                held += len(rows[-1].get("payload") or b"")
+                if len(rows) >= 1000 or held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import random
@@ -172,13 +173,36 @@ def test_salvage(spark, tmp_path, compress):
     df = spark.createDataFrame([p for p in pages() if p[0] is not None], "page_id long, url string, html string").coalesce(1)
     warc.write(df, str(tmp_path / "w"), compress=compress)
     data = next(Path(tmp_path / "w").glob("part*")).read_bytes()
-    whole, none = warc.salvage(data)
+    split = lambda raw: tuple([x for x in warc.salvage(raw) if isinstance(x, kind)] for kind in (warc.Record, warc.Gap))
+    whole, none = split(data)
     assert len(whole) == df.count() and not none and (not compress or gzip.decompress(data))
     spot = whole[5].offset + whole[5].length - 30  # in the block, which the digest guards
     broken = data[: whole[2].offset] + b"junk WARC/1.0\r\n" + data[whole[2].offset : spot] + bytes([data[spot] ^ 0xFF]) + data[spot + 1 : -27]
-    kept, gaps = warc.salvage(broken)
+    kept, gaps = split(broken)
     assert len(kept) == len(whole) - 2 and len(gaps) == 3
-    assert warc.salvage(b"") == ([], []) and warc.salvage(b"nothing here")[1][0].length == 12
+    assert split(b"") == ([], []) and split(b"nothing here")[1][0].length == 12
+
+
+def test_foreign_records():
+    """Folded headers, other versions, and digests as crawls write them."""
+    block = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    b32 = base64.b32encode(hashlib.sha1(block).digest()).decode()
+    record = lambda version, digest: f"{version}\r\nWARC-Type: response\r\nWARC-Target-URI: http://a/\r\n  b\r\nWARC-Block-Digest: {digest}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    good = record("WARC/1.0", f"sha1:{b32}") + record("WARC/0.18", f"sha1:{hashlib.sha1(block).hexdigest()}") + record("WARC/1.1", "md5:unknown")
+    found = list(warc.salvage(good + record("WARC/1.0", "sha1:" + "A" * 32)))
+    assert [type(x) for x in found] == [warc.Record] * 3 + [warc.Gap] and found[0].headers["warc-target-uri"] == "http://a/ b"
+
+
+def test_files_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 4000)
+    monkeypatch.setattr(warc, "SIZES", (100, 1000))
+    rows = [(i, f"u{i}", f"{i} " * n) for i, n in enumerate([5] * 300 + [200] * 20 + [3000] * 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write(df, str(tmp_path / "w"))
+    got = warc.read(spark, str(tmp_path / "w"))
+    assert got.count() == len(rows) and got.groupBy("path").agg(F.sum("payload_bytes").alias("n"), F.count("*").alias("c")).where("n > 4000 and c > 1").count() == 0
+    warc.write(df.limit(0), str(tmp_path / "none"))
+    assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
 LANGS = {"ca": "els camps són molt amples i també hi ha vaques perquè plou", "es": "los campos son muy anchos y también hay vacas porque llueve", "en": "the fields are very wide and there are cows because it rains"}

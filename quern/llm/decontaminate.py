@@ -12,15 +12,22 @@ edits. The steps, each without loss or with a recall that is set:
 2. CGK embedding (Chakraborty, Goldenberg, Koucky, 2016): a random walk copies a
    word sequence to one of three times its length, so that few edits become
    few differing places.
-3. Bit-sampling LSH: tables of a few sampled places each. As many tables, from
-   as many walks, are used as find ``RECALL`` of randomly edited items.
+3. Bit-sampling LSH: tables of a few sampled places each. For every item length,
+   as many tables, from as many walks, are used as find ``RECALL`` of randomly
+   edited items of that length; a length for which ``MOST_WALKS`` walks don't is
+   not hashed, all its windows go on to the next step (``recalls`` tells both).
 4. Exact edit distance of every colliding item against the document's stretch.
 
+Words are runs of letters, digits and underscores; in scripts that don't part
+words by spaces (Chinese, Japanese, Thai and the like) every character is one.
 Items go to the tasks in blocks of at most ``BLOCK_CHARS`` characters, one pass
-each, so what is broadcast is bounded. Defined results: items of fewer than
-``LEAST_WORDS`` words, null items and null or empty documents match nothing;
-repeated documents and items are reported each; one row per document row and
-item, for the closest stretch, the first of them on a tie.
+each, so what is broadcast is bounded; with several blocks each one's findings
+are written before the next is made. Defined results: items of fewer than
+``FUZZY_WORDS`` words match only verbatim; null items, items without words and
+null or empty documents match nothing; repeated documents and items are reported
+each; one row per document row and item, for the closest stretch, the first of
+them on a tie; other columns are left out by ``contaminated`` and kept by
+``clean``.
 """
 
 from __future__ import annotations
@@ -35,10 +42,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import read_table, ship
+from quern.llm.common import materialize, read_table, ship
 from quern.llm.shingles import mix
 
-LEAST_WORDS = 5
+#: Items with fewer words allow no edits.
+FUZZY_WORDS = 5
 #: Edits allowed, as a share of the item's words.
 EDITS = 0.25
 RECALL = 0.99
@@ -48,15 +56,25 @@ MOST_WALKS = 24
 BLOCK_CHARS = 16_000_000
 DOCS_AT_ONCE = 250
 U = np.uint64
-_WORD = re.compile(r"\w+")
+#: Simulated edits for each item length; places of a text that are looked up at a time.
+TRIALS = 200
+PLACES = 16_384
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_WORD = re.compile(f"[{_UNSPACED}]|[^\\W{_UNSPACED}]+")
+
+
+def _lowered(text: str) -> str:
+    """Lower case, but for the rare text that it would change in length: its places would move."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    return _WORD.findall(_lowered(text)) if text else []
 
 
 def allowed(n: int) -> int:
-    return int(EDITS * n)
+    return int(EDITS * n) if n >= FUZZY_WORDS else 0
 
 
 def run_length(n: int) -> int:
@@ -78,10 +96,10 @@ def walk(rows: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
-def table_keys(rows: np.ndarray, walks: int) -> np.ndarray:
-    """LSH keys of each row, a column per table."""
+def table_keys(rows: np.ndarray, first: int, end: int) -> np.ndarray:
+    """LSH keys of each row, a column per table, by walks ``first`` to ``end``."""
     n, keys = rows.shape[1], []
-    for w in range(walks):
+    for w in range(first, end):
         embedded = walk(rows, 101 + w).astype(U)
         places = np.random.default_rng(1000 * w + n).integers(0, 3 * n, (TABLES_A_WALK, SAMPLED))
         for t, own in enumerate(places):
@@ -89,7 +107,7 @@ def table_keys(rows: np.ndarray, walks: int) -> np.ndarray:
             for p in own:
                 key = mix(key, 1) + embedded[:, p]
             keys.append(mix(key, 2))
-    return np.stack(keys, axis=1)
+    return np.stack(keys, axis=1) if keys else np.zeros((len(rows), 0), U)
 
 
 def edit_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -120,8 +138,9 @@ class Items:
     number: dict[str, int]  # word -> positive number
     rows: list[np.ndarray]
     runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # run length -> sorted codes, item, place
-    tables: dict[int, list[tuple[np.ndarray, np.ndarray]]]  # item length -> per table sorted keys, item
-    walks: int
+    tables: dict[int, list[tuple[np.ndarray, np.ndarray]]]  # item length -> per table sorted keys, item; none where all windows are verified
+    of_length: dict[int, np.ndarray]  # item length -> items
+    walks: dict[int, tuple[int, float]]  # item length -> walks (0: not hashed), recall in simulation
 
     def __post_init__(self) -> None:
         self.length = np.array([len(r) for r in self.rows])
@@ -139,25 +158,31 @@ def _code(columns: list[np.ndarray]) -> np.ndarray:
     return code
 
 
-def walks_needed(rows: list[np.ndarray], seed: int = 7) -> int:
-    """Walks whose tables find ``RECALL`` of items with as many random edits as are allowed."""
-    rng, pairs = np.random.default_rng(seed), {}
-    for row in rows[:: max(1, len(rows) // 100)]:
-        for _ in range(3):
-            edited = row.tolist()
-            for _ in range(allowed(len(row))):
-                kind, p = rng.integers(3), int(rng.integers(len(edited)))
-                edited[p : p + (kind > 0)] = [] if kind == 1 and len(edited) > 1 else [int(rng.integers(1 << 30, 1 << 31))]
-            edited = (edited + [0] * len(row))[: len(row)]
-            pairs.setdefault(len(row), []).append((row, np.array(edited, np.int64)))
-    hits = np.concatenate([table_keys(np.stack([a for a, _ in p]), MOST_WALKS) == table_keys(np.stack([b for _, b in p]), MOST_WALKS) for p in pairs.values()])
-    found = np.logical_or.accumulate(hits, axis=1).mean(axis=0)[TABLES_A_WALK - 1 :: TABLES_A_WALK]
-    enough = np.flatnonzero(found >= RECALL)
-    return int(enough[0]) + 1 if len(enough) else MOST_WALKS
+def _edited(row: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """An item after as many random edits as are allowed, cut or filled to its own length."""
+    edited = row.tolist()
+    for _ in range(allowed(len(row))):
+        kind, p = rng.integers(3), int(rng.integers(len(edited)))
+        edited[p : p + (kind > 0)] = [] if kind == 1 and len(edited) > 1 else [int(rng.integers(1 << 30, 1 << 31))]
+    return np.array((edited + [0] * len(row))[: len(row)], np.int64)
+
+
+def walks_needed(rows: list[np.ndarray], seed: int = 7) -> tuple[int, float]:
+    """Walks whose tables find ``RECALL`` of the edited items ``rows``, all of one length, and the share found; 0 walks if ``MOST_WALKS`` don't."""
+    rng = np.random.default_rng(seed)
+    if not allowed(len(rows[0])):
+        return 1, 1.0
+    whole = np.stack([rows[k % len(rows)] for k in range(max(TRIALS, min(len(rows), 4 * TRIALS)))])
+    edited, hit = np.stack([_edited(r, rng) for r in whole]), np.zeros(len(whole), bool)
+    for w in range(MOST_WALKS):
+        hit |= (table_keys(whole, w, w + 1) == table_keys(edited, w, w + 1)).any(axis=1)
+        if hit.mean() >= RECALL:
+            return w + 1, float(hit.mean())
+    return 0, 1.0
 
 
 def prepare(items: list[tuple[int | None, str | None]]) -> Items | None:
-    told = [(i, w) for i, t in items if len(w := words(t)) >= LEAST_WORDS]
+    told = [(i, w) for i, t in items if (w := words(t))]
     if not told:
         return None
     number: dict[str, int] = {}
@@ -168,18 +193,23 @@ def prepare(items: list[tuple[int | None, str | None]]) -> Items | None:
         code = _codes(row, q := run_length(len(row)))
         runs.setdefault(q, []).append((code, np.full(len(code), k), np.arange(len(code))))
         lengths.setdefault(len(row), []).append(k)
-    walks = walks_needed(rows)
-    tables = {}
-    for n, own in lengths.items():
-        keys = table_keys(np.stack([rows[k] for k in own]), walks)
+    tables, walks, of_length = {}, {}, {n: np.array(own) for n, own in lengths.items()}
+    for n, own in of_length.items():
+        walks[n] = walks_needed([rows[k] for k in own])
+        keys = table_keys(np.stack([rows[k] for k in own]), 0, walks[n][0])
         order = np.argsort(keys, axis=0)
-        tables[n] = [(keys[order[:, t], t], np.array(own)[order[:, t]]) for t in range(keys.shape[1])]
+        tables[n] = [(keys[order[:, t], t], own[order[:, t]]) for t in range(keys.shape[1])]
     ready = {}
     for q, parts in runs.items():
         code, item, place = (np.concatenate([p[x] for p in parts]) for x in range(3))
         order = np.argsort(code, kind="stable")
         ready[q] = (code[order], item[order], place[order])
-    return Items([i for i, _ in told], number, rows, ready, tables, walks)
+    return Items([i for i, _ in told], number, rows, ready, tables, of_length, walks)
+
+
+def recalls(benchmark: DataFrame) -> list[tuple[int, int, float]]:
+    """(item length, walks, recall in simulation) for every length of each block of items; 0 walks where all windows are verified."""
+    return [(n, *told) for items in blocks(benchmark) for n, told in sorted(items.walks.items())]
 
 
 def _windows(items: Items, numbers: np.ndarray) -> dict[int, np.ndarray]:
@@ -194,27 +224,43 @@ def _windows(items: Items, numbers: np.ndarray) -> dict[int, np.ndarray]:
         if len(numbers) < q:
             continue
         whole = np.flatnonzero(np.logical_and.reduce([known[k : len(numbers) - q + 1 + k] for k in range(q)]))
-        if not len(whole):
-            continue
-        code = _code([numbers[whole + k] for k in range(q)])
-        lo = np.searchsorted(codes, code, "left")
-        hit = np.flatnonzero(codes[np.minimum(lo, len(codes) - 1)] == code)
-        lo, whole = lo[hit], whole[hit]
-        count = np.searchsorted(codes, code[hit], "right") - lo
-        at = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(int(count.sum()))
-        who, line = item[at], np.repeat(whole, count) - place[at]
-        order = np.lexsort((line, who))
-        who, line = who[order], line[order]
-        n = items.length[who]
-        k = (EDITS * n).astype(np.int64)
-        far = np.arange(len(who)) + np.maximum(n - q + 1 - k * q, 1) - 1
-        near = np.minimum(far, len(who) - 1)
-        good = (far < len(who)) & (who[near] == who) & (line[near] - line <= 2 * k)
-        for i in np.flatnonzero(good).tolist():
-            found.setdefault(int(n[i]), []).append(np.arange(line[i] - k[i], line[near[i]] + k[i] + 1))
+        # slices overlap by more than a matching stretch takes up, so each place's runs meet in one of them
+        spare = 3 * int(items.length.max())
+        at = 0
+        while at < len(whole):
+            stop = min(len(whole), at + PLACES)
+            upto = int(np.searchsorted(whole, whole[stop - 1] + spare, "right")) if stop < len(whole) else stop
+            for n, starts in _met(items, numbers, codes, item, place, q, whole[at:upto]):
+                found.setdefault(n, []).append(starts)
+            at = stop
     return {n: np.unique(np.concatenate(s)) for n, s in found.items()}
 
 
+def _met(items: Items, numbers: np.ndarray, codes: np.ndarray, item: np.ndarray, place: np.ndarray, q: int, whole: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(item length, starts): windows around the places ``whole`` where enough runs of one item meet."""
+    code = _code([numbers[whole + k] for k in range(q)])
+    lo = np.searchsorted(codes, code, "left")
+    hit = np.flatnonzero(codes[np.minimum(lo, len(codes) - 1)] == code)
+    lo, whole = lo[hit], whole[hit]
+    count = np.searchsorted(codes, code[hit], "right") - lo
+    at = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(int(count.sum()))
+    who, line = item[at], np.repeat(whole, count) - place[at]
+    order = np.lexsort((line, who))
+    who, line = who[order], line[order]
+    n = items.length[who]
+    k = np.where(n >= FUZZY_WORDS, (EDITS * n).astype(np.int64), 0)
+    far = np.arange(len(who)) + np.maximum(n - q + 1 - k * q, 1) - 1
+    near = np.minimum(far, len(who) - 1)
+    good = np.flatnonzero((far < len(who)) & (who[near] == who) & (line[near] - line <= 2 * k))
+    if not len(good):
+        return
+    spans = np.unique(np.stack([n[good], line[good] - k[good], line[near[good]] + k[good] + 1], axis=1), axis=0)
+    for size in np.unique(spans[:, 0]).tolist():
+        a, b = spans[spans[:, 0] == size, 1:].T
+        wide = b - a
+        yield size, np.unique(np.repeat(a - np.r_[0, np.cumsum(wide)[:-1]], wide) + np.arange(int(wide.sum())))
+
+
 def find(items: Items, texts: list[str | None]) -> list[list[tuple[int | None, int, int, int]]]:
     """For each whole text (item id, begin, end, edits) of every item found; places in code points, end exclusive."""
     get = items.number.get
@@ -225,18 +271,35 @@ def find(items: Items, texts: list[str | None]) -> list[list[tuple[int | None, i
         numbers.append(own)
         for n, starts in _windows(items, own).items():
             asked.setdefault(n, []).append((d, starts[(starts > -n) & (starts < len(own))]))
-    spots: dict[int, dict[int, list[int]]] = {}
+    hits = [np.zeros((0, 3), np.int64)]
     for n, places in asked.items():
         for doc, start, rows in _rows(numbers, places, n):
-            keys = table_keys(rows, items.walks)
-            for t, (sorted_keys, item) in enumerate(items.tables[n]):
-                lo, hi = np.searchsorted(sorted_keys, keys[:, t], "left"), np.searchsorted(sorted_keys, keys[:, t], "right")
-                for r in np.flatnonzero(hi > lo).tolist():
-                    for x in range(lo[r], hi[r]):
-                        spots.setdefault(int(doc[r]), {}).setdefault(int(item[x]), []).append(int(start[r]))
+            hits.append(_colliding(items, n, doc, start, rows))
+    hits = np.concatenate(hits)
+    hits = hits[np.lexsort(hits.T[::-1])]
+    spots: dict[int, dict[int, np.ndarray]] = {}
+    edge = np.flatnonzero(np.r_[True, (hits[1:, :2] != hits[:-1, :2]).any(axis=1), True]) if len(hits) else []
+    for a, b in zip(edge[:-1], edge[1:]):
+        spots.setdefault(int(hits[a, 0]), {})[int(hits[a, 1])] = hits[a:b, 2]
     return [_confirmed(items, texts[d], numbers[d], spots[d]) if d in spots else [] for d in range(len(texts))]
 
 
+def _colliding(items: Items, n: int, doc: np.ndarray, start: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Distinct (document, item, start) of the windows that share a table's key with an item, or of all if the length is not hashed."""
+    found = []
+    if not items.tables[n]:
+        own = items.of_length[n]
+        found.append(np.stack([np.repeat(doc, len(own)), np.tile(own, len(doc)), np.repeat(start, len(own))], axis=1))
+    keys = table_keys(rows, 0, items.walks[n][0])
+    for t, (sorted_keys, item) in enumerate(items.tables[n]):
+        lo = np.searchsorted(sorted_keys, keys[:, t], "left")
+        count = np.searchsorted(sorted_keys, keys[:, t], "right") - lo
+        r = np.repeat(np.arange(len(rows)), count)
+        at = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(int(count.sum()))
+        found.append(np.stack([doc[r], item[at], start[r]], axis=1))
+    return np.unique(np.concatenate(found), axis=0)
+
+
 def _rows(numbers: list[np.ndarray], places: list[tuple[int, np.ndarray]], n: int, most: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Windows of n words, many documents at a time: document, start, words."""
     docs, starts, rows, size = [], [], [], 0
@@ -257,12 +320,12 @@ def _rows(numbers: list[np.ndarray], places: list[tuple[int, np.ndarray]], n: in
         yield np.concatenate(docs), np.concatenate(starts), np.concatenate(rows)
 
 
-def _confirmed(items: Items, text: str, numbers: np.ndarray, spots: dict[int, list[int]]) -> list[tuple[int | None, int, int, int]]:
+def _confirmed(items: Items, text: str, numbers: np.ndarray, spots: dict[int, np.ndarray]) -> list[tuple[int | None, int, int, int]]:
     """The colliding items that exact edit distance confirms."""
     out, ends = [], None
     for k, starts in sorted(spots.items()):
         row, best = items.rows[k], None
-        n, most, starts = len(row), allowed(len(row)), sorted(set(starts))
+        n, most, starts = len(row), allowed(len(row)), starts.tolist()
         same = next((s for s in starts if s >= 0 and np.array_equal(numbers[s : s + n], row)), None)
         if same is not None:
             best = (0, same, same + n)
@@ -273,7 +336,7 @@ def _confirmed(items: Items, text: str, numbers: np.ndarray, spots: dict[int, li
                 if edits <= most and (best is None or edits < best[0]):
                     best = (edits, a + begin, a + end)
         if best and best[2] > best[1]:
-            ends = ends or [m.span() for m in _WORD.finditer(text.lower())]
+            ends = ends or [m.span() for m in _WORD.finditer(_lowered(text))]
             out.append((items.ids[k], ends[best[1]][0], ends[best[2] - 1][1], best[0]))
     return out
 
@@ -314,12 +377,29 @@ def blocks(benchmark: DataFrame) -> Iterator[Items]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, begin, end, edits: every item found in every whole text of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
+    spark, found = docs.sparkSession, []
     ship(spark)
-    found = [docs.select("doc_id", "text").mapInArrow(partial(_find, spark.sparkContext.broadcast(items)), _SCHEMA) for items in blocks(benchmark)]
+    for items, alone in _sole(blocks(benchmark)):
+        sent = spark.sparkContext.broadcast(items)
+        found.append(docs.select("doc_id", "text").mapInArrow(partial(_find, sent), _SCHEMA))
+        if not alone:
+            found[-1] = materialize(found[-1], "contaminated")
+            sent.unpersist()
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _SCHEMA)
 
 
+def _sole(parts: Iterator[Items]) -> Iterator[tuple[Items, bool]]:
+    """Every block, and whether it is the only one."""
+    first = next(parts, None)
+    second = next(parts, None)
+    if first is not None:
+        yield first, second is None
+    del first
+    if second is not None:
+        yield second, False
+        yield from ((x, False) for x in parts)
+
+
 def _keep(items, text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in (batch.slice(at, DOCS_AT_ONCE) for batch in batches for at in range(0, batch.num_rows, DOCS_AT_ONCE)):
         found = find(items.value, part.column(part.schema.get_field_index(text)).to_pylist())
@@ -329,8 +409,12 @@ def _keep(items, text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, in whose texts no item is found; nothing is shuffled."""
     ship(docs.sparkSession)
-    for items in blocks(benchmark):
-        docs = docs.mapInArrow(partial(_keep, docs.sparkSession.sparkContext.broadcast(items), text), docs.schema)
+    for items, alone in _sole(blocks(benchmark)):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+        docs = docs.mapInArrow(partial(_keep, sent, text), docs.schema)
+        if not alone:
+            docs = materialize(docs, "decontaminated")
+            sent.unpersist()
     return docs
 
 

@@ -262,7 +262,7 @@ def test_edit_match():
 
 def test_decontamination(spark, tmp_path):
     rng = random.Random(5)
-    items = [(i, fixtures.prose(rng, rng.randint(6, 45))) for i in range(20)] + [(90, None), (91, "two words"), (1, "repetit " * 8)]
+    items = [(i, fixtures.prose(rng, rng.randint(6, 45))) for i in range(20)] + [(90, None), (91, "two words"), (92, "zz1 zz2 zz3"), (93, "中文字"), (1, "repetit " * 8)]
     docs = [(r[0], r[1]) for r in fixtures.documents(seed=9)]
     for i, text in items[:20]:
         words = text.split()
@@ -271,11 +271,12 @@ def test_decontamination(spark, tmp_path):
             for _ in range(int(share * len(decontaminate.words(text)))):
                 own[rng.randrange(len(own))] = f"zz{rng.randrange(1000)}"
             docs.append((1000 + len(docs), f"{fixtures.prose(rng, 40)} {' '.join(own)} {fixtures.prose(rng, 40)}"))
+    docs += [(5000, "İİİİ two, Words zz1"), (5001, "a zz1 zz2 zz3 中文字體 b"), (5002, "zz1 zz2"), (None, "two words")]
     want = []
     for d, text in docs:
         for i, item in items:
             w = decontaminate.words(item)
-            if len(w) >= decontaminate.LEAST_WORDS and (e := edits(w, decontaminate.words(text))) <= decontaminate.allowed(len(w)):
+            if w and (e := edits(w, decontaminate.words(text))) <= decontaminate.allowed(len(w)):
                 want.append((d, i, e))
     rows = [(d, t, None, None, 0, "x", 0.0) for d, t in docs]
     folder = fixtures.write(spark, tmp_path, rows, benchmark=(items, "item_id long, text string"))
@@ -283,11 +284,45 @@ def test_decontamination(spark, tmp_path):
     got = {(r.doc_id, r.item_id, r.edits) for r in found}
     assert got <= set(want) and len(got) >= 0.97 * len(set(want))
     assert {(d, i) for d, i, e in want if not e} <= {(r.doc_id, r.item_id) for r in found}
+    spot = next(r for r in found if (r.doc_id, r.item_id) == (5000, 91))
+    assert "İİİİ two, Words zz1"[spot.begin : spot.end] == "two, Words" and {r.item_id for r in found if r.doc_id == 5001} >= {92, 93}
     kept = decontaminate.clean(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet"))
     assert kept.where(F.col("doc_id").isin([d for d, _, e in want])).count() == 0 and kept.columns == fixtures.SCHEMA.replace(" string", "").replace(" long", "").replace(" double", "").split(", ")
     assert decontaminate.contaminated(kept, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_in_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [(i, fixtures.prose(rng, rng.choice([2, 9, 30]))) for i in range(12)]
+    docs = [(i, f"{fixtures.prose(rng, 20)} {items[i % 12][1]} zz {fixtures.prose(rng, 20)}") for i in range(40)]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    told = lambda: (fixtures.bag(map(tuple, decontaminate.contaminated(docs, items).collect())), decontaminate.clean(docs, items).count())
+    whole = told()
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)
+    assert told() == whole and len(whole[0]) >= 40
+    assert all(recall >= decontaminate.RECALL for _, _, recall in decontaminate.recalls(items))
+
+
+def test_lengths_that_hashing_misses_are_verified(monkeypatch):
+    """With hopeless tables no length is hashed, and everything is still found; so it is in slices of few places."""
+    rng = random.Random(13)
+    items = [(i, fixtures.prose(rng, 60)) for i in range(6)]
+    texts = []
+    for _, t in items:
+        own = t.split()
+        for k in rng.sample(range(60), 14):
+            own[k] = f"zz{k}"
+        texts.append(f"{fixtures.prose(rng, 50)} {' '.join(own)} {fixtures.prose(rng, 50)}")
+    texts.append("repetit " * 5000)
+    items.append((9, "repetit " * 40))
+    told = lambda: [[h[0] for h in hits] for hits in decontaminate.find(decontaminate.prepare(items), texts)]
+    want = [[i for i, item in items if edits(w := decontaminate.words(item), decontaminate.words(t)) <= decontaminate.allowed(len(w))] for t in texts[:-1]] + [[9]]
+    monkeypatch.setattr(decontaminate, "MOST_WALKS", 0)
+    assert told() == want
+    monkeypatch.setattr(decontaminate, "PLACES", 50)
+    assert told() == want
+
+
 def word_set(text):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()

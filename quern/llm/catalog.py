@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_ngram_join": ngramjoin.op10_ngram_join,
     "ledger_increments": secretscan.ledger_increments,
+    "redirect_components": urlblocks.redirect_components,
 }
 
 ORACLES: dict[str, str] = {
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op3_secret_scan": secretscan.ORACLE,
     "op9_warc": warc.ORACLE,
     "ledger_increments": secretscan.INCREMENTS_ORACLE,
+    "redirect_components": urlblocks.CHAINS_ORACLE,
 }

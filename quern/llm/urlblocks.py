@@ -15,7 +15,9 @@ judged by the rules like pages. Relative targets are resolved against the page's
 URL (RFC 3986, dot segments included); targets of schemes without ``://``, such
 as ``mailto:``, and targets in the page itself make no edge. Defined results: a null URL, or one without
 ``://``, has empty host and path, fits no rule, has no aliases and is allowed;
-null html has no edges; repeated rows are judged each; an empty table gives none.
+null html has no edges; repeated rows are judged each; an empty table gives none;
+other columns pass through, those with the new columns' names are replaced (names
+that begin with an underscore are the operator's own).
 """
 
 from __future__ import annotations
@@ -62,20 +64,20 @@ def _fits(rule: str) -> Column:
 
 
 def judge(df: DataFrame, rules=RULES) -> DataFrame:
-    """``df`` (with host, path) and the rule that decides each row, and its verdict; null where none fits."""
-    spark = df.sparkSession
+    """``df`` (with host, path) and the rule that decides each row, and its verdict in ``_own``; null where none fits.
+
+    Of equally long rules an allow decides, then the one that sorts first.
+    """
     if len(rules) <= INLINE_RULES:
         ordered = sorted(rules, key=lambda r: (-len(r[0]), r[1] != "allow", r[0]))
         pick = lambda i: reduce(lambda c, r: c.when(_fits(r[0]), r[i]), ordered, F.when(F.lit(False), F.lit("")))
-        return df.withColumns({"rule": pick(0), "own": pick(1)})
-    table = spark.createDataFrame([(r.partition("/")[0], "/" + r.partition("/")[2], r, v) for r, v in rules], "rule_host string, rule_path string, rule string, own string")
+        return df.withColumns({"rule": pick(0), "_own": pick(1)})
+    table = df.sparkSession.createDataFrame([(r.partition("/")[0], "/" + r.partition("/")[2], r, v) for r, v in rules], "rule_host string, rule_path string, rule string, own string")
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
-    keyed = df.withColumn("_row", F.xxhash64("host", "path"))
-    hosts = keyed.select("_row", "host", "path").distinct()
-    hit = hosts.withColumn("rule_host", F.explode(suffixes)).join(table, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
-    best = hit.groupBy("_row", "host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("own") == "allow").alias("a"), "rule", "own")).alias("best"))
-    return keyed.join(best, ["_row", "host", "path"], "left").select(*df.columns, F.col("best.rule").alias("rule"), F.col("best.own").alias("own"))
+    hit = df.select("host", "path").distinct().withColumn("rule_host", F.explode(suffixes)).join(table, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
+    best = hit.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("n"), (F.col("own") != "allow").alias("a"), "rule", "own")).alias("_best"))
+    return df.join(best, ["host", "path"], "left").select(*(df[c] for c in df.columns), F.col("_best.rule").alias("rule"), F.col("_best.own").alias("_own"))
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -142,47 +144,65 @@ def verdicts(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html"
         links = links.unionByName(edges.select(node(F.col("src")).alias("src"), node(F.col("dst")).alias("dst")))
     links = materialize(links, "url-edges", fresh_path(spark, "url-edges"))
     new = ("host", "path", "rule", "verdict", "alias_of")
-    kept = pages.select(*(c for c in pages.columns if c not in new))
-    judged = judge(kept.withColumns({"host": host(F.col(url)), "path": path(F.col(url))}), rules)
-    decide = lambda passed: F.coalesce(F.col("own"), passed, F.lit("allow")).alias("verdict")
-    columns = [c for c in judged.columns if c not in ("rule", "own")]
+    kept = [c for c in pages.columns if c not in new]
+    # the operator's own columns take names that the input lacks: judge's are all dropped again
+    judged = judge(pages.select(*kept, host(F.col(url)).alias("host"), path(F.col(url)).alias("path"), node(F.col(url)).alias("_node")), rules)
+    decide = lambda passed: F.coalesce(F.col("_own"), passed, F.lit("allow")).alias("verdict")
     if links.isEmpty():
-        return judged.select(*columns, "rule", decide(F.lit(None).cast("string")), F.lit(None).cast("string").alias("alias_of"))
+        return judged.select(*kept, "host", "path", "rule", decide(F.lit(None).cast("string")), F.lit(None).cast("string").alias("alias_of"))
     groups = materialize(components(links), "url-groups")
     members = judge(groups.withColumns({"host": host(F.col("node")), "path": path(F.col("node"))}), rules)
     # an explicit allow sorts before a block, so the smallest decision of a component is the one that counts
-    passed = members.where("own is not null").groupBy("component").agg(F.min("own").alias("passed"))
-    known = materialize(groups.join(passed, "component", "left").select("node", F.col("component").alias("alias_of"), "passed"), "url-decisions")
-    joined = judged.withColumn("node", node(F.col(url))).join(known, "node", "left")
-    return joined.select(*columns, "rule", decide(F.col("passed")), "alias_of")
+    passed = members.where("_own is not null").groupBy("component").agg(F.min("_own").alias("_passed"))
+    known = materialize(groups.join(passed, "component", "left").select(F.col("node").alias("_node"), F.col("component").alias("_alias"), "_passed"), "url-decisions")
+    joined = judged.join(known, "_node", "left")
+    return joined.select(*kept, "host", "path", "rule", decide(F.col("_passed")), F.col("_alias").alias("alias_of"))
 
 
 def op1_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "alias_of")
 
 
-def oracle() -> str:
+def chained(pages: DataFrame) -> DataFrame:
+    """Redirects that the tables lack: every page to the one with the next id, in chains of five."""
+    following = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("dst"))
+    return pages.where("page_id % 5 <> 4").select("page_id", F.col("url").alias("src")).join(following, "page_id").select("src", "dst")
+
+
+def redirect_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op1_url_redirects, with redirects known from elsewhere: every page belongs to a chain."""
+    pages = read_table(spark, sf_dir, "pages")
+    told = verdicts(pages, edges=chained(pages.where("url is not null")))
+    return told.select("page_id", "rule", "verdict", "alias_of")
+
+
+def oracle(chains: bool = False) -> str:
     """The rules, then blocks and allows passed on along redirects; over the tables' own links by a recursive query."""
     rules = ", ".join(f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}', '{v}')" for r, v in RULES)
     upper = f"translate(%s, '{_UPPER}', '{_LOWER}')"
+    text, head = "regexp_extract(%s, '(?s)^[^#]*')", "regexp_extract(%s, '^[^:/?#]*://[^/?#]*')"
+    as_node = lambda u: f"{upper % (head % u)} || substr({text % u}, length({head % u}) + 1)"
     judged = lambda table, url, key: f"""SELECT {key}, u.host, u.path, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.own, length(r.rule)) AS own
 FROM (SELECT *, {upper % f"coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), '')"} AS host, coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM {table}) u
 LEFT JOIN rules r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p) GROUP BY ALL"""
+    known = f"UNION SELECT {as_node('p.url')}, {as_node('q.url')} FROM pages p JOIN pages q ON q.page_id = p.page_id + 1 WHERE p.page_id % 5 <> 4" if chains else ""
+    columns = "page_id, rule, coalesce(own, passed, 'allow') AS verdict, l.component AS alias_of" if chains else "page_id, host, path, rule, coalesce(own, passed, 'allow') AS verdict, l.component AS alias_of"
     return rf"""
 WITH RECURSIVE rules(h, p, rule, own) AS (VALUES {rules}),
 found AS (
   SELECT url AS src, trim(regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical[^>]*>'), '(?is)\bhref\s*=\s*["'']([^"'']*)["'']', 1)) AS t FROM pages WHERE regexp_matches(html, '(?i)rel\s*=\s*["'']?canonical')
   UNION SELECT url, trim(regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh[^>]*>'), '(?is)url\s*=\s*[''"]?([^''"\s>]+)', 1)) FROM pages WHERE regexp_matches(html, '(?i)http-equiv\s*=\s*["'']?refresh')),
-edge AS (SELECT DISTINCT regexp_extract(src, '(?s)^[^#]*') AS a, regexp_extract(CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '/') THEN regexp_extract(src, '(?s)^.*?://[^/?#]*') || t END, '(?s)^[^#]*') AS b FROM found WHERE t <> '' AND contains(src, '://')),
+edge AS (SELECT DISTINCT regexp_extract(src, '(?s)^[^#]*') AS a, regexp_extract(CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '/') THEN regexp_extract(src, '(?s)^.*?://[^/?#]*') || t END, '(?s)^[^#]*') AS b FROM found WHERE t <> '' AND contains(src, '://') {known}),
 both_ways AS (SELECT a, b FROM edge WHERE b IS NOT NULL AND a <> b UNION SELECT b, a FROM edge WHERE b IS NOT NULL AND a <> b),
 reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
 label AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a),
 member AS ({judged("label", "node", "component, node")}),
 passed AS (SELECT component, min(own) AS passed FROM member WHERE own IS NOT NULL GROUP BY component),
 page AS ({judged("(SELECT row_number() OVER () AS rn, page_id, url FROM pages)", "url", "rn, page_id, url")})
-SELECT page_id, host, path, rule, coalesce(own, passed, 'allow') AS verdict, l.component AS alias_of
-FROM page LEFT JOIN label l ON regexp_extract(page.url, '(?s)^[^#]*') = l.node LEFT JOIN passed USING (component)
+SELECT {columns}
+FROM page LEFT JOIN label l ON {as_node("page.url") if chains else "regexp_extract(page.url, '(?s)^[^#]*')"} = l.node LEFT JOIN passed USING (component)
 """
 
 
 ORACLE = oracle()
+CHAINS_ORACLE = oracle(chains=True)

@@ -154,6 +154,30 @@ def test_imatch_tells_edits_from_others(spark):
     assert told.same > 0.4 and told.other < 0.02 and told.half > told.other
 
 
+def test_ties_and_clashing_columns(spark, monkeypatch):
+    rules, rows = [("a.com/", "block"), ("com/bb", "block")], [(1, "http://a.com/bb/x", "o", "n", "r", 7), (2, None, "o", "n", "r", 8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, own string, node string, rule string, component int").withColumn("html", F.lit("<link rel=canonical href=http://b.com/c>"))
+    first = urlblocks.verdicts(pages, rules)
+    assert first.columns == ["page_id", "url", "own", "node", "component", "html", "host", "path", "rule", "verdict", "alias_of"]
+    told = fixtures.bag(map(tuple, first.collect()))
+    monkeypatch.setattr(urlblocks, "INLINE_RULES", 0)
+    assert fixtures.bag(map(tuple, urlblocks.verdicts(pages, rules).collect())) == told
+    assert [(r.own, r.node, r.rule, r.verdict) for r in first.where("page_id = 1").collect()] == [("o", "n", "a.com/", "block")]
+
+
+def test_redirect_chains(spark, tmp_path):
+    rng = random.Random(2)
+    urls = [f"http://{rng.choice(['a', 'B', 'www'])}.{rng.choice(['Example.com', 'x.net', 'y.org'])}/{rng.choice(['en', 'es', 'fr'])}/{i}" for i in range(80)] + [None, "nourl", "http://a.x.net/es/1#f"]
+    fixtures.write(spark, tmp_path, rows=[], pages=([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string"))
+    got = urlblocks.redirect_components(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    names = ["page_id", "rule", "verdict", "alias_of"]
+    rows = got.collect()
+    assert fixtures.bag(tuple(r[n] for n in names) for r in rows) == fixtures.bag(con.sql(urlblocks.CHAINS_ORACLE).project(", ".join(names)).fetchall())
+    assert sum(r.rule is None and r.verdict == "block" for r in rows) > 3 and sum(r.alias_of is not None for r in rows) > 70
+
+
 def test_imatch_with_a_shuffled_lexicon(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i, t, *_ in fixtures.documents() if i is not None], "doc_id long, text string")
     told = lambda: fixtures.bag(map(tuple, imatch.fingerprints(docs).collect()))

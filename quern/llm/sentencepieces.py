@@ -4,19 +4,25 @@ A text is cut where no piece of the vocabulary can cross: before every run of
 spaces and around every line end. The distinct words of a batch lie in flat
 numpy symbol arrays; each round takes every word's smallest pair rank
 (segmented minimum), merges that pair's leftmost occurrence in all words at
-once, and compacts, until no word has a pair left. Results per word are kept in
-a bounded cache of the Python worker, so a frequent word is merged once.
+once, and compacts, until no word has a pair left. In words of more than
+``LONG_WORD`` symbols (texts without spaces, say) a round takes the least rank of
+them all and merges every occurrence of its pair at once, so far as no merge
+makes a pair of a lesser rank; there are then at most as many rounds as ranks,
+and each costs what it merges. Results per word are kept in a bounded cache of
+the Python worker, so a frequent word is merged once.
 
 Defined results: a null text counts as empty and has no ids; an empty text has
-no ids and decodes to the empty text; rows are independent, so repeated rows,
-ties and empty tables need no rule. A word of more than ``LONG_WORD`` symbols
-(a text without spaces, say) goes through a heap, in O(n log n).
+no ids and decodes to the empty text; bytes that spell no character decode to
+U+FFFD each; rows are independent, so repeated rows, ties and empty tables need
+no rule. A model whose results these rules don't give (another kind of model, or
+one that normalises its input) is refused when it is loaded.
 Other columns of the input pass through untouched; the names of the new columns
 are parameters and replace columns of the same name.
 """
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import re
 from collections.abc import Iterator
@@ -32,6 +38,7 @@ from quern.llm.common import read_table, ship
 from quern.llm.grams import slices, texts_of
 
 SPACE = "▁"
+codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 LONG_WORD = 256
 CACHE_WORDS = 200_000
 CHUNK_CHARS = 1_000_000
@@ -94,11 +101,6 @@ class PieceModel:
                 out[ord(s)] = i
         return out
 
-    @cached_property
-    def pairs(self) -> dict[int, tuple[int, int]]:
-        """(left << 20) | right -> rank and id of the piece that they spell; for long words only."""
-        return self._pairs()
-
     def _pairs(self) -> dict[int, tuple[int, int]]:
         rank = {i: r for r, i in enumerate(sorted(self.pieces.values(), key=lambda i: (-self.score[i], i)))}
         pairs: dict[int, tuple[int, int]] = {}
@@ -153,9 +155,9 @@ class PieceModel:
         """Ids of each word, by rounds over flat arrays."""
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
         short = [k for k, w in enumerate(words) if len(w) <= LONG_WORD]
-        for k, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[k] = np.array(self.merge_long(w), np.int32)
+        if long := [k for k, w in enumerate(words) if len(w) > LONG_WORD]:
+            for k, ids in zip(long, self.merge_long([words[k] for k in long])):
+                out[k] = ids
         if not short:
             return out
         chars = np.frombuffer("".join(words[k] for k in short).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -198,38 +200,74 @@ class PieceModel:
                     out[o[a]] = np.array(ids, np.int32)
         return out
 
-    def merge_long(self, word: str) -> list[int]:
-        """The same merges of one long word, with a heap of (rank, place)."""
-        points = [ord(c) for c in word]
-        symbols = self.symbol_of[points].tolist()
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n and symbols[i] >= 0 and symbols[j] >= 0 and (hit := self.pairs.get((symbols[i] << 20) | symbols[j])):
-                heapq.heappush(heap, (hit[0], i, symbols[i], symbols[j], hit[1]))
-
-        for i in range(n - 1):
-            offer(i)
-        dead = bytearray(n)
-        while heap:
-            _, i, a, b, piece = heapq.heappop(heap)
-            if dead[i] or symbols[i] != a or (j := after[i]) >= n or symbols[j] != b:
+    def merge_long(self, words: list[str]) -> list[np.ndarray]:
+        """The same merges, by rounds of the least rank over all words at once."""
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(w) for w in words], np.int64)
+        owner = np.repeat(np.arange(len(words)), sizes)
+        symbols, n = self.symbol_of[points], len(points)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ends = np.cumsum(sizes)
+        after[ends - 1], before[np.r_[0, ends[:-1]]] = -1, -1
+        dead, now = np.zeros(n, bool), np.full(n, -1, np.int64)  # now: rank and piece of the pair that begins here
+        buckets: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def offer(at: np.ndarray) -> None:
+            """Look up the pairs that begin ``at`` and put them where their rank's round will find them."""
+            at = at[after[at] >= 0]
+            now[at] = self.look_up(symbols[at], symbols[after[at]])
+            at = at[now[at] >= 0]
+            rank = now[at] >> 20
+            order = np.argsort(rank, kind="stable")
+            edge = np.flatnonzero(np.r_[True, np.diff(rank[order]) != 0]) if len(at) else []
+            for own in np.split(at[order], edge[1:]) if len(at) else ():
+                put(int(now[own[0]] >> 20), own)
+
+        def put(rank: int, at: np.ndarray) -> None:
+            if rank not in buckets:
+                heapq.heappush(ranks, rank)
+            buckets.setdefault(rank, []).append(at)
+
+        offer(np.arange(n))
+        while ranks:
+            rank = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(buckets.pop(rank)))
+            at = at[now[at] >> 20 == rank]
+            if not len(at):
                 continue
-            symbols[i], dead[j] = piece, 1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        ids: list[int] = []
-        for i in range(n):
-            if not dead[i]:
-                ids += self.ids_of_char(chr(points[i]), symbols[i])
-        return ids
+            run = np.flatnonzero(np.r_[True, after[at[:-1]] != at[1:]])  # overlapping occurrences: every other one, from the left
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0]
+            piece = (now[at] & 0xFFFFF).astype(np.int32)
+            right = after[at]
+            left, beyond = before[at], after[right]
+            follows = np.r_[False, left[1:] == right[:-1]]  # its left neighbour has just been merged
+            lefts = np.where(left >= 0, np.where(follows, piece, symbols[left]), -1)
+            made = np.stack([self.look_up(lefts, piece), self.look_up(piece, np.where(beyond >= 0, symbols[beyond], -1))])
+            lesser = ((made >= 0) & (made >> 20 < rank)).any(axis=0)
+            if lesser.any():  # each word goes on only up to the first merge that makes a pair of a lesser rank
+                seen = np.cumsum(lesser) - lesser
+                first = np.flatnonzero(np.r_[True, np.diff(owner[at]) != 0])
+                fits = seen == np.repeat(seen[first], np.diff(np.r_[first, len(at)]))
+                put(rank, at[~fits])
+                at, piece, right, beyond = at[fits], piece[fits], right[fits], beyond[fits]
+            symbols[at], dead[right], now[right] = piece, True, -1
+            after[at] = beyond
+            before[beyond[beyond >= 0]] = at[beyond >= 0]
+            now[at] = -1
+            offer(np.unique(np.r_[at, before[at][before[at] >= 0]]))
+        out = []
+        for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+            alive = a + np.flatnonzero(~dead[a:b])
+            own = symbols[alive]
+            if not ((own >= 0) & (own < self.size)).all():
+                own = np.array([i for x, c in zip(own.tolist(), points[alive].tolist()) for i in self.ids_of_char(chr(c), x)], np.int32)
+            out.append(own.astype(np.int32))
+        return out
+
+
+#: Texts on which a model must agree with the library before it is used.
+PROBES = ("Hello  world", " a\tb\nc ", "ﬁ① Å é中😀\0x", "a" * 400 + " 12.5")
 
 
 class WordCache(dict):
@@ -245,8 +283,13 @@ class Codec:
     """Whole texts to ids and back, with the bounded word cache."""
 
     def __init__(self, path: str) -> None:
+        import sentencepiece
+
         self.model = PieceModel(path)
         self.cache = WordCache()
+        library = sentencepiece.SentencePieceProcessor(model_file=path)
+        if any(own.tolist() != (want := library.encode(t)) or self.decode(own) != library.decode(want) for t, own in zip(PROBES, self.encode(list(PROBES)))):
+            raise ValueError(f"{path} is no BPE model without normalisation that cuts words before spaces")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
@@ -264,7 +307,7 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.model.surface.__getitem__, ids.tolist()))
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "each_byte")
 
 
 def _chunks(sizes: list[int], most: int) -> Iterator[slice]:

@@ -36,6 +36,31 @@ def test_pieces_match_the_library():
         assert ids.tolist() == library.encode(text) and own.decode(ids) == library.decode(ids.tolist())
 
 
+def test_long_words_match_the_library():
+    import sentencepiece
+
+    path = sentencepieces.default_model()
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), sentencepieces.codec(path)
+    rng = random.Random(7)
+    syllables = ["an", "the", "ing", "a", "b", "aa", "ab", "er", "é", "中", "tion", "s", "0", "=", "xx"]
+    texts = ["".join(rng.choice(syllables) for _ in range(rng.randint(150, 3000))) for _ in range(60)]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(300, 5000))) for alphabet in ("ab", "aeinorst", "ab中文", "abcdefghijklmnopqrstuvwxyz") for _ in range(10)]
+    texts += ["a" * 70_001, "ab" * 30_000, "word " + "x1" * 500 + " end", base64.b64encode(rng.randbytes(60_000)).decode()]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert ids.tolist() == library.encode(text)
+
+
+def test_split_bytes_decode_as_in_the_library():
+    import sentencepiece
+
+    path = sentencepieces.default_model()
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), sentencepieces.codec(path)
+    byte = own.model.byte_id
+    for raw in (b"\xe4\xb8", b"\xe4\xb8\xad", b"a\xff\xfe", b"\xf0\x9f\x98", b"\xc3\x28", b"\xed\xa0\x80"):
+        ids = byte[list(raw)].tolist()
+        assert own.decode(np.array(ids)) == library.decode(ids), raw
+
+
 def test_pieces_of_every_row(spark, tmp_path):
     import sentencepiece
 

@@ -366,9 +366,14 @@ def test_keys_meet(spark):
         assert shingles.distance(shingles.sketch(a), shingles.sketch(b)) <= len(np.setxor1d(a, b)) <= shingles.may_differ(len(a), len(b))
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_join(spark, tmp_path, monkeypatch, block):
+@pytest.mark.parametrize("block,bits,sampled", [(1024, 64, 64), (3, 4, 64), (3, 64, 1)])
+def test_join(spark, tmp_path, monkeypatch, block, bits, sampled):
+    """In one block or many; with class hashes that clash; with common keys left dealt."""
     monkeypatch.setattr(ngramjoin, "BLOCK", block)
+    monkeypatch.setattr(ngramjoin, "LEAST_BLOCK", min(block, 64))
+    monkeypatch.setattr(ngramjoin, "HASH_BITS", bits)
+    monkeypatch.setattr(ngramjoin, "SAMPLED", sampled)
+    monkeypatch.setattr(ngramjoin, "COMMON_LEAST", 64 if sampled > 1 else 2)
     monkeypatch.setattr(ngramjoin, "SLICE", 2)
     rows = fixtures.documents(seed=2, n=90)
     sets = [(r[0], word_set(r[1])) for r in rows]

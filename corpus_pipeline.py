@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, ngramjoin, secretscan, sentencepieces, toxicity
-from quern.llm.common import fresh_path, materialize, read_table
+from quern.llm.common import fresh_path, materialize, read_table, remove
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = fresh_path(spark, f"stage-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", path)
+        if before:  # the stage is written, so what it read may go
+            remove(spark, before)
+        before = path
     return docs

@@ -79,3 +79,36 @@ def markdown(df: DataFrame, title: str) -> str:
     """A small table as Markdown."""
     head = f"## {title}\n\n| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}\n"
     return head + "".join(f"| {' | '.join(str(v) for v in row)} |\n" for row in df.collect())
+
+
+def topic_keys(documents: DataFrame) -> DataFrame:
+    """(interview_id, question_id) of a topic-model input."""
+    return documents.select("metadata.interview_id", "metadata.question_id")
+
+
+def run_assertions(rows: DataFrame, responses: DataFrame, sentences: DataFrame, documents: DataFrame, bridge: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """The ten assertions over a run: (name, passed).
+
+    ``rows``: the input; ``documents``: the topic-model input; ``bridge``: the sentiment stage's input; ``files``: as
+    ``transcripts.duplicate_files`` gives it, if files are kept twice.
+    """
+    none = lambda df: df.agg((F.count(F.lit(1)) == 0).alias("x"))
+    full = responses.where(F.coalesce(F.col("topic_text_es_clean"), F.lit("")) != "")
+    blank = responses.where(X.is_blank(F.col("topic_text_es_clean"))).select(*KEYS)
+    documented = topic_keys(documents)
+    lost = responses.select(*KEYS).join(documented, KEYS, "left_anti")
+    one = lambda df, name: df.agg(F.count_distinct(F.struct(*KEYS)).alias(name))
+    parts = sentences.agg((F.count_if(F.col("sentence_status") == "FAILED") + F.count_if(F.col("sentence_status") != "FAILED") == F.count(F.lit(1))).alias("x"))
+    ok = responses.where("status = 'OK'").select(*KEYS)
+    return assertions({
+        "sentence_statuses_add_up": parts,
+        "input_equals_responses_and_nothing_else": one(rows, "a").crossJoin(one(responses, "b")).select((F.col("a") == F.col("b")).alias("x")),
+        "topic_input_has_a_text_for_each_document": holds(documents, ~X.is_blank(F.col("text"))),
+        "no_duplicate_keys_in_topic_input": none(duplicates(documented, *KEYS)),
+        "no_duplicate_questions_in_an_interview": none(duplicates(rows, *KEYS)),
+        "full_responses_match_topic_input": one(full, "a").crossJoin(one(documented, "b")).select((F.col("a") == F.col("b")).alias("x")),
+        "topic_input_drops_exactly_the_empty_responses": none(lost.join(blank, KEYS, "left_anti").unionByName(blank.join(lost, KEYS, "left_anti"))),
+        "no_responses_lost_before_sentiment": none(ok.join(bridge, KEYS, "left_anti")),
+        "no_sentences_without_a_response": none(sentences.join(responses, "response_id", "left_anti")),
+        "copies_of_files_are_identical": holds(files.where("first_exists and second_exists"), F.col("byte_identical")) if files is not None else rows.sparkSession.range(1).select(F.lit(True).alias("x")),
+    })

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern import schemas as S
@@ -43,13 +43,13 @@ def append(rows: DataFrame, path: str) -> None:
     rows.where(~X.is_blank(F.col("translated_text"))).write.mode("append").parquet(path)
 
 
-def coverage(units: DataFrame, memory: DataFrame, unit: str = "sentence_id") -> DataFrame:
+def coverage(units: DataFrame, memory: DataFrame, unit: str = "sentence_id", most: int = 50) -> DataFrame:
     """(total, hits, misses, coverage, first_missing): of units, not of distinct keys."""
     found = look_up(units, memory)
     return found.agg(
         F.count(F.lit(1)).alias("total"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"),
-        F.try_divide(F.count_if("hit"), F.count(F.lit(1))).alias("coverage"), F.slice(F.array_sort(F.collect_set(F.when(~F.col("hit"), F.col(unit)))), 1, 50).alias("first_missing"),
-    )
+        F.try_divide(F.count_if("hit"), F.count(F.lit(1))).alias("coverage"),
+    ).crossJoin(found.where("not hit").select(unit).distinct().orderBy(unit).limit(most).agg(F.array_sort(F.collect_list(unit)).alias("first_missing")))
 
 
 def require_warm(units: DataFrame, memory: DataFrame) -> None:
@@ -59,4 +59,18 @@ def require_warm(units: DataFrame, memory: DataFrame) -> None:
 
 
 def statistics(found: DataFrame, memory: DataFrame) -> DataFrame:
-    return found.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses")).crossJoin(memory.agg(F.count(F.lit(1)).alias("entries")))  # two one-row tables
+    """hits, misses, writes (the distinct new translations) and entries."""
+    new = F.count_distinct(F.when(F.col("fresh"), F.struct(*KEYS)))
+    return found.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), new.alias("writes")).crossJoin(memory.agg(F.count(F.lit(1)).alias("entries")))  # two one-row tables
+
+
+def batches(rows: DataFrame, size: int, order: str, *by: str) -> DataFrame:
+    """``rows`` with batch, their number in stretches of ``size`` in order, within each of ``by``."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
+    return rows.withColumn("batch", F.floor(place / size))
+
+
+def progress(done: DataFrame, order: str, *by: str) -> DataFrame:
+    """``done`` with finished and total: how many of each of ``by`` were done up to each row."""
+    part = Window.partitionBy(*by)
+    return done.withColumns({"finished": F.count(F.lit(1)).over(part.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)), "total": F.count(F.lit(1)).over(part)})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from quern.functions import quality as Q
 from quern.functions import text as X
 from quern.models import Embedder, HashedEmbedder, LanguageDetector, Lemmatizer, ProfileDetector, SameLemmas, Translator
 from quern.operators import language, segments, translate
+from quern.operators.scratch import settled
 
 
 @dataclass
@@ -20,6 +22,8 @@ class Processed:
     responses: DataFrame
     sentences: DataFrame
     translated: DataFrame  # what the memory may take in
+    expected: DataFrame  # sentence_id of every sentence that went in
+    fatal: DataFrame  # response_id, reason: responses that a frozen segmentation lacks
 
 
 def routed(rows: DataFrame) -> DataFrame:
@@ -34,7 +38,7 @@ def duplicate_keys(rows: DataFrame, *keys: str) -> DataFrame:
 
 def with_frozen(rows: DataFrame, frozen: DataFrame) -> DataFrame:
     """The frozen language rules; language_conflict tells where detection said otherwise."""
-    kept = frozen.select("response_id", F.col("source_language").alias("_frozen")).distinct()
+    kept = frozen.groupBy("response_id").agg(F.first("source_language", ignorenulls=True).alias("_frozen"))
     return rows.join(kept, "response_id", "left").withColumns({"language_conflict": F.coalesce(F.col("_frozen") != F.col("source_language"), F.lit(False)), "source_language": F.coalesce("_frozen", "source_language")}).drop("_frozen")
 
 
@@ -77,22 +81,31 @@ def topic_texts(rows: DataFrame, lemmatizer: Lemmatizer | None = None, text: str
     return rows.withColumns({"topic_text_es_raw": F.col(text), "topic_text_es_clean": clean}).withColumn("topic_text_es_clean_empty", X.is_blank(F.col("topic_text_es_clean")))
 
 
-def process(rows: DataFrame, memory: DataFrame, frozen: DataFrame | None = None, translator: Translator | None = None, detector: LanguageDetector | None = None, embedder: Embedder | None = None, lemmatizer: Lemmatizer | None = None) -> Processed:
-    """(interview_id, question_id, original_text) to responses and sentences."""
+def process(rows: DataFrame, memory: DataFrame, frozen: DataFrame | None = None, translator: Translator | None = None, detector: LanguageDetector | None = None, embedder: Embedder | None = None, lemmatizer: Lemmatizer | None = None, settle: Callable[[DataFrame, str], DataFrame] | None = None) -> Processed:
+    """(interview_id, question_id, original_text) to responses and sentences.
+
+    ``settle(table, name)`` may write the translated sentences and read them again, so that the model works once however
+    many tables are made of them. A response that the frozen segmentation lacks has no sentences and is a fatal error.
+    """
     all_rows = routed(rows)
     found = language.detected(all_rows.where("status = 'OK'"), detector)
     told = language.response_languages(found, language.primary_languages(found))
     if frozen is not None:
         told = with_frozen(told, frozen)
-        cut = frozen.where("sentence_id is not null").select("response_id", "sentence_id", "sentence_index", "text_source")
+        cut = frozen.where("sentence_id is not null").select("response_id", "sentence_id", "sentence_index", "text_source").join(told.select("response_id"), "response_id", "left_semi")
+        fatal = told.join(frozen, "response_id", "left_anti").select("response_id", F.lit("missing_from_frozen_segmentation").alias("reason"))
     else:
+        fatal = told.where(F.lit(False)).select("response_id", F.lit("").alias("reason"))
         cut = segments.numbered(told).select("response_id", "sentence_id", "sentence_index", "text_source")
     asked = cut.join(told.select("response_id", "interview_id", "question_id", "source_language"), "response_id")
     translated = translate.repair_repetition(translate.sentences(asked, memory, translator), memory, translator)
+    if settle:
+        translated = settle(translated, "translated")
+    entries = translated.select(F.explode(F.array_compact(F.array("made", "remade"))).alias("m")).select("m.*")
     made = F.col("text_es").isNotNull() & (F.col("translation_provenance") != "SOURCE_ES")
     seen = (detector or ProfileDetector()).detect(F.col("text_es"))
     checks = F.struct(Q.language_check(F.col("text_es"), seen["lang"], seen["confidence"]).alias("target_language_check"), Q.degenerate(F.col("text_source"), F.col("text_es")).alias("degenerate_output"), Q.lengths(F.col("text_source"), F.col("text_es")).alias("length_diagnostics"))
-    sentences = translated.withColumn("quality", F.when(made, checks))
+    sentences = translated.drop("made", "remade").withColumn("quality", F.when(made, checks))
     sentences = sentences.withColumn("sentence_status", sentence_status(F.col("translation_provenance"), F.col("quality.degenerate_output.flagged")))
     sentences = sentences.withColumn("translation_required", F.col("source_language") != S.TARGET_LANGUAGE)
 
@@ -101,10 +114,11 @@ def process(rows: DataFrame, memory: DataFrame, frozen: DataFrame | None = None,
     joined = joined.withColumns({"text_es_status": response_status(F.col("translation_required"), F.coalesce("sentence_count", F.lit(0)), failed, F.col("_hits")), "response_translation_complete": failed == 0})
     embed = (embedder or HashedEmbedder()).embed
     similarity = F.when(F.col("translation_required") & F.col("text_es").isNotNull(), X.dot(embed(F.col("original_text")), embed(F.col("text_es"))))
-    response_quality = F.struct(Q.lengths(F.col("original_text"), F.col("text_es")).alias("length_diagnostics"), Q.degenerate(F.col("original_text"), F.col("text_es")).alias("degenerate_output"), similarity.alias("semantic_similarity"))
+    told_es = (detector or ProfileDetector()).detect(F.col("text_es"))
+    response_quality = F.struct(Q.language_check(F.col("text_es"), told_es["lang"], told_es["confidence"]).alias("target_language_check"), Q.lengths(F.col("original_text"), F.col("text_es")).alias("length_diagnostics"), Q.degenerate(F.col("original_text"), F.col("text_es")).alias("degenerate_output"), similarity.alias("semantic_similarity"))
     done = topic_texts(joined, lemmatizer).withColumn("quality", F.when(F.col("translation_required"), response_quality)).drop("_hits", "long_enough", "detected_lang", "detected_confidence")
     excluded = all_rows.where("status = 'EXCLUDED'")
-    return Processed(done.unionByName(excluded, allowMissingColumns=True), sentences, translated)
+    return Processed(done.unionByName(excluded, allowMissingColumns=True), sentences, entries, cut.select("sentence_id"), fatal)
 
 
 def usable(status: Column) -> Column:
@@ -118,17 +132,30 @@ def bridge(responses: DataFrame, sentences: DataFrame) -> DataFrame:
     return sound.join(texts, "response_id", "left").select("interview_id", "question_id", F.coalesce("sentences", F.array().cast("array<string>")).alias("sentences"))
 
 
+def _places(keys: DataFrame, key: str) -> DataFrame:
+    """(key, _p, _n): each row's place in the order of ``key`` from 0, and the number of rows."""
+    dealt = settled(keys.repartitionByRange(key).withColumn("_r", F.spark_partition_id()), "places")[0]
+    counts = dealt.groupBy("_r").agg(F.count(F.lit(1)).alias("_c"))  # a row per range
+    told = counts.select("_r", (F.sum("_c").over(W.orderBy("_r")) - F.col("_c")).alias("_b"), F.sum("_c").over(W.partitionBy(F.lit(0))).alias("_n"))
+    inside = dealt.withColumn("_i", F.row_number().over(W.partitionBy("_r").orderBy(key)) - 1)
+    return inside.join(told, "_r").select(key, (F.col("_b") + F.col("_i")).alias("_p"), "_n")
+
+
 def evenly_spaced(rows: DataFrame, key: str, k: int | None, *by: str) -> DataFrame:
     """``k`` rows spread evenly over the order of ``key``: the rows at floor(i * n / k). None or too large: all; 0: none.
 
-    Without ``by`` the whole table is one sequence, numbered by a single task over its keys only.
+    Without ``by`` the whole table is one sequence: its keys are dealt to ranges, numbered in each, and counted on from
+    range to range, so no task sees them all.
     """
     if k is None or k < 0:
         return rows
     if k == 0:
         return rows.limit(0)
-    part = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    place = rows.select(*by, key, (F.row_number().over(part.orderBy(key)) - 1).alias("_p"), F.count(F.lit(1)).over(part).alias("_n"))
+    if by:
+        part = W.partitionBy(*by)
+        place = rows.select(*by, key, (F.row_number().over(part.orderBy(key)) - 1).alias("_p"), F.count(F.lit(1)).over(part).alias("_n"))
+    else:
+        place = _places(rows.select(key), key)
     # p is floor(i * n / k) for some i exactly if the next i's place lies beyond it
     i = F.floor((F.col("_p") * k + F.col("_n") - 1) / F.col("_n"))
     chosen = place.where((F.col("_n") <= k) | ((F.floor(i * F.col("_n") / k) == F.col("_p")) & (i < k)))

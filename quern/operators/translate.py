@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern import schemas as S
@@ -27,33 +27,42 @@ def translate(texts: DataFrame, memory: DataFrame, model: Translator | None = No
     return kept.drop("_made")
 
 
-def memory_rows(translated: DataFrame, model: Translator | None = None, text: str = "text_source") -> DataFrame:
-    """What a run adds to the memory."""
+def _entry(text: str) -> Column:
+    """What the memory may take in of a translated row; null where it has that already, or where the model failed."""
+    return F.when(F.col("fresh"), F.struct(*M.KEYS, F.col(text).alias("source_text"), "translated_text"))
+
+
+def made(translated: DataFrame, text: str = "text_source") -> DataFrame:
+    """The entries that a translation made: the memory's keys, source_text, translated_text."""
+    return translated.select(_entry(text).alias("m")).where("m is not null").select("m.*")
+
+
+def memory_rows(entries: DataFrame, model: Translator | None = None) -> DataFrame:
+    """What a run adds to the memory: its entries, each key once."""
     model = model or CopyTranslator()
-    new = translated.where("fresh").dropDuplicates(M.KEYS)
-    return new.select(*M.KEYS, F.col(text).alias("source_text"), "translated_text", F.lit(model.engine).alias("engine"), F.lit(model.engine_version).alias("engine_version"), F.current_timestamp().alias("created_at"))
+    return entries.dropDuplicates(M.KEYS).select(*M.KEYS, "source_text", "translated_text", F.lit(model.engine).alias("engine"), F.lit(model.engine_version).alias("engine_version"), F.current_timestamp().alias("created_at"))
 
 
 def sentences(rows: DataFrame, memory: DataFrame, model: Translator | None = None) -> DataFrame:
-    """Sentences (sentence_id, source_language, text_source) with text_es and translation_provenance.
+    """Sentences (sentence_id, source_language, text_source) with text_es, translation_provenance and made (the memory's new entry).
 
     Spanish is copied; failures get one more pass under the retry settings.
     """
     first = translate(rows.where(F.col("source_language") != S.TARGET_LANGUAGE), memory, model)
-    done = first.where("translated_text is not null").select("sentence_id", F.col("translated_text").alias("text_es"), F.when(F.col("hit"), "CACHE_HIT").otherwise("FRESH_OK").alias("translation_provenance"))
+    done = first.where("translated_text is not null").select("sentence_id", F.col("translated_text").alias("text_es"), F.when(F.col("hit"), "CACHE_HIT").otherwise("FRESH_OK").alias("translation_provenance"), _entry("text_source").alias("made"))
     again = translate(first.where("translated_text is null").select(*rows.columns), memory, model, version=S.RETRY_GENERATION_VERSION, retry=True)
-    repaired = again.select("sentence_id", F.col("translated_text").alias("text_es"), F.when(F.col("translated_text").isNotNull(), "RETRY_OK").otherwise("FAILED").alias("translation_provenance"))
+    repaired = again.select("sentence_id", F.col("translated_text").alias("text_es"), F.when(F.col("translated_text").isNotNull(), "RETRY_OK").otherwise("FAILED").alias("translation_provenance"), _entry("text_source").alias("made"))
     told = rows.join(done.unionByName(repaired), "sentence_id", "left")
     own = F.col("source_language") == S.TARGET_LANGUAGE
     return told.withColumns({"text_es": F.when(own, F.col("text_source")).otherwise(F.col("text_es")), "translation_provenance": F.when(own, "SOURCE_ES").otherwise(F.coalesce("translation_provenance", F.lit("FAILED")))})
 
 
 def repair_repetition(told: DataFrame, memory: DataFrame, model: Translator | None = None) -> DataFrame:
-    """Translations that repeat themselves are made anew under the retry settings; the new one counts only if it is sound."""
+    """Translations that repeat themselves are made anew under the retry settings; the new one (entry remade) counts only if it is sound."""
     checked = told.withColumn("_loops", (F.col("translation_provenance") != "SOURCE_ES") & F.coalesce(Q.worst_run(F.col("text_es")).isNotNull(), F.lit(False)))
     loops = checked.where("_loops").select("sentence_id", "source_language", "text_source")
     again = translate(loops, memory, model, version=S.RETRY_GENERATION_VERSION, retry=True)
-    sound = again.where(~Q.degenerate(F.col("text_source"), F.col("translated_text"))["flagged"]).select("sentence_id", F.col("translated_text").alias("_better"))
+    sound = again.where(~Q.degenerate(F.col("text_source"), F.col("translated_text"))["flagged"]).select("sentence_id", F.col("translated_text").alias("_better"), _entry("text_source").alias("remade"))
     both = checked.join(sound, "sentence_id", "left")
     better = F.col("_better").isNotNull()
     return both.withColumns({

@@ -5,6 +5,8 @@ from __future__ import annotations
 # Thresholds and names that results depend on.
 LEAST_CHARS, LEAST_WORDS = 50, 8
 LANGUAGES = ("ca", "es")  # in the order that breaks ties
+#: The codes by which a translation model knows the languages.
+MODEL_LANGUAGES = {"ca": "cat_Latn", "es": "spa_Latn"}
 TARGET_LANGUAGE = "es"
 RATIO_LOW, RATIO_HIGH = 0.4, 3.0
 REPEAT_SIZE, REPEAT_LEAST = 3, 6
@@ -18,17 +20,15 @@ SHORT_TOKENS, COVERAGE = 4, 0.25
 LEAST_TOPIC_DOCS, TOPIC_WORDS, TOPIC_SEED = 10, 10, 42
 NGRAM_RANGE, MAX_DF, MIN_DF = (1, 2), 0.85, 2
 EVALUATION_TOP, EVALUATION_SEEDS = 10, (0, 21, 42, 84, 123)
-POSITIVE_ABOVE, NEGATIVE_BELOW, NEUTRAL_SCORE = 3.5, 2.5, 3.0
+POSITIVE_ABOVE, NEGATIVE_BELOW = 3.5, 2.5
 GENERATION_VERSION, RETRY_GENERATION_VERSION = "1", "1-retry"
 
 PROVENANCES = ("SOURCE_ES", "CACHE_HIT", "FRESH_OK", "RETRY_OK", "FAILED", "REPETITION_REPAIRED")
 USABLE_STATUSES = ("IDENTITY_COPY", "CACHE_HIT", "TRANSLATED")
 SENTIMENT_LABELS = {1: "VERY_NEGATIVE", 2: "NEGATIVE", 3: "NEUTRAL", 4: "POSITIVE", 5: "VERY_POSITIVE"}
-SCOPES = ("question_block", "individual_question", "all_interviews")
 
 CORPUS = "map<string, map<string, string>>"
 RESPONSES_IN = "interview_id string, question_id string, original_text string"
-SEGMENTS = "response_id string, source_language string, original_text string, sentence_id string, sentence_index int, text_source string"
 MEMORY = (
     "model string, generation_version string, source_language string, target_language string, source_hash string, "
     "source_text string, translated_text string, engine string, engine_version string, created_at timestamp"
@@ -48,7 +48,3 @@ TOPIC_RESULT = (
     "diagnostics struct<outlier_percentage: double, topic_size_distribution: map<string, bigint>>, "
     "topics map<string, struct<words: array<string>, scores: array<double>, count: bigint, group: string>>"
 )
-SENTENCE_SENTIMENT = (
-    "interview_id string, question_id string, sentence_index int, text string, sentiment string, score double, confidence double, "
-    "confusion struct<status: string, confidence: double>"
-)

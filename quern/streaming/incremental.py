@@ -42,16 +42,18 @@ def ingest(rows: DataFrame, places: Places, translator: Translator | None = None
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        out = process.process(df, memory.load(spark, places.memory), translator=translator, detector=detector)
-        translated = out.translated.persist()
+
+        def settle(table: DataFrame, name: str) -> DataFrame:
+            path = f"{places.checkpoint}-{name}/run={number}"
+            table.write.mode("overwrite").parquet(path)
+            return spark.read.schema(table.schema).parquet(path)
+
+        out = process.process(df, memory.load(spark, places.memory), translator=translator, detector=detector, settle=settle)
+        memory.append(translate.memory_rows(out.translated, translator), places.memory)
         sent = {"batch": F.lit(number)}
         # a repeated batch replaces its own folder
         out.responses.withColumns(sent).write.mode("overwrite").parquet(f"{places.responses}/run={number}")
         out.sentences.withColumns(sent).write.mode("overwrite").parquet(f"{places.sentences}/run={number}")
-        own = [c for c in translated.columns if c in memory.KEYS]
-        if own == memory.KEYS:
-            memory.append(translate.memory_rows(translated, translator), places.memory)
-        translated.unpersist()
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", places.checkpoint).trigger(availableNow=True).start()
 

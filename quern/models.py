@@ -115,9 +115,9 @@ class HashedEmbedder:
 
     def embed(self, text: Column) -> Column:
         slots = F.transform(F.transform(X.words(text), X.bare_word), lambda w: F.pmod(F.xxhash64(w), F.lit(self.size)))
-        counts = F.transform(F.sequence(F.lit(0), F.lit(self.size - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
-        norm = F.sqrt(X.dot(counts, counts))
-        return F.transform(counts, lambda v: F.coalesce(F.try_divide(v, norm), F.lit(0.0)))
+        counted = lambda s: F.transform(F.sequence(F.lit(0), F.lit(self.size - 1)), lambda k: F.size(F.filter(s, lambda x: x == k)).cast("double"))
+        unit = lambda c: X.let(F.sqrt(X.dot(c, c)), lambda norm: F.transform(c, lambda v: F.coalesce(F.try_divide(v, norm), F.lit(0.0))))
+        return X.let(slots, lambda s: X.let(counted(s), unit))
 
 
 class SameLemmas:

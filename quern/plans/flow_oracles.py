@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quern.operators.topics import STOPWORDS
 from quern.plans.flows import LOOP
 from quern.plans.oracles import _sentences, _strip, _tokens, _word_set, _words
 
@@ -154,5 +155,12 @@ WITH t AS (SELECT DISTINCT CASE WHEN conv_id % 5 > 0 THEN 'Topic ' ELSE 'Other '
 SELECT topic, row_number() OVER (ORDER BY CASE WHEN named THEN conv_id ELSE 1000000000 END, topic)::INT AS place FROM t""",
     "q95_word_list": f"""
 WITH t AS (SELECT lang, unnest({_tokens('text')}) AS word FROM documents) SELECT lang, count(*) AS n, count(DISTINCT word) AS words FROM t WHERE word NOT IN (SELECT unnest({_tokens('text')}) FROM benchmark) GROUP BY 1""",
+    "q97_tfidf": f"""
+WITH d AS (SELECT doc_id, {_tokens("regexp_replace(array_to_string(list_filter(" + _words('text') + ", lambda w: NOT regexp_full_match(w, '[0-9]+')), ' '), '[^\\p{L}\\p{N}_\\s]', '', 'g')")} AS ts FROM documents WHERE trim(text) <> ''),
+k AS (SELECT doc_id, list_filter(ts, lambda t: t NOT IN ({", ".join(f"'{w}'" for w in sorted(set(STOPWORDS)))})) AS ts FROM d),
+t AS (SELECT doc_id, unnest(list_concat(ts, list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1]))) AS term FROM k WHERE len(ts) > 0),
+n AS (SELECT count(*) AS n FROM k WHERE len(ts) > 0), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+w AS (SELECT doc_id, term, tf * (ln((1.0 + n)::DOUBLE / (1.0 + df)::DOUBLE) + 1.0) AS w FROM tf JOIN df USING (term), n WHERE df >= 2 AND df <= 0.85 * n)
+SELECT doc_id, count(*) AS terms, round(max(w) / sqrt(sum(w * w)), 5) AS w, 1.0::DOUBLE AS length FROM w GROUP BY 1""",
     "q96_review_ids": f"WITH {_RUN} SELECT sentence_id AS id FROM stat WHERE NOT own AND text_es IS NOT NULL AND {_long('text_es')} AND coalesce({_LANG % 'text_es'} <> 'es', true)",
 }

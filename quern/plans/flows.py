@@ -401,6 +401,14 @@ def q95_word_list(s, d):
     return transcripts.without_words(tokens, transcripts.word_list(s, path)).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("word").alias("words"))
 
 
+def q97_tfidf(s, d):
+    """The documents' unit-length weights: how many terms each has, its largest weight, and that weight's term."""
+    docs = _table(s, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    weighed, named = topics.tfidf(topics.prepared(docs))
+    best = F.max(F.struct(F.round("w", 9).alias("w"), "word"))
+    return weighed.join(named, "term").groupBy(F.col("doc").alias("doc_id")).agg(F.count(F.lit(1)).alias("terms"), F.round(best["w"], 5).alias("w"), F.round(F.sum(F.col("w") * F.col("w")), 6).alias("length"))
+
+
 def q96_review_ids(s, d):
     """Translated sentences whose target language or length calls for a look, and responses by the same."""
     done = _run(s, d)

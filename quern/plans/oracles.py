@@ -97,7 +97,7 @@ SELECT response_id, (island - 1)::INT AS sentence_index, string_agg(CASE WHEN pl
 FROM c GROUP BY response_id, island""",
     "q12_ordered_text": "SELECT conv_id, sha256(t) AS sha256, length(t)::INT AS chars FROM (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, role, text) AS t FROM conversations GROUP BY 1)",
     "q13_recurring_phrases": f"""
-WITH s AS (SELECT turn AS question_id, conv_id AS interview_id, unnest({_sentences('text')}) AS t FROM conversations),
+WITH s AS (SELECT lang AS question_id, source AS interview_id, unnest({_sentences('text')}) AS t FROM documents),
 p AS (SELECT question_id, interview_id, {_phrase('t')} AS phrase FROM s),
 x AS (SELECT question_id, phrase, count(DISTINCT interview_id) AS n FROM p WHERE phrase <> '' AND len({_words('phrase')}) <= 4 GROUP BY 1, 2),
 b AS (SELECT question_id, phrase, n FROM x QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY n DESC, phrase) = 1),
@@ -161,7 +161,7 @@ UNION ALL SELECT 'turns_are_dense', bool_and(m - n <= 0) FROM (SELECT max(turn)
     "q33_transcripts": f"""
 SELECT * FROM (VALUES ('t1', 0, '1.1', 'Sí, tenim una granja... -...de prova.'), ('t1', 1, '1.2a', 'No.'), ('t1', 2, '1.1', 'Una  altra')) v(interview_id, position, question_id, original_text) WHERE length({_values([(_TRANSCRIPT,)])}) > 0""",
     "q35_confusion_partition": f"""
-WITH {_SCORED} SELECT count(*) AS n_sentences, count(*) FILTER (confused) AS confused, count(*) FILTER (NOT confused) AS not_confused, count(*) FILTER (confused IS NULL) AS no_confusion_field, true AS partition_holds, round_even(100.0 * count(*) FILTER (confused) / count(*), 1)::DOUBLE AS confused_pct FROM scored""",
+WITH {_SCORED} SELECT count(*) AS n_sentences, count(*) FILTER (confused) AS confused, count(*) FILTER (NOT confused) AS not_confused, count(*) FILTER (confused IS NULL) AS no_confusion_field, count(*) FILTER (confused) + count(*) FILTER (NOT confused) + count(*) FILTER (confused IS NULL) = count(*) AS partition_holds, round_even(100.0 * count(*) FILTER (confused) / count(*), 1)::DOUBLE AS confused_pct FROM scored""",
     "q36_degenerate": f"""
 WITH w AS (SELECT row_number() OVER () AS r, text, {_words('text')} AS w FROM conversations),
 g AS (SELECT r, array_to_string(w[i:i + 2], ' ') AS t FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 18)),

@@ -13,6 +13,7 @@ from quern.operators import audit, evaluation, insights, process, report, segmen
 from quern.operators import memory as M
 from quern.operators.vectors import nearest
 from quern.sources import transcripts
+from quern.streaming import incremental
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,13 +98,8 @@ def q12_ordered_text(s, d):
     return whole.select("conv_id", X.digest(F.col("t")).alias("sha256"), F.length("t").alias("chars"))
 
 
-def _phrases(df, text):
-    return F.explode(segments.split_sentences(F.col(text)))
-
-
 def q13_recurring_phrases(s, d):
-    c = table(s, d, "conversations")
-    cut = c.select(F.col("turn").alias("question_id"), F.col("conv_id").alias("interview_id"), F.explode(segments.split_sentences(F.col("text"))).alias("t"))
+    cut = _docs(s, d).select(F.col("lang").alias("question_id"), F.col("source").alias("interview_id"), F.explode(segments.split_sentences(F.col("text"))).alias("t"))
     return audit.recurring_phrases(cut, X.normal_sentence(F.col("t")))
 
 
@@ -200,8 +196,8 @@ def q26_word_counts(s, d):
 
 def q27_sessions(s, d):
     e = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    told = e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return told.select("user_id", F.unix_micros("w.start").alias("begin_us"), (F.unix_micros("w.end") - 30 * 60 * 1_000_000).alias("end_us"), "n")
+    told = incremental.sessions(e)
+    return told.select("user_id", F.unix_micros("session.start").alias("begin_us"), (F.unix_micros("session.end") - 30 * 60 * 1_000_000).alias("end_us"), "n")
 
 
 def _modelled(s, d, algorithm, k):

@@ -165,7 +165,7 @@ def test_topic_models(spark, algorithm):
 
 
 @pytest.mark.parametrize("algorithm", ["nmf", "svd"])
-def test_spread_and_gathered_agree(spark, algorithm, monkeypatch):
+def test_spread_and_blocks_agree(spark, algorithm, monkeypatch):
     texts = [f"granja vaca llet camp pastura {k % 3}" for k in range(15)] + [f"sensor dada xarxa robot mesura {'xarxa' if k % 2 else 'robot'}" for k in range(15)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
 
@@ -174,7 +174,7 @@ def test_spread_and_gathered_agree(spark, algorithm, monkeypatch):
         return {r.topic: [round(x, 3) for x in r.scores] for r in found.topics.collect()}, sorted(map(tuple, found.documents.collect()))
 
     first = run()
-    monkeypatch.setattr(topics, "GATHERED", 0)
+    monkeypatch.setattr(topics, "BROADCAST", 0)
     assert run() == first
 
 

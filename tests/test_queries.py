@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quern.plans.oracles import ORACLES
-from quern.plans.queries import QUERIES
+from quern.plans import flow_oracles, flows, oracles, queries
 
 DATA = "/root/testdata/sf0.001"
+QUERIES, ORACLES = queries.QUERIES | flows.QUERIES, oracles.ORACLES | flow_oracles.ORACLES
 
 
 @pytest.fixture(scope="module")

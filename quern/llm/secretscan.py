@@ -57,18 +57,20 @@ def _matches(text: Column, rule: tuple) -> Column:
 
 
 def scan(blobs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """(blob, spans) of ``blobs`` (blob, text; no blob twice): every secret's span, by start and then kind."""
+    """(blob, spans) of ``blobs`` (blob, text; a blob's rows have one text): every secret's span, by start and then kind."""
     body = F.coalesce(F.col(text), F.lit(""))
     of_kind = lambda k, r: F.transform(_matches(body, r), lambda m, i: F.struct(F.lit(k).alias("kind_no"), i.alias("place"), m.alias("m")))
     # a blob without any match keeps a row of its own
-    rows = blobs.select("blob", F.explode_outer(F.concat(*(of_kind(k, r) for k, r in enumerate(rules)))).alias("x")).repartition("blob").select("blob", "x.*")
-    upto = W.partitionBy("blob", "kind_no").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    numbered = blobs.withColumn("row", F.monotonically_increasing_id())
+    rows = numbered.select("blob", "row", F.explode_outer(F.concat(*(of_kind(k, r) for k, r in enumerate(rules)))).alias("x")).repartition("blob").select("blob", "row", "x.*")
+    upto = W.partitionBy("blob", "row", "kind_no").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
     ended = rows.withColumn("end", F.sum(F.col("m.gap") + F.col("m.size")).over(upto).cast("int"))
-    told = ended.select("blob", "kind_no", (F.col("end") - F.col("m.size")).alias("start"), F.when(F.col("m.counts"), F.col("end")).alias("end"))
-    before = W.partitionBy("blob").orderBy("start", "kind_no").rowsBetween(W.unboundedPreceding, -1)
+    told = ended.select("blob", "row", "kind_no", (F.col("end") - F.col("m.size")).alias("start"), F.when(F.col("m.counts"), F.col("end")).alias("end"))
+    before = W.partitionBy("blob", "row").orderBy("start", "kind_no").rowsBetween(W.unboundedPreceding, -1)
     told = told.withColumn("covered", F.coalesce(F.max("end").over(before), F.lit(0)))
     span = F.when(F.col("end").isNotNull(), F.struct("start", "kind_no", "end", "covered"))
-    return told.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    each = told.groupBy("blob", "row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    return each.groupBy("blob").agg(F.first("spans").alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -91,7 +93,7 @@ def update_ledger(versions: DataFrame, ledger: str, key: str, text: str = "text"
     known = _ledger(spark, ledger).where(F.col("rules_version") == version_of(rules)).select("blob").distinct()
     # hashes only, until it is known which blobs are unseen; then each one's text, of one row that stands for it
     unseen = told.groupBy("blob").agg(F.min("_row").alias("_row")).join(known, "blob", "left_anti")
-    texts = told.join(unseen, ["blob", "_row"], "left_semi").groupBy("blob").agg(F.first("_text").alias("_text"))
+    texts = told.join(unseen, ["blob", "_row"], "left_semi")
     scan(texts, "_text", rules).select("blob", F.lit(version_of(rules)).alias("rules_version"), "spans").write.mode("append").parquet(ledger)
 
 

@@ -236,12 +236,17 @@ def _rest(groups: DataFrame, labels: DataFrame, classes: DataFrame, scratch: Scr
 
 
 def _common_keys(docs: DataFrame, ids: Ids, scratch: Scratch) -> DataFrame | None:
-    """(key, about): keys of a large share of the sampled classes, and about how many classes have each; their number is bounded by the share."""
+    """(key, number, about): keys of a large share of the sampled classes, numbered from 1, and about how many classes have each.
+
+    The share bounds their number, which is checked all the same.
+    """
     sample = docs.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(SAMPLED)) == 0).select("text")
     keyed = scratch.table(sample.mapInArrow(partial(_keys, ids), _KEYS).select("h", F.explode("keys").alias("key")), "sampled-keys")
     least = max(COMMON_LEAST, COMMON_SHARE * keyed.select("h").distinct().count())
     common = scratch.table(keyed.distinct().groupBy("key").agg((F.count(F.lit(1)) * SAMPLED).alias("about")).where(F.col("about") >= least * SAMPLED), "common-keys")
-    return common if 0 < common.count() <= COMMON_MOST else None
+    if not 0 < common.count() <= COMMON_MOST:
+        return None
+    return scratch.table(common.select("key", F.row_number().over(W.orderBy("key")).alias("number"), "about"), "numbered-keys")
 
 
 def _groups(docs: DataFrame, ids: Ids, scratch: Scratch) -> DataFrame:
@@ -252,19 +257,22 @@ def _groups(docs: DataFrame, ids: Ids, scratch: Scratch) -> DataFrame:
     and says little, and similar sets still meet under their other keys.
     """
     common = _common_keys(docs, ids, scratch)
-    keyed = docs.select("text").mapInArrow(partial(_keys, ids), _KEYS).select("h", "n", F.explode("keys").alias("key"))
-    if common is None:
-        keyed = keyed.withColumns({"about": F.lit(None).cast("long"), "spot": F.col("key")})
-    else:  # rows of a common key need no company: its group goes by the key itself
-        keyed = keyed.join(F.broadcast(common), "key", "left").withColumn("spot", F.when(F.col("about").isNull(), F.col("key")).otherwise(F.xxhash64("key", "h")))
+    keyed = docs.select("text").mapInArrow(partial(_keys, ids), _KEYS).select("h", F.col("n").cast("long").alias("n"), F.explode("keys").alias("spot"))
+    if common is not None:
+        # rows of a common key need no company, as its group goes by its number: that travels in the upper half of n
+        held = F.broadcast(common.select(F.col("key").alias("spot"), "number"))
+        dealt = F.when(F.col("number").isNull(), F.col("spot")).otherwise(F.xxhash64("spot", "h"))
+        keyed = keyed.join(held, "spot", "left").select("h", F.col("n").bitwiseOR(F.shiftleft(F.coalesce("number", F.lit(0)).cast("long"), 32)).alias("n"), dealt.alias("spot"))
     same = W.partitionBy("spot")
-    met = keyed.select(
-        "h", "n", "key", F.coalesce("about", F.count(F.lit(1)).over(same)).alias("size"), F.col("about").isNotNull().alias("common"),
-        F.min("h").over(same).alias("low"), F.max("h").over(same).alias("high"), F.min(F.xxhash64("h")).over(same).alias("mark"),
-    )
-    firm = (F.col("key") % 2 != 0).alias("firm")
-    gid = F.when(F.col("common"), F.xxhash64("key", F.lit(1))).otherwise(F.xxhash64("low", "high", "mark"))
-    once = met.where("common or low <> high").groupBy(gid.alias("gid"), "h", firm).agg(F.max("n").alias("n"), F.max("size").alias("size"), F.count(F.lit(1)).alias("keys"))
+    met = keyed.select("h", "n", "spot", F.count(F.lit(1)).over(same).alias("size"), F.min("h").over(same).alias("low"), F.max("h").over(same).alias("high"), F.min(F.xxhash64("h")).over(same).alias("mark"))
+    number = F.shiftright("n", 32).cast("int")
+    met = met.where((number > 0) | (F.col("low") != F.col("high"))).withColumns({"number": number, "n": F.col("n").bitwiseAND(F.lit(2**32 - 1)).cast("int")})
+    gid, firm = F.xxhash64("low", "high", "mark"), F.col("spot") % 2 != 0
+    if common is not None:
+        told = F.broadcast(common.select("number", "about", (F.col("key") % 2 != 0).alias("odd")))
+        met = met.join(told, "number", "left").withColumn("size", F.coalesce("about", "size"))
+        gid, firm = F.when(F.col("number") > 0, F.xxhash64("number", F.lit("common"))).otherwise(gid), F.coalesce("odd", firm)
+    once = met.groupBy(gid.alias("gid"), "h", firm.alias("firm")).agg(F.max("n").alias("n"), F.max("size").alias("size"), F.count(F.lit(1)).alias("keys"))
     largest = W.partitionBy("h").orderBy(F.desc("size"), "gid").rowsBetween(W.unboundedPreceding, 0)
     counts = ~F.col("firm") & (F.col("size") > HOT)
     left_out = counts & (F.sum(F.when(counts, F.col("keys")).otherwise(0)).over(largest) <= F.floor(F.col("n") / S.SPARE))

@@ -30,9 +30,9 @@ def runs(c: Column, n: int = S.REPEAT_SIZE) -> Column:
 def worst_run(c: Column, n: int = S.REPEAT_SIZE, least: int = S.REPEAT_LEAST) -> Column:
     """(ngram, count) of the most frequent run of n words, the earliest on a tie; null unless it recurs ``least`` times.
 
-    Sorted runs put equal ones side by side, so one pass over them counts: no square of the text's length.
+    Sorted runs put equal ones side by side, so one pass over them counts: no square of the text's length. A text with
+    fewer repeats in all than ``least`` asks of one run is not sorted.
     """
-    numbered = F.array_sort(F.transform(runs(c, n), lambda r, i: F.struct(r.alias("r"), i.alias("i"))))
     none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.lit("").alias("r"))
     start = F.struct(F.lit("").alias("r"), F.lit(0).alias("n"), F.lit(0).alias("i"), none.alias("best"))
 
@@ -44,7 +44,10 @@ def worst_run(c: Column, n: int = S.REPEAT_SIZE, least: int = S.REPEAT_LEAST) ->
         return F.struct(x["r"].alias("r"), count.alias("n"), first.alias("i"), F.greatest(acc["best"], now).alias("best"))
 
     told = lambda best: F.when(best["n"] >= least, F.struct(best["r"].alias("ngram"), best["n"].alias("count")))
-    return F.when(X.word_count(c) >= n * least, X.let(F.aggregate(numbered, start, step)["best"], told))
+    numbered = lambda r: F.sort_array(F.transform(r, lambda x, i: F.struct(x.alias("r"), i.alias("i"))))
+    repeats = lambda r: F.size(r) - F.size(F.array_distinct(r))
+    worst = lambda r: F.when(repeats(r) >= least - 1, X.let(F.aggregate(numbered(r), start, step)["best"], told))
+    return F.when(X.word_count(c) >= n * least, X.let(runs(c, n), worst))
 
 
 def degenerate(source: Column, target: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.operators.scratch import shared_dir
+
 #: Query vectors that are broadcast at a time.
 BLOCK = 4096
 
@@ -19,10 +22,10 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 5, block: int = BLO
     """(key, neighbour, cosine, rank): the ``k`` rows with the largest cosine to each query, itself left out; ties by key.
 
     Queries (all rows, unless given) go out in blocks of ``block`` vectors, so what is broadcast has a fixed size;
-    each task keeps ``k`` candidates for each query, and a window over those few picks the best. Null and zero vectors
-    are nobody's neighbours.
+    each task keeps ``k`` candidates for each query, and a window over those few picks the best. A block's result is
+    written before the next block is read, so the driver never holds two. Null and zero vectors are nobody's neighbours.
     """
-    spark, out = rows.sparkSession, None
+    spark, path = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/quern/nearest-{uuid.uuid4().hex}"
     asked = (rows if queries is None else queries).select(key, vector).where(F.col(vector).isNotNull())
     schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("neighbour", rows.schema[key].dataType), T.StructField("cosine", T.DoubleType())])
 
@@ -52,12 +55,13 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 5, block: int = BLO
     held: list[tuple] = []
 
     def flush() -> None:
-        nonlocal out, held
+        nonlocal held
         m = np.array([v for _, v in held], float)
         size = np.linalg.norm(m, axis=1)
         keep = size > 0
         found = rows.select(key, vector).mapInPandas(best([n for (n, _), x in zip(held, keep) if x], m[keep] / size[keep, None]), schema)
-        out = found if out is None else out.unionByName(found)
+        ranked = found.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("cosine"), "neighbour")))
+        ranked.where(F.col("rank") <= k).write.mode("append").parquet(path)
         held = []
 
     for r in asked.toLocalIterator(prefetchPartitions=False):
@@ -66,10 +70,9 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 5, block: int = BLO
             flush()
     if held:
         flush()
-    if out is None:
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    ranked = out.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("cosine"), "neighbour")))
-    return ranked.where(F.col("rank") <= k)
+    told = spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
+    told.write.mode("append").parquet(path)
+    return spark.read.schema(told.schema).parquet(path)
 
 
 def _few(s: np.ndarray, o: np.ndarray, k: int) -> np.ndarray:

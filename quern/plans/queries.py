@@ -119,8 +119,8 @@ def _scored(s, d):
     return c.withColumns({"score": (1 + n % 9 / 2.0), "confused": F.when(n % 7 > 0, n % 7 < 3)})
 
 
-def _matched(s, d, least=1):
-    return insights.matches(_topic_words(s, d), _scored(s, d), "key", X.word_set(F.col("text")), least)
+def _matched(s, d, least=1, topic_words=None):
+    return insights.matches(topic_words or _topic_words(s, d), _scored(s, d), "key", X.word_set(F.col("text")), least)
 
 
 def q14_topic_scores(s, d):
@@ -129,7 +129,8 @@ def q14_topic_scores(s, d):
 
 
 def q15_topic_averages(s, d):
-    told = insights.topic_averages(_topic_words(s, d), _matched(s, d, 2), _scored(s, d), "key")
+    t = _topic_words(s, d)
+    told = insights.topic_averages(t, _matched(s, d, 2, t), _scored(s, d), "key")
     return told.select("topic", "average_score", "sentiment", "sample_size", F.array_join("matched", " ").alias("matched"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, imatch, language, ngramjoin, secretscan, sentencepieces, tokenshards, toxicity, urlblocks, warc
+from quern.llm import decontaminate, divergence, imatch, language, ngramjoin, rankedsearch, secretscan, sentencepieces, tokenshards, toxicity, urlblocks, warc, wordbpe
 
 QUERIES = {
     "op1_url_redirects": urlblocks.op1_url_redirects,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_shards": tokenshards.op8_token_shards,
     "op9_warc": warc.op9_warc,
     "op10_ngram_join": ngramjoin.op10_ngram_join,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_ranked_search": rankedsearch.op12_ranked_search,
+    "op13_word_bpe": wordbpe.op13_word_bpe,
     "ledger_increments": secretscan.ledger_increments,
     "redirect_components": urlblocks.redirect_components,
 }
@@ -23,6 +26,8 @@ ORACLES: dict[str, str] = {
     "op1_url_redirects": urlblocks.ORACLE,
     "op3_secret_scan": secretscan.ORACLE,
     "op9_warc": warc.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+    "op12_ranked_search": rankedsearch.ORACLE,
     "ledger_increments": secretscan.INCREMENTS_ORACLE,
     "redirect_components": urlblocks.CHAINS_ORACLE,
 }

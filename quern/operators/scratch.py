@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +29,28 @@ def settled(df: DataFrame, name: str = "table", old: str | None = None) -> tuple
     if old:
         remove(spark, old)
     return spark.read.schema(df.schema).parquet(path), path
+
+
+class Tables:
+    """Tables of one run of an operator, in a folder of their own that goes when the run is done."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder, self.made = spark, f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}", 0
+
+    def table(self, df: DataFrame, name: str = "table") -> DataFrame:
+        """``df`` written and read again."""
+        self.made += 1
+        path = f"{self.folder}/{self.made:04d}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def counted(self, df: DataFrame, condition: str, name: str = "table") -> tuple[DataFrame, int]:
+        """The same, and how many rows meet ``condition``, counted as they are written."""
+        seen = Observation()
+        return self.table(df.observe(seen, F.count_if(F.expr(condition)).alias("n")), name), seen.get["n"]
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        remove(self.spark, self.folder)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from quern import schemas as S
 from quern.functions import quality as Q
 from quern.functions import text as X
-from quern.operators import audit, evaluation, insights, process, report, segments, topics
+from quern.operators import audit, density, descent, evaluation, insights, process, report, segments, topics
 from quern.operators import memory as M
-from quern.operators.scratch import settled
+from quern.operators.scratch import Tables, settled
 from quern.operators.vectors import nearest
 from quern.sources import transcripts
 from quern.streaming import incremental
@@ -226,6 +226,23 @@ def q31_clusters(s, d):
     return _modelled(s, d, "cluster", 8)
 
 
+def q98_neighbours(s, d):
+    """Every vector's five nearest, without comparing all with all."""
+    with Tables(s, "q98") as tables:
+        found = descent.neighbours(table(s, d, "embeddings"), "vec_id", "embedding", 5, tables)
+        return settled(found.select(F.col("node").alias("vec_id"), "neighbour", "rank", F.round(1 - F.col("distance"), 6).alias("cosine")), "neighbours")[0]
+
+
+def q99_density(s, d):
+    """Density clusters of all vectors, and how many of each table label they hold."""
+    rows = table(s, d, "embeddings")
+    with Tables(s, "q99") as tables:
+        near = tables.table(descent.neighbours(rows, "vec_id", "embedding", 10, tables, "euclid"), "near")
+        found = density.clusters(density.reachability(near, 5), 10, tables)
+        told = rows.join(found.withColumnRenamed("label", "cluster"), rows["vec_id"] == found["node"], "left").groupBy(F.coalesce("cluster", F.lit(-1)).alias("cluster"), "label")
+        return settled(told.agg(F.count(F.lit(1)).alias("n")), "density")[0]
+
+
 def q32_assertions(s, d):
     docs, labels, c = _docs(s, d), table(s, d, "labels"), table(s, d, "conversations")
     keys = docs.agg((F.count(F.lit(1)) == F.count_distinct("doc_id")).alias("x"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     return (path or "/tmp/checkpoints").rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers of other machines import this package: once per session, as a zip file that the driver serves."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quern_shipped", False) or sc.master.startswith("local["):  # workers of this process inherit its path
+        return
+    root, path = Path(__file__).resolve().parents[2], os.path.join(tempfile.mkdtemp(), "quern.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "quern").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(path)
+    sc._quern_shipped = True
+
+
 def remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -35,6 +52,7 @@ class Tables:
     """Tables of one run of an operator, in a folder of their own that goes when the run is done."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        ship(spark)
         self.spark, self.folder, self.made = spark, f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}", 0
 
     def table(self, df: DataFrame, name: str = "table") -> DataFrame:

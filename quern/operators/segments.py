@@ -64,16 +64,21 @@ def chunks(sentences: Column, most: int = S.CHUNK_WORDS) -> Column:
     return F.aggregate(tidy, start, step, end)
 
 
-def within_tokens(parts: Column, count_tokens, limit: int = S.CHUNK_TOKENS, rounds: int = 10) -> Column:
-    """Parts halved by words until each has at most ``limit`` tokens by ``count_tokens``; one word is never cut. ``rounds`` halvings suffice for 2**rounds words over."""
+def within_tokens(parts: Column, count_tokens, limit: int = S.CHUNK_TOKENS) -> Column:
+    """Parts halved by words until each has at most ``limit`` tokens by ``count_tokens``; one word is never cut.
+
+    A part of n words needs at most log2(n), rounded up, halvings, and parts that fit need none.
+    """
 
     def halve(part: Column) -> Column:
-        cut = lambda w: F.when((count_tokens(part) > limit) & (F.size(w) > 1), F.array(F.array_join(F.slice(w, F.lit(1), F.floor(F.size(w) / 2).cast("int")), " "), F.array_join(F.slice(w, F.floor(F.size(w) / 2).cast("int") + 1, F.size(w)), " "))).otherwise(F.array(part))
+        half = lambda w: F.floor(F.size(w) / 2).cast("int")
+        cut = lambda w: F.when((count_tokens(part) > limit) & (F.size(w) > 1), F.array(F.array_join(F.slice(w, F.lit(1), half(w)), " "), F.array_join(F.slice(w, half(w) + 1, F.size(w)), " "))).otherwise(F.array(part))
         return X.let(X.words(part), cut)
 
-    for _ in range(rounds):
-        parts = F.flatten(F.transform(parts, halve))
-    return parts
+    words = F.coalesce(F.array_max(F.transform(F.filter(parts, lambda p: count_tokens(p) > limit), lambda p: F.size(X.words(p)))), F.lit(1))
+    rounds = F.ceil(F.log2(F.greatest(words, F.lit(1)))).cast("int")
+    each = F.filter(F.sequence(F.lit(0), rounds), lambda r: r > 0)
+    return F.aggregate(each, parts, lambda now, _: F.flatten(F.transform(now, halve)))
 
 
 def explode_sentences(responses: DataFrame, sentences: Column) -> DataFrame:

@@ -111,6 +111,15 @@ SELECT count(*) AS documents, sum(length(t))::BIGINT AS chars FROM m WHERE trim(
 WITH {_RUN} SELECT 'input' AS stage, count(DISTINCT interview_id) AS interviews, count(*) AS responses, count(DISTINCT response_id) AS keys, count(*) FILTER (blank) AS empty FROM routed
 UNION ALL SELECT 'responses', (SELECT count(DISTINCT interview_id) FROM routed), (SELECT count(*) FROM routed), (SELECT count(*) FROM routed), (SELECT count(*) FROM routed) - (SELECT count(*) FROM resps WHERE trim(coalesce(text_es, '')) <> '')
 UNION ALL SELECT 'bridge', count(DISTINCT interview_id), count(*), count(*), 0 FROM resps""",
+    "q100_model_batches": """
+WITH c AS (SELECT *, conv_id // 64 AS lane, CASE WHEN length(text) % 3 = 0 THEN 'ca' ELSE 'en' END AS lang FROM conversations WHERE trim(text) <> ''),
+p AS (SELECT *, (row_number() OVER (PARTITION BY lane, lang ORDER BY length(text), conv_id * 1000 + turn) - 1) // 3 AS b FROM c),
+bad AS (SELECT lane, lang, b, bool_or(length(text) % 4 = 0) AS bad FROM p GROUP BY 1, 2, 3),
+n AS (SELECT *, row_number() OVER w - 1 AS number, bad AND coalesce(lag(bad) OVER w, false) AND coalesce(lag(bad, 2) OVER w, false) AS third FROM bad WINDOW w AS (PARTITION BY lane ORDER BY lang, b)),
+stop AS (SELECT lane, min(number) AS last FROM n WHERE third GROUP BY 1),
+told AS (SELECT p.*, n.number, n.bad, coalesce(n.number > stop.last, false) AS late FROM p JOIN n USING (lane, lang, b) LEFT JOIN stop USING (lane))
+SELECT conv_id, turn, CASE WHEN late THEN 'ABORTED' WHEN bad THEN 'FAILED' ELSE 'TRANSLATED' END AS model_status, CASE WHEN NOT late THEN number END::INT AS batch,
+CASE WHEN late THEN 0 WHEN bad THEN 2 ELSE 1 END::INT AS attempts, CASE WHEN NOT late AND NOT bad THEN sha256('» ' || text) END AS sha256 FROM told""",
     "q76_run_assertions": """
 SELECT name, true AS passed FROM (VALUES ('sentence_statuses_add_up'), ('input_equals_responses_and_nothing_else'), ('topic_input_has_a_text_for_each_document'), ('no_duplicate_keys_in_topic_input'),
 ('no_duplicate_questions_in_an_interview'), ('full_responses_match_topic_input'), ('topic_input_drops_exactly_the_empty_responses'), ('no_responses_lost_before_sentiment'), ('no_sentences_without_a_response'), ('copies_of_files_are_identical')) v(name)

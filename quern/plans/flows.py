@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quern import schemas as S
 from quern.functions import text as X
 from quern.models import CopyTranslator
-from quern.operators import audit, evaluation, insights, language, memory, process, report, segments, sentiment, topics, translate
+from quern.operators import audit, batched, evaluation, insights, language, memory, process, report, segments, sentiment, topics, translate
 from quern.operators.scratch import settled
 from quern.sources import transcripts
 
@@ -245,6 +245,28 @@ def q75_stages(s, d):
     return audit.stage_table({"input": (_corpus(s, d), "original_text"), "responses": (done.responses, "text_es"), "bridge": (process.bridge(done.responses, done.sentences), None)})
 
 
+class InBatches:
+    """Marks the texts of a batch; a batch with a text whose length is a multiple of four fails."""
+
+    batch_size, token_limit = 3, 1_000_000
+
+    def count_tokens(self, text: str, source: str) -> int:
+        return len(text.split())
+
+    def translate_batch(self, texts: list[str], source: str, target: str) -> list[str]:
+        if any(len(t) % 4 == 0 for t in texts):
+            raise RuntimeError("no answer")
+        return [f"» {t}" for t in texts]
+
+
+def q100_model_batches(s, d):
+    """Every turn through the batched model: its batch, tries and outcome, up to where a lane of 64 conversations stops."""
+    c = _table(s, d, "conversations").where(~X.is_blank(F.col("text")))
+    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("sentence_id"), "conv_id", "turn", "text", F.when(F.length("text") % 3 == 0, "ca").otherwise("en").alias("source_language"))
+    told = batched.translate(rows, InBatches(), "text", lane=F.floor(F.col("conv_id") / 64), stop=False)
+    return told.select("conv_id", "turn", "model_status", "batch", "attempts", F.sha2("translated_text", 256).alias("sha256"))
+
+
 def q76_run_assertions(s, d):
     done = _run(s, d)
     responses = _settle(done.responses, "responses")

@@ -91,7 +91,7 @@ def run_corpus(
     valid = bool(told.first()["valid"])
     if valid:
         settle(process.bridge(responses, sentences), "bridge")
-        settle(transcripts.topic_documents(responses), "topic_input")
+        transcripts.write_json(transcripts.topic_stats(settle(transcripts.topic_documents(responses), "topic_input")), f"{out}/topic_stats")
         digests = {"input_sha256": corpus_digest(rows), "responses_sha256": corpus_digest(responses.select("interview_id", "question_id", F.col("text_es").alias("original_text")))}
         head = told.select(F.lit(BRIDGE_VERSION).alias("schema_version"), "valid", *(F.lit(v).alias(k) for k, v in digests.items()), F.current_timestamp().alias("created_at"))
         transcripts.write_json(head, f"{out}/manifest")
@@ -127,8 +127,12 @@ def freeze_corpus(spark: SparkSession, corpus: str, out: str, detector: Language
 
 def audit_run(spark: SparkSession, corpus: str, run: str, out: str) -> bool:
     """The assertions over a run's tables, as JSON and Markdown; whether all hold."""
-    rows, responses, sentences = load_corpus(spark, corpus), spark.read.parquet(f"{run}/responses"), spark.read.parquet(f"{run}/sentences")
-    told = audit.run_assertions(rows, responses, sentences, spark.read.parquet(f"{run}/topic_input"), spark.read.parquet(f"{run}/bridge"))
+    rows, responses = load_corpus(spark, corpus), spark.read.parquet(f"{run}/responses")
+    documents = spark.read.parquet(f"{run}/topic_input")
+    stats = spark.read.schema("total_documents long").json(f"{run}/topic_stats")
+    raw = rows if corpus == "smoke" or corpus.endswith(".json") else transcripts.parse_list(transcripts.read_transcripts(spark, corpus))
+    usable = responses.where("status = 'OK'").withColumn("text", F.col("topic_text_es_clean"))
+    told = audit.run_assertions(audit.Stages(raw, usable, audit.topic_keys(documents), stats, None, spark.read.parquet(f"{run}/bridge"), None, None)).drop("run")
     stages = audit.stage_table({"input": (rows, "original_text"), "responses": (responses, "text_es"), "topic_input": (audit.topic_keys(spark.read.parquet(f"{run}/topic_input")), None)})
     transcripts.write_json(told, f"{out}/assertions")
     transcripts.write_json(stages, f"{out}/stages")

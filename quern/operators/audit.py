@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -86,29 +87,65 @@ def topic_keys(documents: DataFrame) -> DataFrame:
     return documents.select("metadata.interview_id", "metadata.question_id")
 
 
-def run_assertions(rows: DataFrame, responses: DataFrame, sentences: DataFrame, documents: DataFrame, bridge: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """The ten assertions over a run: (name, passed).
-
-    ``rows``: the input; ``documents``: the topic-model input; ``bridge``: the sentiment stage's input; ``files``: as
-    ``transcripts.duplicate_files`` gives it, if files are kept twice.
-    """
-    none = lambda df: df.agg((F.count(F.lit(1)) == 0).alias("x"))
-    full = responses.where(F.coalesce(F.col("topic_text_es_clean"), F.lit("")) != "")
-    blank = responses.where(X.is_blank(F.col("topic_text_es_clean"))).select(*KEYS)
-    documented = topic_keys(documents)
-    lost = responses.select(*KEYS).join(documented, KEYS, "left_anti")
-    one = lambda df, name: df.agg(F.count_distinct(F.struct(*KEYS)).alias(name))
-    parts = sentences.agg((F.count_if(F.col("sentence_status") == "FAILED") + F.count_if(F.col("sentence_status") != "FAILED") == F.count(F.lit(1))).alias("x"))
-    ok = responses.where("status = 'OK'").select(*KEYS)
-    return assertions({
-        "sentence_statuses_add_up": parts,
-        "input_equals_responses_and_nothing_else": one(rows, "a").crossJoin(one(responses, "b")).select((F.col("a") == F.col("b")).alias("x")),
-        "topic_input_has_a_text_for_each_document": holds(documents, ~X.is_blank(F.col("text"))),
-        "no_duplicate_keys_in_topic_input": none(duplicates(documented, *KEYS)),
-        "no_duplicate_questions_in_an_interview": none(duplicates(rows, *KEYS)),
-        "full_responses_match_topic_input": one(full, "a").crossJoin(one(documented, "b")).select((F.col("a") == F.col("b")).alias("x")),
-        "topic_input_drops_exactly_the_empty_responses": none(lost.join(blank, KEYS, "left_anti").unionByName(blank.join(lost, KEYS, "left_anti"))),
-        "no_responses_lost_before_sentiment": none(ok.join(bridge, KEYS, "left_anti")),
-        "no_sentences_without_a_response": none(sentences.join(responses, "response_id", "left_anti")),
-        "copies_of_files_are_identical": holds(files.where("first_exists and second_exists"), F.col("byte_identical")) if files is not None else rows.sparkSession.range(1).select(F.lit(True).alias("x")),
-    })
+#: The ten assertions over the stages of a run.
+ASSERTIONS = (
+    "sentiment_parts_make_the_whole", "assigned_and_outliers_make_the_documents", "topic_input_counts_as_its_stats_say", "no_duplicate_keys_in_topic_input",
+    "no_repeated_questions_in_raw_transcripts", "full_responses_match_topic_input", "topic_input_drops_exactly_the_empty_responses",
+    "no_responses_lost_before_sentiment", "no_responses_lost_by_sentiment", "copies_of_files_are_identical",
+)
+
+
+@dataclass
+class Stages:
+    """The tables of one run, or of several that a column ``run`` tells apart. Without a table, what needs it holds."""
+
+    raw: DataFrame  # interview_id, question_id: a row for each question found in a transcript
+    processed: DataFrame  # interview_id, question_id, text
+    documents: DataFrame  # interview_id, question_id
+    stats: DataFrame  # total_documents
+    topic_counts: DataFrame | None  # topic (-1: outliers), count
+    sentiment_input: DataFrame  # interview_id, question_id
+    sentiment_results: DataFrame | None  # interview_id, question_id, confusion
+    files: DataFrame | None  # first_exists, second_exists, byte_identical
+
+
+def run_assertions(stages: Stages) -> DataFrame:
+    """(run, name, passed) of every run that has processed responses; ``run`` is null where the tables have none."""
+    of = lambda df: df if "run" in df.columns else df.withColumn("run", F.lit(None).cast("int"))
+    by = lambda df: of(df).groupBy("run")
+    keys = lambda df: of(df).select("run", *KEYS)
+    count, n_keys = F.count(F.lit(1)), F.count_distinct(F.struct(*KEYS))
+    lost = lambda a, b: minus(keys(a), keys(b))
+
+    def minus(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Keys of ``a`` that ``b`` lacks; nulls are equal."""
+        told = a.withColumn("_in", F.lit(0)).unionByName(b.withColumn("_in", F.lit(1)))
+        return told.groupBy("run", *KEYS).agg(F.max("_in").alias("_in")).where("_in = 0").drop("_in")
+
+    def unequal(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Runs for which two tables (run, n) differ; a run that one lacks has 0 there."""
+        return a.unionByName(b.withColumn("n", -F.col("n"))).groupBy("run").agg(F.sum("n").alias("n")).where("n <> 0")
+
+    processed, documents = of(stages.processed), of(stages.documents)
+    empty = processed.where(X.is_blank(F.col("text")))
+    faults = {name: None for name in ASSERTIONS}
+    if stages.sentiment_results is not None:
+        status = F.col("confusion.status")
+        told = F.count_if(status == "CONFUSED") + F.count_if(status == "NOT_CONFUSED") + F.count_if(F.col("confusion").isNull())
+        faults[ASSERTIONS[0]] = by(stages.sentiment_results).agg((count - told).alias("n")).where("n <> 0")
+        faults[ASSERTIONS[8]] = lost(stages.sentiment_input, stages.sentiment_results)
+    if stages.topic_counts is not None:
+        faults[ASSERTIONS[1]] = unequal(by(stages.topic_counts).agg(F.sum("count").alias("n")), by(documents).agg(count.alias("n")))
+    faults[ASSERTIONS[2]] = unequal(by(stages.stats).agg(F.sum("total_documents").alias("n")), by(documents).agg(count.alias("n")))
+    faults[ASSERTIONS[3]] = duplicates(documents, "run", *KEYS)
+    faults[ASSERTIONS[4]] = duplicates(of(stages.raw), "run", *KEYS)
+    faults[ASSERTIONS[5]] = unequal(processed.groupBy("run").agg(F.count_if(~X.is_blank(F.col("text"))).alias("n")), documents.groupBy("run").agg(n_keys.alias("n")))
+    dropped = lost(processed, documents)
+    faults[ASSERTIONS[6]] = minus(dropped, keys(empty)).unionByName(minus(keys(empty), dropped))
+    faults[ASSERTIONS[7]] = lost(processed, stages.sentiment_input)
+    if stages.files is not None:
+        faults[ASSERTIONS[9]] = of(stages.files).where("first_exists and second_exists and byte_identical is not true")
+    found = reduce(DataFrame.unionByName, (df.select("run", F.lit(name).alias("name")) for name, df in faults.items() if df is not None)).groupBy("run", "name").agg(F.lit(True).alias("_fault"))
+    asked = processed.groupBy("run").agg(count.alias("_n")).select("run", F.explode(F.array(*map(F.lit, ASSERTIONS))).alias("name"))
+    met = (asked["run"].eqNullSafe(found["run"])) & (asked["name"] == found["name"])
+    return asked.join(found, met, "left").select(asked["run"], asked["name"], F.col("_fault").isNull().alias("passed"))

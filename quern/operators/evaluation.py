@@ -99,6 +99,18 @@ def preconditions(topics: DataFrame, documents: int, k: int, expected: int) -> N
         raise ValueError(f"{documents} documents where {expected} are needed")
 
 
+def stored_problems(results: DataFrame, documents: DataFrame, k: int, algorithms: tuple[str, ...]) -> DataFrame:
+    """(algorithm, problem) of stored results (``S.TOPIC_RESULT``): none stored, not ``k`` topics, or made of another number of documents.
+
+    A result that doesn't tell its number of documents passes that test.
+    """
+    asked = results.sparkSession.createDataFrame([(a,) for a in algorithms], "algorithm string")
+    told = results.select("algorithm", F.size(F.map_keys("topics")).alias("n"), F.col("metadata.document_count").alias("made_of"), F.lit(True).alias("stored"))
+    met = asked.join(told, "algorithm", "left").crossJoin(documents.agg(F.count(F.lit(1)).alias("documents")))  # a row an algorithm
+    problem = F.when(F.col("stored").isNull(), "missing").when(F.coalesce("n", F.lit(0)) != k, "topics").when(F.col("made_of") != F.col("documents"), "documents")
+    return met.select("algorithm", problem.alias("problem")).where("problem is not null")
+
+
 def seed_stability(documents: DataFrame, algorithm: str, k: int, seeds: tuple[int, ...] = S.EVALUATION_SEEDS, n_words: int = S.EVALUATION_TOP, seed: int = S.TOPIC_SEED) -> DataFrame:
     """(seed, topics, stability): a model's topics under other seeds, matched one to one with those under ``seed``."""
     from quern.operators import topics as T
@@ -114,10 +126,12 @@ def compare(documents: DataFrame, k: int, algorithms: tuple[str, ...], seeds: tu
     from quern.operators import topics as T
 
     rows, tokens = [], X.topic_tokens(X.topic_text(F.col("text")))
+    usable = T.prepared(documents).where(F.size(T.without(F.col("tokens"), list(T.STOPWORDS))) > 0).count()
     for algorithm in algorithms:
-        found = top_words(T.extract_topics(documents, algorithm, k).topics).persist()
-        if algorithm != "cluster":
-            preconditions(found, documents.count(), k, documents.count())
+        made = T.extract_topics(documents, algorithm, k)
+        found = top_words(made.topics).persist()
+        if algorithm != "cluster":  # the documents that the model assigned, and those that it was given words of
+            preconditions(found, made.documents.count(), k, usable)
         mean = lambda df, c: df.agg(F.avg(c)).first()[0]
         told = spread(seed_stability(documents, algorithm, k, seeds)).first()
         rows.append((algorithm, found.count(), diversity(found).first()[0], mean(coherence_v(found, documents, tokens), "c_v"), mean(coherence(found, documents, tokens, 10), "c_npmi"), told["mean"], told["sd"]))

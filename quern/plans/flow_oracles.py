@@ -121,9 +121,28 @@ told AS (SELECT p.*, n.number, n.bad, coalesce(n.number > stop.last, false) AS l
 SELECT conv_id, turn, CASE WHEN late THEN 'ABORTED' WHEN bad THEN 'FAILED' ELSE 'TRANSLATED' END AS model_status, CASE WHEN NOT late THEN number END::INT AS batch,
 CASE WHEN late THEN 0 WHEN bad THEN 2 ELSE 1 END::INT AS attempts, CASE WHEN NOT late AND NOT bad THEN sha256('» ' || text) END AS sha256 FROM told""",
     "q76_run_assertions": """
-SELECT name, true AS passed FROM (VALUES ('sentence_statuses_add_up'), ('input_equals_responses_and_nothing_else'), ('topic_input_has_a_text_for_each_document'), ('no_duplicate_keys_in_topic_input'),
-('no_duplicate_questions_in_an_interview'), ('full_responses_match_topic_input'), ('topic_input_drops_exactly_the_empty_responses'), ('no_responses_lost_before_sentiment'), ('no_sentences_without_a_response'), ('copies_of_files_are_identical')) v(name)
-WHERE (SELECT count(*) FROM (SELECT conv_id, turn FROM conversations GROUP BY 1, 2 HAVING count(*) > 1)) = 0""",
+WITH c AS (SELECT run, conv_id, conv_id || ':' || turn AS key, length(text) AS n, length(text) % 7 > 0 AS full_text, conv_id % 5 = 0 AND turn = 0 AS odd FROM conversations, range(0, 11) r(run)),
+raw AS (SELECT run, key FROM c UNION ALL SELECT run, key FROM c WHERE run = 5 AND odd),
+kept AS (SELECT * FROM c WHERE CASE WHEN run = 7 AND odd THEN NOT full_text ELSE full_text END),
+docs AS (SELECT run, key, conv_id FROM kept UNION ALL SELECT run, key, conv_id FROM kept WHERE run = 4 AND odd UNION ALL SELECT run, conv_id || ':99', conv_id FROM c WHERE run = 6 AND odd),
+per AS (SELECT run, count(*) AS n, count(DISTINCT key) AS keys, count(*) + (run = 3)::INT AS total, count(*) FILTER (run <> 2 OR conv_id % 4 > 0) AS assigned FROM docs GROUP BY run),
+asked AS (SELECT * FROM c WHERE NOT (run = 8 AND odd)),
+results AS (SELECT *, CASE WHEN run = 1 AND odd THEN 'UNKNOWN' WHEN n % 3 = 0 THEN 'CONFUSED' WHEN n % 3 = 1 THEN 'NOT_CONFUSED' END AS status FROM asked WHERE NOT (run = 9 AND odd)),
+lost AS (SELECT run, key FROM c WHERE (run, key) NOT IN (SELECT (run, key) FROM docs)), blank AS (SELECT run, key FROM c WHERE NOT full_text),
+faults AS (
+SELECT run, 'sentiment_parts_make_the_whole' AS name FROM results GROUP BY run HAVING count(*) <> count(*) FILTER (status IN ('CONFUSED', 'NOT_CONFUSED') OR status IS NULL)
+UNION ALL SELECT run, 'assigned_and_outliers_make_the_documents' FROM per WHERE assigned <> n
+UNION ALL SELECT run, 'topic_input_counts_as_its_stats_say' FROM per WHERE total <> n
+UNION ALL SELECT run, 'no_duplicate_keys_in_topic_input' FROM per WHERE keys <> n
+UNION ALL SELECT run, 'no_repeated_questions_in_raw_transcripts' FROM raw GROUP BY run HAVING count(*) <> count(DISTINCT key)
+UNION ALL SELECT run, 'full_responses_match_topic_input' FROM per JOIN (SELECT run, count(*) AS full_n FROM c WHERE full_text GROUP BY run) USING (run) WHERE keys <> full_n
+UNION ALL SELECT run, 'topic_input_drops_exactly_the_empty_responses' FROM ((SELECT * FROM lost EXCEPT SELECT * FROM blank) UNION (SELECT * FROM blank EXCEPT SELECT * FROM lost))
+UNION ALL SELECT run, 'no_responses_lost_before_sentiment' FROM (SELECT run, key FROM c EXCEPT SELECT run, key FROM asked)
+UNION ALL SELECT run, 'no_responses_lost_by_sentiment' FROM (SELECT run, key FROM asked EXCEPT SELECT run, key FROM results)
+UNION ALL SELECT run, 'copies_of_files_are_identical' FROM c WHERE n % 2 = 0 AND run = 10 AND odd),
+names(name) AS (VALUES ('sentiment_parts_make_the_whole'), ('assigned_and_outliers_make_the_documents'), ('topic_input_counts_as_its_stats_say'), ('no_duplicate_keys_in_topic_input'), ('no_repeated_questions_in_raw_transcripts'),
+('full_responses_match_topic_input'), ('topic_input_drops_exactly_the_empty_responses'), ('no_responses_lost_before_sentiment'), ('no_responses_lost_by_sentiment'), ('copies_of_files_are_identical'))
+SELECT run::INT AS run, name, (run, name) NOT IN (SELECT (run, name) FROM faults) AS passed FROM (SELECT DISTINCT run FROM c), names""",
     "q77_sentiment": f"""
 WITH {_RATED} SELECT CASE score WHEN 1 THEN 'VERY_NEGATIVE' WHEN 2 THEN 'NEGATIVE' WHEN 4 THEN 'POSITIVE' WHEN 5 THEN 'VERY_POSITIVE' ELSE 'NEUTRAL' END AS sentiment, score, status, count(*) AS n FROM rated GROUP BY 1, 2, 3""",
     "q78_sentiment_by_question": f"WITH {_RATED} SELECT question_id, round(avg(score), 6) AS score, round(100.0 * count(*) FILTER (status = 'CONFUSED') / count(*), 6)::DOUBLE AS confusion_percentage FROM rated GROUP BY 1",

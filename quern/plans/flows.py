@@ -268,9 +268,22 @@ def q100_model_batches(s, d):
 
 
 def q76_run_assertions(s, d):
-    done = _run(s, d)
-    responses = _settle(done.responses, "responses")
-    return audit.run_assertions(_corpus(s, d), responses, done.sentences, transcripts.topic_documents(responses), process.bridge(responses, done.sentences))
+    """Eleven runs over all turns: in run 0 all ten assertions hold, in each other one a planted fault makes the assertion of its number false."""
+    key = (F.concat(F.lit("i"), F.col("conv_id").cast("string")).alias("interview_id"), F.col("turn").cast("string").alias("question_id"))
+    c = _table(s, d, "conversations").select("conv_id", "turn", *key, F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(10))).alias("run"))
+    full, odd, run = F.col("n") % 7 > 0, (F.col("conv_id") % 5 == 0) & (F.col("turn") == 0), F.col("run")
+    c = _settle(c.withColumns({"text": F.when(full, "x").otherwise(" "), "odd": odd}), "runs")
+    twice = lambda df, r: df.withColumn("_k", F.explode(F.when((run == r) & F.col("odd"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("_k")
+    documents = c.where(F.when(run == 7, ~F.col("odd") & full | F.col("odd") & ~full).otherwise(full))
+    extra = c.where((run == 6) & F.col("odd")).withColumn("question_id", F.lit("99"))
+    documents = twice(documents, 4).unionByName(extra)
+    stats = documents.groupBy("run").agg((F.count(F.lit(1)) + (run == 3).cast("int")).alias("total_documents"))
+    counts = documents.groupBy("run", (F.col("conv_id") % 4 - 1).alias("topic")).agg(F.count(F.lit(1)).alias("count")).where((run != 2) | (F.col("topic") >= 0))
+    asked = c.where((run != 8) | ~F.col("odd"))
+    status = F.when((run == 1) & F.col("odd"), "UNKNOWN").when(F.col("n") % 3 == 0, "CONFUSED").when(F.col("n") % 3 == 1, "NOT_CONFUSED")
+    results = asked.where((run != 9) | ~F.col("odd")).withColumn("confusion", F.when(status.isNotNull(), F.struct(status.alias("status"))))
+    files = c.select("run", F.lit(True).alias("first_exists"), (F.col("n") % 2 == 0).alias("second_exists"), ((F.col("n") % 2 == 0) & ((run != 10) | ~F.col("odd"))).alias("byte_identical"))
+    return audit.run_assertions(audit.Stages(twice(c, 5), c, documents, stats, counts, asked, results, files))
 
 
 def _rated(s, d) -> DataFrame:

@@ -84,6 +84,11 @@ def topic_documents(responses: DataFrame, text: str = "topic_text_es_clean") ->
     return responses.where(~X.is_blank(F.col(text))).select(F.col(text).alias("text"), F.struct("interview_id", "question_id").alias("metadata"))
 
 
+def topic_stats(documents: DataFrame) -> DataFrame:
+    """(total_documents, generated_at) of a topic-model input: one row."""
+    return documents.agg(F.count(F.lit(1)).alias("total_documents")).withColumn("generated_at", F.current_timestamp())
+
+
 def load_topic_documents(df: DataFrame) -> DataFrame:
     """The texts of a topic-model input; empty ones go, blank ones stay."""
     return df.where("text is not null and text <> ''").select("text")

@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quern import schemas as S
 from quern.models import CopyTranslator
 from quern.operators import audit, evaluation, language, memory, process, report, segments, sentiment, topics, translate, vectors
+from quern.plans import flows
 from quern.schemas import MEMORY
 from quern.sources import transcripts
 from quern.streaming import incremental
@@ -302,6 +304,18 @@ def test_evaluation(spark, tmp_path):
         evaluation.preconditions(docs, 30, 2, 30)
 
 
+def test_stored_results_are_checked(spark):
+    made = lambda name, k, n: (name, "all", "all_interviews", (n,) if n is not None else None, None, {f"Topic {i}": (["a"], [1.0], 1, "all") for i in range(k)})
+    stored = spark.createDataFrame([made("lda", 2, 3), made("nmf", 3, 3), made("svd", 2, 4), made("other", 2, None)], S.TOPIC_RESULT)
+    told = evaluation.stored_problems(stored, spark.range(3), 2, ("lda", "nmf", "svd", "other", "cluster")).collect()
+    assert sorted(map(tuple, told)) == [("cluster", "missing"), ("nmf", "topics"), ("svd", "documents")]
+
+
+def test_each_planted_fault_is_told(spark):
+    told = flows.q76_run_assertions(spark, "/root/testdata/sf0.001").collect()
+    assert len(told) == 110 and {(r.run, audit.ASSERTIONS.index(r.name) + 1) for r in told if not r.passed} - {(7, 6)} == {(k, k) for k in range(1, 11)}
+
+
 def test_key_difference(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(2,), (3,), (4,)], "k int")
     got = {r.side: (r.n, r.first) for r in report.key_difference(a, b, ["k"]).collect()}

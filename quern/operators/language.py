@@ -11,9 +11,12 @@ from quern.models import LanguageDetector, ProfileDetector
 
 
 def detected(responses: DataFrame, detector: LanguageDetector | None = None, text: str = "original_text") -> DataFrame:
-    """``responses`` with long_enough, and the detector's lang and confidence where it is."""
-    found = (detector or ProfileDetector()).detect(F.col(text))
+    """``responses`` with long_enough, and the detector's lang and confidence where it is. A detector may take whole tables (``detect_rows``)."""
     long = F.coalesce(X.long_enough(F.col(text)), F.lit(False))
+    if hasattr(detector, "detect_rows"):
+        told = detector.detect_rows(responses.withColumn("long_enough", long), text)
+        return told.withColumns({c: F.when(F.col("long_enough"), F.col(c)) for c in ("detected_lang", "detected_confidence")})
+    found = (detector or ProfileDetector()).detect(F.col(text))
     return responses.withColumn("long_enough", long).withColumn("_d", F.when(F.col("long_enough"), found)).withColumns({"detected_lang": F.col("_d.lang"), "detected_confidence": F.col("_d.confidence")}).drop("_d")
 
 

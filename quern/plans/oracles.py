@@ -135,6 +135,18 @@ WITH t AS (SELECT source, doc_id, unnest({_tokens('text')}) AS term FROM documen
 tf AS (SELECT source, doc_id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 w AS (SELECT source AS topic, term AS word, round(sum(tf * (ln((1.0 + n)::DOUBLE / (1.0 + df)::DOUBLE) + 1.0)), 4) AS score FROM tf JOIN df USING (term), n WHERE df >= 2 AND df <= 0.85 * n GROUP BY 1, 2)
 SELECT topic, r::INT AS rank, word, score FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, word) AS r FROM w) WHERE r <= 10""",
+    "q101_trained_languages": """
+WITH t AS (SELECT row_number() OVER () AS rn, doc_id, lang, trim(regexp_replace(lower(left(text, 500)), '[^\\p{L}]+', ' ', 'g')) AS p FROM documents),
+u AS (SELECT *, ' ' || p || ' ' AS w FROM t WHERE p <> ''),
+g AS (SELECT * FROM (SELECT rn, doc_id, lang, unnest(list_concat(list_transform(range(1, length(w) + 1), lambda i: w[i:i]), list_transform(range(1, length(w)), lambda i: w[i:i+1]), list_transform(range(1, length(w) - 1), lambda i: w[i:i+2]))) AS gram FROM u) WHERE gram <> ' '),
+c AS (SELECT lang, gram, count(*) AS n FROM g WHERE lang IS NOT NULL AND doc_id % 3 <> 1 GROUP BY 1, 2),
+v AS (SELECT DISTINCT gram FROM (SELECT gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM c) WHERE r <= 400),
+cells AS (SELECT l.lang, v.gram, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT lang FROM c) l CROSS JOIN v LEFT JOIN c USING (lang, gram)),
+weights AS (SELECT lang, gram, ln((n + 1.0) / ((sum(n) OVER (PARTITION BY lang))::DOUBLE + (SELECT count(*) FROM v))) AS w FROM cells),
+sums AS (SELECT rn, w.lang, sum(w.w) AS s FROM g JOIN weights w USING (gram) GROUP BY 1, 2),
+best AS (SELECT rn, arg_max(lang, s) AS detected_lang, max(s) AS top FROM sums GROUP BY 1),
+odds AS (SELECT rn, sum(exp(s - top)) AS o FROM sums JOIN best USING (rn) GROUP BY 1)
+SELECT doc_id, detected_lang, coalesce(round(1.0 / o, 4), 0) AS confidence FROM t LEFT JOIN best USING (rn) LEFT JOIN odds USING (rn)""",
     "q24_nearest": """
 SELECT vec_id, r::INT AS rank, round(c, 4) AS cosine FROM (
   SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS r

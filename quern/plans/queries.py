@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quern import schemas as S
 from quern.functions import quality as Q
 from quern.functions import text as X
-from quern.operators import audit, density, descent, evaluation, insights, process, report, segments, topics
+from quern.operators import audit, density, descent, evaluation, insights, ngrams, process, report, segments, topics
 from quern.operators import memory as M
 from quern.operators.scratch import Tables, settled
 from quern.operators.vectors import nearest
@@ -226,6 +226,13 @@ def q31_clusters(s, d):
     return _modelled(s, d, "cluster", 8)
 
 
+def q101_trained_languages(s, d):
+    """Every document's language by profiles of two thirds of the labelled documents."""
+    docs = _docs(s, d)
+    told = ngrams.detect(docs, ngrams.trained(docs.where(F.col("doc_id") % 3 != 1)))
+    return told.select("doc_id", "detected_lang", F.round("detected_confidence", 4).alias("confidence"))
+
+
 def q98_neighbours(s, d):
     """Every vector's five nearest, without comparing all with all."""
     with Tables(s, "q98") as tables:

@@ -105,3 +105,18 @@ def test_within_tokens_fits_whatever_the_length(spark, limit):
     got = rows.select(segments.within_tokens(F.col("parts"), lambda p: F.size(F.split(p, " ")), limit).alias("p")).collect()
     assert all(len(p.split()) <= limit for r in got for p in r.p) and " ".join(got[0].p) == f"{text} a b c" and got[1].p == [] and got[2].p == ["one"]
     assert got[0].p == [x for p in (text, "a b c") for x in batched.fitting(p, lambda t: len(t.split()), limit)]
+
+
+def test_trained_languages(spark):
+    from quern.operators import language, ngrams
+
+    cat, spa = "tenim una granja petita i les vaques pasturen als camps cada dia amb els gossos", "tenemos una granja pequeña y las vacas pastan en los campos cada día con los perros"
+    known = spark.createDataFrame([(cat, "ca"), (spa, "es"), ("what", None)], "text string, lang string")
+    detector = ngrams.TrainedDetector(known)
+    rows = spark.createDataFrame([(1, f"{cat} i vaques"), (2, f"y {spa} vacas"), (3, "curt"), (4, None)], "id long, original_text string")
+    told = {r.id: r.detected_lang for r in language.detected(rows, detector).collect()}
+    assert told == {1: "ca", 2: "es", 3: None, 4: None}
+    plain = {r.id: (r.detected_lang, r.detected_confidence) for r in ngrams.detect(spark.createDataFrame([(1, "123 !"), (2, None), (2, ""), (3, "els gossos")], "id long, text string"), detector.model).collect()}
+    assert plain[1] == plain[2] == (None, 0.0) and plain[3][0] == "ca"
+    nothing = ngrams.trained(known.where("false"))
+    assert ngrams.detect(known, nothing).where("detected_lang is null").count() == 3

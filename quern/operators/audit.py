@@ -47,12 +47,15 @@ def recurring_phrases(sentences: DataFrame, phrase: Column, by: str = "question_
 
     (question, phrase, n_with_phrase, n_interviews, coverage), the widest first. Ties go to the first phrase in order.
     """
-    told = sentences.select(F.col(by), F.col(over), phrase.alias("phrase"))
-    short = told.where((F.col("phrase") != "") & (X.word_count(F.col("phrase")) <= S.SHORT_TOKENS))
-    spread = short.select(by, over, "phrase").distinct().groupBy(by, "phrase").agg(F.count(F.lit(1)).alias("n"))
-    best = spread.groupBy(by).agg(F.max("n").alias("n_with_phrase"), F.min_by("phrase", F.struct(-F.col("n"), "phrase")).alias("phrase"))
-    total = told.groupBy(by).agg(F.count_distinct(over).alias("n_interviews"))
-    both = best.join(total, by).withColumn("coverage", F.col("n_with_phrase") / F.col("n_interviews"))
+    # one pass: a row for each sentence's short phrase, and one without a phrase that counts the interviews
+    short = X.let(phrase, lambda p: F.when((p != "") & (X.word_count(p) <= S.SHORT_TOKENS), p))
+    told = sentences.select(by, over, F.explode(F.array(F.lit(None).cast("string"), short)).alias("phrase"))
+    spread = told.groupBy(by, over, "phrase").agg(F.lit(1).alias("_one")).groupBy(by, "phrase").agg(F.count(F.lit(1)).alias("n"), F.count(over).alias("known"))
+    named = F.col("phrase").isNotNull()
+    best = spread.groupBy(by).agg(
+        F.max(F.when(named, F.col("n"))).alias("n_with_phrase"), F.min_by("phrase", F.when(named, F.struct(-F.col("n"), "phrase"))).alias("phrase"), F.max(F.when(~named, F.col("known"))).alias("n_interviews")
+    )
+    both = best.where("n_with_phrase is not null").withColumn("coverage", F.col("n_with_phrase") / F.col("n_interviews"))
     flagged = both.where(F.col("coverage") >= S.COVERAGE)
     return flagged.orderBy(F.desc("coverage"), by).limit(most).select(by, "phrase", "n_with_phrase", "n_interviews", F.bround("coverage", 2).alias("coverage"))
 

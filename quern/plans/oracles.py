@@ -217,3 +217,8 @@ x AS (SELECT interview_id, phrase, count(*) AS n FROM p WHERE phrase <> '' AND l
 b AS (SELECT interview_id, phrase, n FROM x QUALIFY row_number() OVER (PARTITION BY interview_id ORDER BY n DESC, phrase) = 1)
 SELECT c.interview_id, responses, sentences, phrase, n AS n_with_phrase FROM c LEFT JOIN b USING (interview_id)""",
 }
+
+#: As q41, on documents with planted ellipses.
+ORACLES["q102_planted_continuations"] = ORACLES["q41_document_continuations"].replace(
+    " FROM documents)", " FROM (SELECT doc_id, source, CASE doc_id % 4 WHEN 0 THEN replace(lower(text), '. ', '... ') WHEN 2 THEN replace(lower(text), '. ', '… - ...') ELSE text END AS text FROM documents))", 1
+)

@@ -310,6 +310,15 @@ def q41_document_continuations(s, d):
     return merged.select("response_id", "sentence_index", X.digest(F.col("text_source")).alias("sha256"), F.size("fragments").alias("fragments"))
 
 
+def q102_planted_continuations(s, d):
+    """As q41, with sentences that trail off and go on: the points of every second document become ellipses of two kinds, its letters small."""
+    low = F.lower("text")
+    planted = F.when(F.col("doc_id") % 4 == 0, F.replace(low, F.lit(". "), F.lit("... "))).when(F.col("doc_id") % 4 == 2, F.replace(low, F.lit(". "), F.lit("… - ..."))).otherwise(F.col("text"))
+    rows = _docs(s, d).select(X.response_id(F.col("source"), F.col("doc_id").cast("string")).alias("response_id"), planted.alias("text"))
+    merged = segments.merge_continuations(segments.explode_sentences(rows, segments.split_sentences(F.col("text"))).drop("text"))
+    return merged.select("response_id", "sentence_index", X.digest(F.col("text_source")).alias("sha256"), F.size("fragments").alias("fragments"))
+
+
 def q42_document_transcripts(s, d):
     """As q33, on all documents made into transcripts: each sentence is the answer to a question of its own."""
     marked = F.transform(segments.split_sentences(F.col("text")), lambda t, i: F.concat(F.lit("-.Pregunta "), (i + 1).cast("string"), F.lit(".-\n[00:00:01.000 --> 00:00:05.000]   "), t))

@@ -10,17 +10,23 @@ from quern.functions import quality as Q
 from quern.functions import text as X
 from quern.models import CopyTranslator, Translator
 from quern.operators import memory as M
-from quern.operators import segments
+from quern.operators import batched, segments
 
 
 def translate(texts: DataFrame, memory: DataFrame, model: Translator | None = None, text: str = "text_source", version: str = S.GENERATION_VERSION, retry: bool = False) -> DataFrame:
     """``texts`` (with source_language) with translated_text, hit and fresh: the memory first, then the model, once per distinct text.
 
-    A blank translation is a failure: translated_text is null and nothing is remembered.
+    A blank translation is a failure: translated_text is null and nothing is remembered. A model that takes batches is
+    called at once (see ``batched``), under the settings of its ``for_retry()``, if it has any, on a retry.
     """
     model = model or CopyTranslator()
     asked = M.keyed(texts, text, F.col("source_language"), model.name, version)
-    new = M.misses(asked, memory).withColumn("_made", model.translate(F.col(text), F.col("source_language"), S.TARGET_LANGUAGE, retry))
+    new = M.misses(asked, memory)
+    if hasattr(model, "translate_batch"):
+        own = model.for_retry() if retry and hasattr(model, "for_retry") else model
+        new = batched.translate(new, own, text, key="source_hash").withColumnRenamed("translated_text", "_made")
+    else:
+        new = new.withColumn("_made", model.translate(F.col(text), F.col("source_language"), S.TARGET_LANGUAGE, retry))
     new = new.where(~X.is_blank(F.col("_made"))).select(*M.KEYS, F.col("_made"))
     found = M.look_up(asked, memory).join(new, M.KEYS, "left")
     kept = found.withColumn("fresh", ~F.col("hit") & F.col("_made").isNotNull()).withColumn("translated_text", F.coalesce("translated_text", "_made"))

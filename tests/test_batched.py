@@ -120,3 +120,34 @@ def test_trained_languages(spark):
     assert plain[1] == plain[2] == (None, 0.0) and plain[3][0] == "ca"
     nothing = ngrams.trained(known.where("false"))
     assert ngrams.detect(known, nothing).where("detected_lang is null").count() == 3
+
+
+class Translating(Model):
+    """A batched model for the whole flow; ``hard`` texts come out only under the retry settings."""
+
+    name, engine, engine_version = "batched", "test", "1"
+    token_limit = 1000
+
+    def __init__(self, log: Path, patient: bool = False) -> None:
+        super().__init__(log, 3)
+        self.patient = patient
+
+    def for_retry(self):
+        return Translating(Path(self.log), True)
+
+    def translate_batch(self, texts, source, target):
+        return [None if "HARD" in (t or "") and not self.patient else t for t in super().translate_batch(texts, source, target)]
+
+
+def test_the_flow_takes_a_batched_model(spark, tmp_path):
+    from quern import schemas as S
+    from quern.operators import translate
+
+    rows = spark.createDataFrame([(1, "ca", "bon dia"), (2, "ca", "bon dia"), (3, "es", "buenos días"), (4, "ca", "hard un"), (5, "ca", "mute dos")], "sentence_id long, source_language string, text_source string")
+    model = Translating(tmp_path / "calls")
+    done = translate.sentences(rows, spark.createDataFrame([], S.MEMORY), model)
+    told = {r.sentence_id: (r.text_es, r.translation_provenance) for r in done.collect()}
+    assert told == {1: ("BON DIA", "FRESH_OK"), 2: ("BON DIA", "FRESH_OK"), 3: ("buenos días", "SOURCE_ES"), 4: ("HARD UN", "RETRY_OK"), 5: (None, "FAILED")}
+    known = translate.memory_rows(done.where("made is not null").select("made.*"), model)
+    again = translate.translate(rows.where("sentence_id < 3"), known, model).collect()
+    assert [(r.hit, r.translated_text) for r in again] == [(True, "BON DIA")] * 2

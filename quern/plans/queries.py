@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quern import schemas as S
 from quern.functions import quality as Q
 from quern.functions import text as X
-from quern.operators import audit, density, descent, evaluation, insights, ngrams, process, report, segments, topics
+from quern.operators import audit, density, descent, evaluation, insights, layout, ngrams, process, report, segments, topics
 from quern.operators import memory as M
 from quern.operators.scratch import Tables, settled
 from quern.operators.vectors import nearest
@@ -240,6 +240,14 @@ def q98_neighbours(s, d):
         return settled(found.select(F.col("node").alias("vec_id"), "neighbour", "rank", F.round(1 - F.col("distance"), 6).alias("cosine")), "neighbours")[0]
 
 
+def q103_layout(s, d):
+    """Two coordinates for every vector, laid out by its neighbour graph."""
+    with Tables(s, "q103") as tables:
+        near = tables.table(descent.neighbours(table(s, d, "embeddings"), "vec_id", "embedding", 15, tables), "near")
+        told = layout.placed(near, 2, tables)
+        return settled(told.select(F.col("node").alias("vec_id"), F.round(F.get("p", F.lit(0)), 6).alias("x"), F.round(F.get("p", F.lit(1)), 6).alias("y")), "layout")[0]
+
+
 def q99_density(s, d):
     """Density clusters of all vectors, and how many of each table label they hold."""
     rows = table(s, d, "embeddings")

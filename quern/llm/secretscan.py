@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.functions.text import let
 from quern.llm.common import fresh_path, materialize, read_table
 
 #: Fixed values: (kind, pattern, group whose length counts, least length), in the order that breaks ties of start.
@@ -34,6 +35,8 @@ RULES = (
     ("hex", r"[0-9a-f]+", 0, 24),
 )
 #: A span, and the furthest end of the spans before it.
+#: Code points of a block of a text that is masked.
+BLOCK = 512
 SPANS = "array<struct<start:int,kind_no:int,end:int,covered:int>>"
 LEDGER = f"blob string, rules_version string, spans {SPANS}"
 
@@ -122,11 +125,25 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """``text`` with every span replaced by its kind in brackets; overlapping spans become one, named for the first."""
+    """``text`` with every span replaced by its kind in brackets; overlapping spans become one, named for the first.
+
+    The text is cut into blocks once and each piece is taken from its own blocks, so that
+    the work grows with the text and not with the text times its spans.
+    """
     kinds = F.array(*(F.lit(f"[{r[0]}]") for r in RULES))
-    parts = F.transform(F.filter(spans, lambda s: s["start"] >= s["covered"]), lambda s: F.concat(F.substring(text, s["covered"] + 1, s["start"] - s["covered"]), F.get(kinds, s["kind_no"])))
-    end = F.array_max(F.transform(spans, lambda s: s["end"]))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), F.substring(text, end + 1, F.length(text)))).otherwise(text)
+    block = lambda place: F.floor(place / BLOCK).cast("int")
+
+    def piece(blocks: Column, start: Column, end: Column) -> Column:
+        own = F.array_join(F.slice(blocks, block(start) + 1, block(end) - block(start) + 1), "")
+        return F.substring(own, start - block(start) * BLOCK + 1, end - start)
+
+    def joined(blocks: Column) -> Column:
+        parts = F.transform(F.filter(spans, lambda s: s["start"] >= s["covered"]), lambda s: F.concat(piece(blocks, s["covered"], s["start"]), F.get(kinds, s["kind_no"])))
+        end = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), piece(blocks, end, F.length(text)))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, let(blocks, joined)).otherwise(text)
 
 
 def ledger_increments(spark: SparkSession, sf_dir: str) -> DataFrame:

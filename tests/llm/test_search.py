@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, graph, imatch, ngramjoin, secretscan, shingles, urlblocks
+from quern.llm.common import materialize
 from tests.llm import fixtures
 
 
@@ -258,6 +259,29 @@ def test_very_many_secrets_in_one_text(spark):
     assert seconds(40_000) < 20 + 30 * seconds(4000)
 
 
+def test_masking_of_very_many_secrets(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([("b", "\U0001f600 token=abcdefgh1 " * n)], "blob string, text string")
+        told = materialize(secretscan.scan(df).crossJoin(df.select("text")), "masking")  # one row by one
+        began = time.time()
+        got = told.select(secretscan.masked(F.col("text"), F.col("spans"))).first()[0]
+        assert got == "\U0001f600 [assign] " * n
+        return time.time() - began
+
+    seconds(10)
+    assert seconds(32_000) < 3 + 30 * seconds(1000)
+
+
+@pytest.mark.parametrize("before", [0, 1, 492, 497, 498, 511, 512, 513, 1024, 2000])
+def test_masking_across_blocks(spark, before):
+    text = "\U0001f600\n" * (before // 2) + "é" * (before % 2) + " token=abcdefgh1" + "x" * 20 + " " + "ü" * before + " secret: zzzzzzzz"
+    df = spark.createDataFrame([("b", text)], "blob string, text string")
+    got = secretscan.scan(df).select(secretscan.masked(F.lit(text), F.col("spans"))).first()[0]
+    assert got == "\U0001f600\n" * (before // 2) + "é" * (before % 2) + " [assign] " + "ü" * before + " [assign]"
+
+
 def test_masking(spark):
     texts = ["😀 token=abcdefgh end", "none", "token=" + "ab12" * 8 + " token: AKIA" + "A" * 30 + " deadbeefdeadbeefdeadbeef", None]
     df = spark.createDataFrame(list(enumerate(texts)), "blob int, text string")

@@ -170,12 +170,21 @@ def q22_status_rollup(s, d):
 
 
 def q23_tfidf_terms(s, d):
-    docs = _docs(s, d).select("source", "doc_id", F.explode(X.topic_tokens(F.col("text"))).alias("term"))
-    n = _docs(s, d).count()
-    tf = docs.groupBy("source", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= S.MIN_DF) & (F.col("df") <= S.MAX_DF * n))
-    weighed = tf.join(df, "term").select(F.col("source").alias("topic"), F.col("term").alias("word"), (F.col("tf") * (F.ln((1.0 + n) / (1.0 + F.col("df"))) + 1.0)).alias("w"))
-    total = weighed.groupBy("topic", "word").agg(F.round(F.sum("w"), 4).alias("score"))
+    """A term's weights add up to its count times its idf, so counts by source are all that moves, not a row for each term of each document."""
+    docs = _docs(s, d).select("source", "doc_id", "text")
+    n = docs.count()
+    # rows that share a key are one document: their terms are told apart by key, those of all others by row
+    shared = settled(docs.groupBy("source", "doc_id").count().where("count > 1").select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.lit(True).alias("_many")), "shared")[0]
+    rows = docs.join(shared, F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").select("source", "doc_id", X.topic_tokens(F.col("text")).alias("tokens"), F.coalesce("_many", F.lit(False)).alias("many"))
+    entry = lambda ts, new: F.transform(ts, lambda t: F.struct(t.alias("term"), F.lit(new).alias("new")))
+    every = X.let(F.struct("tokens", "many"), lambda x: F.concat(entry(x["tokens"], 0), F.when(x["many"], entry(F.array().cast("array<string>"), 1)).otherwise(entry(F.array_distinct(x["tokens"]), 1))))
+    own = rows.select("source", F.inline(every))
+    again = rows.where("many").select("source", "doc_id", F.explode("tokens").alias("term")).distinct().select("source", "term", F.lit(1).alias("new"))
+    counted = own.unionByName(again).groupBy("source", "term").agg(F.count_if(F.col("new") == 0).alias("tf"), F.sum("new").alias("df"))
+    counted = settled(counted, "counted")[0]  # read twice
+    df = counted.groupBy("term").agg(F.sum("df").alias("df")).where((F.col("df") >= S.MIN_DF) & (F.col("df") <= S.MAX_DF * n))
+    score = F.round(F.col("tf") * (F.ln((1.0 + n) / (1.0 + F.col("df"))) + 1.0), 4)
+    total = counted.drop("df").join(df, "term").select(F.col("source").alias("topic"), F.col("term").alias("word"), score.alias("score"))
     return insights.top_terms(total, 10)
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quern.operators import memory, process, translate
+from quern.operators import memory, process, report, translate
 from quern.operators.scratch import settled
 from quern.plans import flows
 
@@ -34,3 +34,17 @@ def test_repeated_sentence_ids_stay_as_many(spark):
         ("s1", "bon dia a tots", looping, "FRESH_OK", False), ("s1", "adéu", "» adéu", "FRESH_OK", None), ("s1", "hola", "hola", "SOURCE_ES", None), ("s2", "?", None, "FAILED", None),
         ("s3", "a" * 10, None, "FAILED", None), ("s4", "a" * 7, "» aaaaaaa", "REPETITION_REPAIRED", True), ("s4", "a" * 14, looping, "FRESH_OK", False),
     ])
+
+
+def test_differing_keys(spark):
+    keys = lambda *ks: spark.createDataFrame([(k,) for k in ks], "sentence_id string")
+    for left, right in ((keys("a", "a", "b"), keys("b", "c", "d")), (keys("a"), keys("a", "a")), (keys(), keys()), (keys(None, "a"), keys(None, None, "b")), (keys("a"), keys())):
+        assert report.differing(left, right, "sentence_id").first().n == report.sentence_ids(left, right).agg(F.sum("n")).first()[0]
+
+
+def test_checks_work_each_measure_once(spark):
+    from quern.functions import quality as Q
+
+    row = spark.createDataFrame([("a", "b")], "s string, t string")
+    plan = row.select(Q.degenerate(F.col("s"), F.col("t")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") <= 1  # runs of words are counted in one place

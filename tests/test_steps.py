@@ -1,5 +1,6 @@
 """The processing flow works each step once, and each sentence comes out once."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import memory, process, report, translate
@@ -42,6 +43,16 @@ def test_differing_keys(spark):
         assert report.differing(left, right, "sentence_id").first().n == report.sentence_ids(left, right).agg(F.sum("n")).first()[0]
 
 
+def test_reviews_of_some_kinds(spark):
+    done = process.process(flows._corpus(spark, DATA).limit(40), memory.none(spark), None, flows.Marking(), flows.ByLength(), settle=lambda t, n: settled(t, n)[0])
+    every = {tuple(r) for r in report.review_ids(done.responses, done.sentences).collect()}
+    for kinds in (("sentence_language",), ("language", "sentence_language"), ("length_ratio", "low_similarity")):
+        some = report.review_ids(done.responses, done.sentences, kinds)
+        assert {tuple(r) for r in some.collect()} == {r for r in every if r[0] in kinds}
+    with pytest.raises(ValueError):
+        report.review_ids(done.responses, done.sentences, ("none",))
+
+
 def test_checks_work_each_measure_once(spark):
     from quern.functions import quality as Q
 
